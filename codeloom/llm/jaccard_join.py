@@ -7,8 +7,9 @@ Sets of word shingles link when ``100 * |A & B| >= percent * |A | B|``. Steps:
 3. the matrix holds, for each group, the union of its members' tokens. Under one order of all tokens, frequent ones
    last, two linked sets share a token of their prefixes, and the position of the first shared one bounds the
    overlap; so the matrix is kept for prefixes, with the best bound and the extreme sizes of each group's members;
-4. a set opens a group only if a shared token's bound reaches the needed overlap. On opening, the overlap with the
-   group's whole token union bounds it again, then members are compared exactly;
+4. a set opens a group only if SHARED tokens (or as many as it needs, if fewer) are shared within their bounds:
+   prefixes are longer by as many. On opening, the overlap with the group's whole token union bounds it again, then
+   members are compared exactly;
 5. links are contracted to components.
 
 The result is exact up to collisions of 64-bit shingle hashes. Frequent tokens only change the order, never the links.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import words as W
-from codeloom.llm.common import join_back, keep_rows, prepare, stage_table
+from codeloom.llm.common import BROADCAST_ROWS, join_back, keep_rows, prepare, stage_table
 from codeloom.llm.components import connected_components
 
 #: Most members of one group.
@@ -32,9 +33,11 @@ GROUP = 64
 #: Sets that are compared with one group in one go.
 QUERIES = 256
 #: Most entries of the table of frequent tokens, which goes to all tasks (16 bytes each). It steers the order only.
-FREQUENT = 500_000
+FREQUENT = 2_000_000
 #: Documents in which a token occurs to count as frequent.
-OFTEN = 24
+OFTEN = 2
+#: Tokens that two sets must share early on to be compared.
+SHARED = 4
 #: Hashes under this share of their range are counted. Prefixes hold the smallest hashes.
 COUNTED = 0.35
 
@@ -108,7 +111,8 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 s1.append(int(_i64(W.mix(s).sum(dtype=np.uint64)[None])[0]))
                 s2.append(int(_i64(W.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)[None])[0]))
                 low.append(int(_i64(s[:1])[0]))
-                p = len(s) - _need(len(s), percent) + 1
+                need = _need(len(s), percent)
+                p = len(s) - need + min(SHARED, need)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     often = common[at] == s
@@ -184,7 +188,10 @@ def _compare(percent: int):
                     if queries and members:
                         out += run(members, queries)
                     key, members, queries = (gid[i], part[i]), [], []
-                (queries if query[i] else members).append((doc[i], weight[i], flat[offsets[i] : offsets[i + 1]].copy()))
+                side = queries if query[i] else members
+                if side and side[-1][0] == doc[i]:  # a doc_id that repeats
+                    continue
+                side.append((doc[i], weight[i], flat[offsets[i] : offsets[i + 1]].copy()))
             if out:
                 yield _links(out)
                 out = []
@@ -227,23 +234,26 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     postings = tokens.select("doc_id", "gid", "n", (F.col("n") - F.col("pos")).alias("rest"), "token")
     matrix = postings.groupBy("token", "gid").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.count("*").alias("g_docs"))
     matrix = matrix.withColumnRenamed("gid", "g")
-    bound = F.least("rest", "g_rest") * (100 + percent) >= percent * (F.col("n") + F.greatest("g_min", F.ceil(F.col("n") * percent / 100)))
+    need = F.ceil(F.col("n") * percent / 100)
+    bound = (F.least("rest", "g_rest") + (SHARED - 1)) * (100 + percent) >= percent * (F.col("n") + F.greatest("g_min", need))
     sizes = (F.col("g_max") * 100 >= F.col("n") * percent) & (F.col("g_min") * percent <= F.col("n") * 100)
-    opened = postings.join(matrix, "token").where(bound & sizes & ~((F.col("g") == F.col("gid")) & (F.col("g_docs") == 1)))
-    opened = stage_table(opened.select("doc_id", F.col("g").alias("gid")).distinct(), "opened")
+    hits = postings.join(matrix, "token").where(bound & sizes & ~((F.col("g") == F.col("gid")) & (F.col("g_docs") == 1)))
+    hits = hits.groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+    opened = stage_table(hits.where(F.col("hits") >= F.least(need, F.lit(SHARED))).select("doc_id", F.col("g").alias("gid")), "opened")
 
     per_group = opened.groupBy("gid").agg(F.count("*").alias("q"))
     members = reps.select("gid", F.col("rep").alias("doc_id"), "copies").join(per_group, "gid")
     members = stage_table(members, "members")
     wanted = stage_table(opened.select("doc_id").unionByName(members.select("doc_id")).distinct(), "wanted")
-    sets = _token_sets(keep_rows(docs, wanted, "doc_id"), width)
-    sets = stage_table(sets.where("size(tokens) > 0").dropDuplicates(["doc_id"]), "sets")
     parts = F.ceil(F.col("q") / QUERIES).cast("int")
-    left = members.join(sets, "doc_id").select("gid", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("query"), "doc_id", "copies", "tokens")
+    left = members.select("gid", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("query"), "doc_id", "copies")
     asked = join_back(opened, per_group, ["gid"], ["q"], "q", max(1, opened.count()), F.col("doc_id"))
     right = asked.select("gid", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), F.lit(True).alias("query"), "doc_id", F.lit(0).cast("long").alias("copies"))
-    right = right.join(sets, "doc_id").select(*left.columns)
-    rows = left.unionByName(right).repartition("gid", "part").sortWithinPartitions("gid", "part", "query", "doc_id")
+    places = stage_table(left.unionByName(right), "places")
+    if places.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    rows = _token_sets(keep_rows(docs, wanted, "doc_id"), width).join(places, "doc_id").select("gid", "part", "query", "doc_id", "copies", "tokens")
+    rows = rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "query", "doc_id")
     links = stage_table(rows.mapInArrow(_compare(percent), "doc_id long, links long, a long, b long"), "links")
 
     comps = connected_components(links.where("a is not null").select("a", "b"))
