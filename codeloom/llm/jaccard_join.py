@@ -51,7 +51,7 @@ def _i64(x: np.ndarray) -> np.ndarray:
 
 
 def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
-    """Frequent shingle hashes, commonest last. Every text is read; tasks report what they saw twice or more."""
+    """Frequent shingle hashes, commonest last: those seen so often that there are FREQUENT at most. Every text is read; tasks report what they saw twice or more."""
     top = np.uint64(int(COUNTED * 2**64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +87,16 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
 
     counts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "token long, n long")
     counts = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    return rows["token"].to_numpy(np.int64).view(np.uint64)[::-1]
+    counts = stage_table(counts, "frequent")
+    least, kept = OFTEN, 0
+    for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():
+        kept += r["c"]
+        if kept > FREQUENT:
+            break
+        least = r["n"]
+    found = counts.where(F.col("n") >= least).toArrow()  # FREQUENT pairs at most
+    token, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    return token[np.lexsort((token, n))]
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -96,7 +104,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     frequent = frequent_tokens(docs, width)
     order = np.argsort(frequent, kind="stable")
-    shared = spark.sparkContext.broadcast((frequent[order], order))
+    shared = spark.sparkContext.broadcast((frequent[order], order.astype(np.int32)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
