@@ -29,7 +29,7 @@ from codeloom.llm.common import BROADCAST_ROWS, join_back, keep_rows, prepare, s
 from codeloom.llm.components import connected_components
 
 #: Most members of one group.
-GROUP = 64
+GROUP = 512
 #: Sets that are compared with one group in one go.
 QUERIES = 256
 #: Most entries of the table of frequent tokens, which goes to all tasks (16 bytes each). It steers the order only.
@@ -163,9 +163,9 @@ def _compare(percent: int):
         ids = np.array([m[0] for m in members], np.int64)
         weight = np.array([m[1] for m in members], np.int64)
         size = np.array([len(m[2]) for m in members], np.int64)
-        union, where = np.unique(np.concatenate([m[2] for m in members]), return_inverse=True)
-        table = np.zeros((len(union), len(members)), np.uint8)
-        table[where, np.repeat(np.arange(len(members)), size)] = 1
+        union, where, copies = np.unique(np.concatenate([m[2] for m in members]), return_inverse=True, return_counts=True)
+        holders = np.repeat(np.arange(len(members)), size)[np.argsort(where, kind="stable")]
+        starts = np.cumsum(copies) - copies
         parent: dict[int, int] = {}
         out = []
         for q, _, tokens in queries:
@@ -173,7 +173,10 @@ def _compare(percent: int):
             at = at[union[at] == tokens]
             if 100 * len(at) < percent * len(tokens):
                 continue
-            common = table[at].sum(axis=0, dtype=np.int64)
+            # the members that hold each of these tokens lie side by side
+            n = copies[at]
+            flat = np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)
+            common = np.bincount(holders[flat], minlength=len(members))
             near = (100 * common >= percent * (len(tokens) + size - common)) & (ids != q)
             if not near.any():
                 continue
