@@ -82,7 +82,8 @@ class WordBpe:
     Symbols are bytes, plus 256 for the last byte of a word.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, decoding: bool = True) -> None:
+        self.decoding = decoding
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.end = spec["model"], spec["model"]["end_of_word_suffix"]
@@ -358,7 +359,7 @@ class WordBpe:
 
     def normalise(self, text: str) -> str:
         """NFC and lower case, letter by letter: a final sigma is not special."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def split_words(self, chunk: str) -> list[str]:
         """Words of a normalised run without white space."""
@@ -377,11 +378,11 @@ class WordBpe:
         out = {}
         for c, ws in zip(chunks, split, strict=True):
             row = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
-            out[c] = array("I", row).tobytes(), len(row), " ".join([names[i] for i in row])
+            out[c] = array("I", row).tobytes(), len(row), " ".join([names[i] for i in row]) if self.decoding else ""
         return out
 
     def encode_decode(self, texts: list[str]) -> list[tuple[bytes, int, str]]:
-        """Whole texts' ids as little-endian 32-bit integers, their number, and their decoded forms."""
+        """Whole texts' ids as little-endian 32-bit integers, their number, and their decoded forms (empty without decoding)."""
         done = []
         at = 0
         while at < len(texts):
@@ -418,7 +419,8 @@ class WordBpe:
         out = []
         for row in rows:
             got = [known[w] for w in row]
-            out.append((b"".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got if g[1]])))
+            data = b"".join([g[0] for g in got])
+            out.append((data, len(data) // 4, " ".join([g[2] for g in got if g[1]]) if self.decoding else ""))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -430,8 +432,8 @@ class WordBpe:
 
 
 @lru_cache(2)
-def load(path: str) -> WordBpe:
-    return WordBpe(path)
+def load(path: str, decoding: bool = True) -> WordBpe:
+    return WordBpe(path, decoding)
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:

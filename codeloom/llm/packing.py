@@ -70,7 +70,7 @@ def cut(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, decoding=False)
         for b in batches:
             rows = []
             for doc, (data, n, _) in zip(b.column(0).to_pylist(), bpe.encode_decode([t or "" for t in b.column(1).to_pylist()]), strict=True):
