@@ -3,12 +3,13 @@
 Sets of word shingles link when ``100 * |A & B| >= percent * |A | B|``. Steps:
 
 1. every text becomes its sorted distinct shingle hashes; equal sets form one class, of which one row goes on;
-2. classes are partitioned into groups of similar sets (equal smallest hash, GROUP members at most);
+2. classes are partitioned into groups of similar sets (equal smallest hash); a group is compared in blocks of about
+   BLOCK members, each with its own token union;
 3. the matrix holds, for each group, the union of its members' tokens. Under one order of all tokens, frequent ones
    last, two linked sets share a token of their prefixes, and the position of the first shared one bounds the
    overlap; so the matrix is kept for prefixes, with the best bound and the extreme sizes of each group's members;
 4. a set opens a group only if SHARED tokens (or as many as it needs, if fewer) are shared within their bounds:
-   prefixes are longer by as many. On opening, the overlap with the group's whole token union bounds it again, then
+   prefixes are longer by as many. On opening, the overlap with each block's whole token union bounds it again, then
    members are compared exactly;
 5. links are contracted to components.
 
@@ -28,9 +29,9 @@ from codeloom.llm import words as W
 from codeloom.llm.common import BROADCAST_ROWS, join_back, keep_rows, prepare, stage_table
 from codeloom.llm.components import connected_components
 
-#: Most members of one group.
-GROUP = 512
-#: Sets that are compared with one group in one go.
+#: Members of one block of a group, about.
+BLOCK = 512
+#: Sets that are compared with one block in one go.
 QUERIES = 256
 #: Most entries of the table of frequent tokens, which goes to all tasks (16 bytes each). It steers the order only.
 FREQUENT = 2_000_000
@@ -78,7 +79,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
             if n > 1_000_000:
                 kept, freq = fold(kept, freq)
                 held, n = [], 0
-        if held:
+        if n:
             kept, freq = fold(kept, freq)
         twice = freq > 1
         kept, freq = kept[twice], freq[twice]
@@ -238,19 +239,22 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     groups = reps.groupBy("low").agg(F.count("*").alias("c"))
     reps = join_back(reps, groups, ["low"], ["c"], "c", size, F.col("rep"))
-    gid = F.xxhash64("low", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / GROUP)))
-    reps = reps.select("s1", "s2", "rep", "copies", gid.alias("gid"))
-    prefixes = full.dropDuplicates(["doc_id"]).join(reps.select(F.col("rep").alias("doc_id"), "gid"), "doc_id")
-    tokens = prefixes.select("doc_id", "gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = tokens.select("doc_id", "gid", "n", (F.col("n") - F.col("pos")).alias("rest"), "token")
-    matrix = postings.groupBy("token", "gid").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.count("*").alias("g_docs"))
-    matrix = matrix.withColumnRenamed("gid", "g")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK)
+    gid = F.xxhash64("low", F.pmod(F.xxhash64("rep"), blocks("c")))
+    reps = reps.select("s1", "s2", "rep", "copies", "c", gid.alias("gid"))
+    prefixes = full.dropDuplicates(["doc_id"]).join(reps.select(F.col("rep").alias("doc_id"), "c"), "doc_id")
+    tokens = prefixes.select("doc_id", "low", "c", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = tokens.select("doc_id", "low", "c", "n", (F.col("n") - F.col("pos")).alias("rest"), "token")
+    matrix = postings.groupBy("token", "low").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.count("*").alias("g_docs"), F.first("c").alias("g_c"))
+    matrix = matrix.withColumnRenamed("low", "g")
     need = F.ceil(F.col("n") * percent / 100)
     bound = (F.least("rest", "g_rest") + (SHARED - 1)) * (100 + percent) >= percent * (F.col("n") + F.greatest("g_min", need))
     sizes = (F.col("g_max") * 100 >= F.col("n") * percent) & (F.col("g_min") * percent <= F.col("n") * 100)
-    hits = postings.join(matrix, "token").where(bound & sizes & ~((F.col("g") == F.col("gid")) & (F.col("g_docs") == 1)))
-    hits = hits.groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-    opened = stage_table(hits.where(F.col("hits") >= F.least(need, F.lit(SHARED))).select("doc_id", F.col("g").alias("gid")), "opened")
+    hits = postings.drop("c").join(matrix, "token").where(bound & sizes & ~((F.col("g") == F.col("low")) & (F.col("g_docs") == 1)))
+    hits = hits.groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("g_c").alias("g_c"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks("g_c") - 1)).alias("block")
+    opened = hits.where(F.col("hits") >= F.least(need, F.lit(SHARED))).select("doc_id", "g", every)
+    opened = stage_table(opened.select("doc_id", F.xxhash64("g", "block").alias("gid")), "opened")
 
     per_group = opened.groupBy("gid").agg(F.count("*").alias("q"))
     members = reps.select("gid", F.col("rep").alias("doc_id"), "copies").join(per_group, "gid")
