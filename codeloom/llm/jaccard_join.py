@@ -119,17 +119,20 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     continue
                 s1.append(int(_i64(W.mix(s).sum(dtype=np.uint64)[None])[0]))
                 s2.append(int(_i64(W.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)[None])[0]))
-                low.append(int(_i64(s[:1])[0]))
                 need = _need(len(s), percent)
                 p = len(s) - need + min(SHARED, need)
+                first = s[0]
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     often = common[at] == s
+                    if often.any():  # a changed word of a copy seldom leads it into a group of its own
+                        first = s[np.argmax(often)]
                     rare = s[~often]
                     if len(rare) < p:
                         late = s[often]
                         rare = np.concatenate((rare, late[np.argsort(rank[at[often]], kind="stable")]))
                     s = rare
+                low.append(int(_i64(first[None])[0]))
                 prefix.append(s[:p])
                 sizes.append(p)
             flat = _i64(np.concatenate(prefix)) if prefix else np.empty(0, np.int64)
