@@ -101,7 +101,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, low, prefix): size, 128-bit digest, smallest hash and prefix of each text's shingle set."""
+    """(doc_id, n, s1, s2, low, prefix): size, 128-bit digest, group and prefix of each text's shingle set."""
     spark = docs.sparkSession
     frequent = frequent_tokens(docs, width)
     order = np.argsort(frequent, kind="stable")
@@ -132,14 +132,14 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         late = s[often]
                         rare = np.concatenate((rare, late[np.argsort(rank[at[often]], kind="stable")]))
                     s = rare
-                low.append(int(_i64(first[None])[0]))
+                low.append(int(first) & 0x7FFFFFFF)  # groups that fall together are compared together
                 prefix.append(s[:p])
                 sizes.append(p)
             flat = _i64(np.concatenate(prefix)) if prefix else np.empty(0, np.int64)
             tokens = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, s1, s2, low)), tokens], ["doc_id", "n", "s1", "s2", "low", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, s1, s2)), pa.array(low, pa.int32()), tokens], ["doc_id", "n", "s1", "s2", "low", "prefix"])
 
-    schema = "doc_id long, n long, s1 long, s2 long, low long, prefix array<long>"
+    schema = "doc_id long, n long, s1 long, s2 long, low int, prefix array<long>"
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(sign, schema)
 
 
@@ -248,13 +248,14 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     prefixes = full.dropDuplicates(["doc_id"]).join(reps.select(F.col("rep").alias("doc_id"), "c"), "doc_id")
     tokens = prefixes.select("doc_id", "low", "c", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = tokens.select("doc_id", "low", "c", "n", (F.col("n") - F.col("pos")).alias("rest"), "token")
-    matrix = postings.groupBy("token", "low").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.count("*").alias("g_docs"), F.first("c").alias("g_c"))
-    matrix = matrix.withColumnRenamed("low", "g")
+    matrix = postings.groupBy("token", "low").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.max("c").alias("g_c"))
+    only = F.when(F.col("one") == F.col("other"), F.col("one")).alias("g_only")
+    matrix = matrix.select("token", F.col("low").alias("g"), "g_rest", "g_min", "g_max", "g_c", only)
     need = F.ceil(F.col("n") * percent / 100)
     bound = (F.least("rest", "g_rest") + (SHARED - 1)) * (100 + percent) >= percent * (F.col("n") + F.greatest("g_min", need))
     sizes = (F.col("g_max") * 100 >= F.col("n") * percent) & (F.col("g_min") * percent <= F.col("n") * 100)
-    hits = postings.drop("c").join(matrix, "token").where(bound & sizes & ~((F.col("g") == F.col("low")) & (F.col("g_docs") == 1)))
-    hits = hits.groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("g_c").alias("g_c"))
+    hits = postings.select("doc_id", "n", "rest", "token").join(matrix, "token").where(bound & sizes & ~F.col("g_only").eqNullSafe(F.col("doc_id")))
+    hits = hits.groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.max("g_c").alias("g_c"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), blocks("g_c") - 1)).alias("block")
     opened = hits.where(F.col("hits") >= F.least(need, F.lit(SHARED))).select("doc_id", "g", every)
     opened = stage_table(opened.select("doc_id", F.xxhash64("g", "block").alias("gid")), "opened")
