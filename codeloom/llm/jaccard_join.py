@@ -143,6 +143,26 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(sign, schema)
 
 
+def _matrix(prefixes: DataFrame) -> DataFrame:
+    """(token, g, g_rest, g_min, g_max, g_c, g_only): an entry for each token of a group's prefixes.
+
+    Prefixes are sent to their blocks as arrays and aggregated there; only groups of several blocks need a second,
+    already reduced, aggregation. g_only is the one set that has the token, if there is only one.
+    """
+    best = [F.max("rest").alias("rest"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("c").alias("c"), F.min("one").alias("one"), F.max("other").alias("other")]
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        rows = rows.select("gid", "low", "c", "doc_id", "n", "prefix").repartition("gid")
+        rows = rows.select("gid", "low", "c", F.col("n").alias("least"), F.col("n").alias("most"), F.col("doc_id").alias("one"), F.col("doc_id").alias("other"), "n", F.posexplode("prefix").alias("pos", "token"))
+        return rows.withColumn("rest", F.col("n") - F.col("pos")).groupBy("gid", "token", "low").agg(*best)
+
+    single = blocks(prefixes.where(F.col("c") <= BLOCK)).drop("gid")
+    several = blocks(prefixes.where(F.col("c") > BLOCK)).groupBy("token", "low").agg(*best)
+    only = F.when(F.col("one") == F.col("other"), F.col("one")).alias("g_only")
+    every = single.unionByName(several)
+    return every.select("token", F.col("low").alias("g"), F.col("rest").alias("g_rest"), F.col("least").alias("g_min"), F.col("most").alias("g_max"), F.col("c").alias("g_c"), only)
+
+
 def _token_sets(docs: DataFrame, width: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,7 +175,7 @@ def _token_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _compare(percent: int):
-    """Rows sorted by (gid, part, query): a group's members, then the sets that open it -> links and numbers of links."""
+    """Rows sorted by (gid, part): a block's members (copies isn't null) and the sets that open it (query) -> links and numbers of links."""
 
     def root(parent: dict, x: int) -> int:
         while parent[x] != x:
@@ -193,7 +213,7 @@ def _compare(percent: int):
         return out
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, queries, out = None, [], [], []
+        key, members, queries, last, out = None, [], [], None, []
         for b in batches:
             gid, part, query, doc, weight = (b.column(i).to_pylist() for i in range(5))
             lists = b.column(5)
@@ -202,11 +222,14 @@ def _compare(percent: int):
                 if (gid[i], part[i]) != key:
                     if queries and members:
                         out += run(members, queries)
-                    key, members, queries = (gid[i], part[i]), [], []
-                side = queries if query[i] else members
-                if side and side[-1][0] == doc[i]:  # a doc_id that repeats
+                    key, members, queries, last = (gid[i], part[i]), [], [], None
+                if doc[i] == last:  # a doc_id that repeats
                     continue
-                side.append((doc[i], weight[i], flat[offsets[i] : offsets[i + 1]].copy()))
+                last, row = doc[i], (doc[i], weight[i], flat[offsets[i] : offsets[i + 1]].copy())
+                if weight[i] is not None:
+                    members.append(row)
+                if query[i]:
+                    queries.append(row)
             if out:
                 yield _links(out)
                 out = []
@@ -245,16 +268,14 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     blocks = lambda c: F.ceil(F.col(c) / BLOCK)
     gid = F.xxhash64("low", F.pmod(F.xxhash64("rep"), blocks("c")))
     reps = reps.select("s1", "s2", "rep", "copies", "c", gid.alias("gid"))
-    prefixes = full.dropDuplicates(["doc_id"]).join(reps.select(F.col("rep").alias("doc_id"), "c"), "doc_id")
-    tokens = prefixes.select("doc_id", "low", "c", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = tokens.select("doc_id", "low", "c", "n", (F.col("n") - F.col("pos")).alias("rest"), "token")
-    matrix = postings.groupBy("token", "low").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.max("c").alias("g_c"))
-    only = F.when(F.col("one") == F.col("other"), F.col("one")).alias("g_only")
-    matrix = matrix.select("token", F.col("low").alias("g"), "g_rest", "g_min", "g_max", "g_c", only)
+    prefixes = full.dropDuplicates(["doc_id"]).join(reps.select(F.col("rep").alias("doc_id"), "c", "gid"), "doc_id")
+    tokens = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = tokens.select("doc_id", "n", (F.col("n") - F.col("pos")).alias("rest"), "token")
+    matrix = _matrix(prefixes)
     need = F.ceil(F.col("n") * percent / 100)
     bound = (F.least("rest", "g_rest") + (SHARED - 1)) * (100 + percent) >= percent * (F.col("n") + F.greatest("g_min", need))
     sizes = (F.col("g_max") * 100 >= F.col("n") * percent) & (F.col("g_min") * percent <= F.col("n") * 100)
-    hits = postings.select("doc_id", "n", "rest", "token").join(matrix, "token").where(bound & sizes & ~F.col("g_only").eqNullSafe(F.col("doc_id")))
+    hits = postings.join(matrix, "token").where(bound & sizes & ~F.col("g_only").eqNullSafe(F.col("doc_id")))
     hits = hits.groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.max("g_c").alias("g_c"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), blocks("g_c") - 1)).alias("block")
     opened = hits.where(F.col("hits") >= F.least(need, F.lit(SHARED))).select("doc_id", "g", every)
@@ -265,14 +286,16 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     members = stage_table(members, "members")
     wanted = stage_table(opened.select("doc_id").unionByName(members.select("doc_id")).distinct(), "wanted")
     parts = F.ceil(F.col("q") / QUERIES).cast("int")
-    left = members.select("gid", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("query"), "doc_id", "copies")
+    left = members.select("gid", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "doc_id", "copies", F.lit(False).alias("query"))
     asked = join_back(opened, per_group, ["gid"], ["q"], "q", max(1, opened.count()), F.col("doc_id"))
-    right = asked.select("gid", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), F.lit(True).alias("query"), "doc_id", F.lit(0).cast("long").alias("copies"))
-    places = stage_table(left.unionByName(right), "places")
+    right = asked.select("gid", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), "doc_id", F.lit(None).cast("long").alias("copies"), F.lit(True).alias("query"))
+    # a member that opens its own block goes there once; copies is null for those that aren't members
+    places = left.unionByName(right).groupBy("gid", "part", "doc_id").agg(F.max("copies").alias("copies"), F.max("query").alias("query"))
+    places = stage_table(places, "places")
     if places.count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
     rows = _token_sets(keep_rows(docs, wanted, "doc_id"), width).join(places, "doc_id").select("gid", "part", "query", "doc_id", "copies", "tokens")
-    rows = rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "query", "doc_id")
+    rows = rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "doc_id")
     links = stage_table(rows.mapInArrow(_compare(percent), "doc_id long, links long, a long, b long"), "links")
 
     comps = connected_components(links.where("a is not null").select("a", "b"))
