@@ -13,7 +13,7 @@ Sets of word shingles link when ``100 * |A & B| >= percent * |A | B|``. Steps:
    members are compared exactly;
 5. links are contracted to components.
 
-The result is exact up to collisions of 64-bit shingle hashes. Frequent tokens only change the order, never the links.
+The result is exact up to collisions of 48-bit shingle hashes within a pair. Frequent tokens only change the order, never the links.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ FREQUENT = 2_000_000
 OFTEN = 2
 #: Tokens that two sets must share early on to be compared.
 SHARED = 4
+#: Bytes of a shingle's hash when sets are compared: two sets of 10,000 share a hash by chance once in three million pairs.
+BYTES = 6
 #: Hashes under this share of their range are counted. Prefixes hold the smallest hashes.
 COUNTED = 0.35
 
@@ -164,14 +166,23 @@ def _matrix(prefixes: DataFrame) -> DataFrame:
 
 
 def _token_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, tokens): the shingle hashes of each text, BYTES each."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [W.shingles(w, width) for w in W.word_hashes([x or b"" for x in b.column(1).to_pylist()])]
-            flat = _i64(np.concatenate(sets)) if sets else np.empty(0, np.int64)
-            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "tokens"])
+            sets = []
+            for w in W.word_hashes([x or b"" for x in b.column(1).to_pylist()]):
+                s = np.unique(W.shingles(w, width) & np.uint64((1 << 8 * BYTES) - 1)).astype("<u8")
+                sets.append(s.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(cut, "doc_id long, tokens binary")
+
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(cut, "doc_id long, tokens array<long>")
+def _unpacked(tokens: bytes) -> np.ndarray:
+    out = np.zeros((len(tokens) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(tokens, np.uint8).reshape(-1, BYTES)
+    return out.view("<i8").ravel()
 
 
 def _compare(percent: int):
@@ -216,8 +227,7 @@ def _compare(percent: int):
         key, members, queries, last, out = None, [], [], None, []
         for b in batches:
             gid, part, query, doc, weight = (b.column(i).to_pylist() for i in range(5))
-            lists = b.column(5)
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            tokens = b.column(5)
             for i in range(b.num_rows):
                 if (gid[i], part[i]) != key:
                     if queries and members:
@@ -225,7 +235,7 @@ def _compare(percent: int):
                     key, members, queries, last = (gid[i], part[i]), [], [], None
                 if doc[i] == last:  # a doc_id that repeats
                     continue
-                last, row = doc[i], (doc[i], weight[i], flat[offsets[i] : offsets[i + 1]].copy())
+                last, row = doc[i], (doc[i], weight[i], _unpacked(tokens[i].as_py()))
                 if weight[i] is not None:
                     members.append(row)
                 if query[i]:
