@@ -25,8 +25,9 @@ def canonical(text: Column) -> Column:
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
     folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
     again = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(True))
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), again).otherwise(F.lower(text))
-    return F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+", " "), "^ | $", "")
+    # single spaces aren't matched: most white space stays as it is
+    plain = F.regexp_replace(F.lower(text), r"[\t-\r]\s*| \s+", " ")
+    return F.trim(F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(again, r"(?U)[\s&&[^ ]]\s*| \s+", " ")).otherwise(plain))
 
 
 def wide_hash(canon: Column) -> Column:
@@ -74,7 +75,7 @@ def _told_apart(df: DataFrame, texts: dict[str, str], canon: dict[str, Column],
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal fingerprints, else 0: an exact digest knows no degrees."""
+    """1 for equal fingerprints (or canonical texts), else 0: an exact digest knows no degrees."""
     return F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
@@ -129,7 +130,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, and how like they are (see likeness)."""
     rows = with_next(docs)
     rows = rows.withColumn("e", edited(F.col("text"), F.col("next_text")))
-    wanted = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), "text", "e", "next_text")
-    out = fingerprints(wanted, {"text": "fingerprint", "e": "edited_fingerprint", "next_text": "next_fingerprint"})
-    f = F.col("fingerprint")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(f, F.col("edited_fingerprint")).alias("near_edited"), likeness(f, F.col("next_fingerprint")).alias("near_next"))
+    # the next text is the text of another row, so it needs no fingerprint of its own: both are at hand to be compared
+    near_next = likeness(canonical(F.col("text")), canonical(F.col("next_text"))).alias("near_next")
+    wanted = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), "text", "e", near_next)
+    out = fingerprints(wanted, {"text": "fingerprint", "e": "edited_fingerprint"})
+    near_edited = likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near_edited, "near_next")
