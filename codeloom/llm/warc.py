@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_back, new_path, stage_table
+from codeloom.llm.common import arrow_rows, join_back, new_path, stage_table
 
 #: Payloads from this many bytes on are stored once.
 SHARED_FROM = 100
 #: Bytes of one archive file, about.
-FILE_BYTES = 16_000_000
+FILE_BYTES = 4_000_000
+#: Archive files that a worker holds at a time.
+FILES = 4
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n"
 _RECORD = "record_id string, type string, concurrent_to string, target_uri string, refers_to_id string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
@@ -111,15 +113,18 @@ def parse_archive(data: bytes) -> Iterator[tuple]:
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row for each record of the archives in the folder ``path``. The digests of responses are worked out from their payloads."""
+    """One row for each record of the archives in the folder ``path``. The digests of responses are worked out from their payloads.
+
+    Run it under ``arrow_rows(spark, FILES)``: a row of the source is a whole file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string()] * 6 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
         names = [x.split()[0] for x in _RECORD.split(", ")]
         for b in batches:
-            for data in b.column(0).to_pylist():
+            for data in b.column(0):
                 rows: list[tuple] = []
-                for r in parse_archive(data):
+                for r in parse_archive(data.as_py()):
                     rows.append(r if with_payload else (*r[:-1], None))
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -153,7 +158,9 @@ def archive_report(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     path = write_archives(pages, new_path(spark, "warc"))
-    rows = captures(stage_table(read_archives(spark, path, with_payload=False), "records"))
+    with arrow_rows(spark, FILES):
+        found = stage_table(read_archives(spark, path, with_payload=False), "records")
+    rows = captures(found)
     field = lambda name: F.col("metadata.fields")[name].cast("long")
     return rows.select(
         field("pageId").alias("page_id"),
