@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import prepare
 
-#: Chunks, pairs and prefixes remembered by each worker, at most.
+#: Pairs and prefixes remembered by each worker, at most.
 REMEMBERED = 400_000
+#: Runs without white space remembered by each worker, at most (some 200 bytes each).
+RUNS = 800_000
 #: Words of more bytes are encoded one by one.
 LONG_WORD = 64
 #: Characters of text that are encoded together, but for longer single texts.
@@ -123,7 +125,8 @@ class WordBpe:
                 self.sound.add(i)
         self._automaton({i: forms[i] for i in self.sound})
         self.pairs: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[bytes, int, str]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
         self._forget()
 
     def _stands(self, i: int) -> bool:
@@ -369,17 +372,16 @@ class WordBpe:
             return [chunk[:-1], chunk[-1]]
         return self.pieces.findall(chunk)
 
-    def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, int, str]]:
-        """Little-endian ids, their number and the decoded text of runs without white space."""
-        split = [self.split_words(self.normalise(c)) for c in chunks]
-        words = list({w for ws in split for w in ws})
-        ids = dict(zip(words, self.encode_words(words), strict=True))
-        names = self.names
-        out = {}
-        for c, ws in zip(chunks, split, strict=True):
-            row = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
-            out[c] = array("I", row).tobytes(), len(row), " ".join([names[i] for i in row]) if self.decoding else ""
-        return out
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Little-endian ids of runs without white space. A lower-case ASCII word that was met as a run of its own isn't encoded again."""
+        low = [c.lower() if c.isascii() else self.normalise(c) for c in chunks]
+        split = [[c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in ".," and c[:-1].isalpha() else self.split_words(c) for c in low]
+        words = {w for ws in split for w in ws}
+        ids = {w: self.chunks[w] for w in words if w in self.chunks and w.isascii() and w.isalpha()}
+        words = list(words - ids.keys())
+        for w, row in zip(words, self.encode_words(words), strict=True):
+            ids[w] = array("I", row).tobytes()
+        return {c: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for c, ws in zip(chunks, split, strict=True)}
 
     def encode_decode(self, texts: list[str]) -> list[tuple[bytes, int, str]]:
         """Whole texts' ids as little-endian 32-bit integers, their number, and their decoded forms (empty without decoding)."""
@@ -408,19 +410,22 @@ class WordBpe:
                     row += part.split()
             rows.append(row)
         wanted = set().union(*rows)
-        new = [w for w in wanted if w not in self.chunks]
-        special = [w for w in new if w in self.special]
-        learnt = self._learn([w for w in new if w not in self.special])
-        learnt |= {w: (array("I", [self.special[w]]).tobytes(), 1, w) for w in special}
-        if len(self.chunks) + len(new) > REMEMBERED:
+        new = wanted.difference(self.chunks)
+        special = new & self.special.keys()
+        learnt = self._learn(list(new - special))
+        for w in special:
+            learnt[w] = array("I", [self.special[w]]).tobytes()
+        if len(self.chunks) + len(learnt) > RUNS:
             self.chunks = {w: self.chunks[w] for w in wanted if w in self.chunks}
+            self.texts = {w: self.texts[w] for w in wanted if w in self.texts}
         known = self.chunks
         known |= learnt
         out = []
+        if self.decoding:
+            self.texts |= {w: self.decode(np.frombuffer(ids, "<u4").tolist()) for w, ids in learnt.items()}
         for row in rows:
-            got = [known[w] for w in row]
-            data = b"".join([g[0] for g in got])
-            out.append((data, len(data) // 4, " ".join([g[2] for g in got if g[1]]) if self.decoding else ""))
+            data = b"".join(map(known.__getitem__, row))
+            out.append((data, len(data) // 4, " ".join([self.texts[w] for w in row if known[w]]) if self.decoding else ""))
         return out
 
     def encode(self, text: str) -> list[int]:
