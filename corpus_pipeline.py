@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.common import new_path
 from codeloom.llm.jaccard_join import keep_one_per_component
-from codeloom.llm.line_dedup import remove_repeated_lines
 from codeloom.llm.packing import pack
+from codeloom.llm.passages import remove_repeated_passages
 from codeloom.llm.toxicity import drop_toxic
 
 
@@ -18,8 +18,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; later occurrences of passages of three lines or more are cut from their texts."""
-    return remove_repeated_lines(docs).select(*docs.columns)
+    """All rows; later occurrences of passages of over 50 words, or of three lines or more, are cut from their texts."""
+    return remove_repeated_passages(docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
