@@ -4,7 +4,8 @@ Words are runs without white space; characters from U+3000 on are words of half
 sentence ends, words whose hash is the least of nine, and every ten words where there is none of these. Windows run
 from a cut to the first cut WINDOW words later or more, and to a cut from the last one WINDOW words before it or more;
 three consecutive lines that aren't blank are windows too, of any size. Windows are hashed (128 bits) and counted over
-all documents. The first occurrence has the smallest doc_id, then the smallest place; words of later ones go. As cuts
+all documents. The first occurrence has the smallest doc_id, then the smallest place; words of later ones go but for
+those that overlap the window's own first occurrence, so that each has an equal one at an earlier place. As cuts
 follow from the words around them, a passage of over 50 words is found in any surroundings; a few words may stay at
 an end that isn't that of a line or sentence.
 """
@@ -141,11 +142,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     groups = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("c")).where("c > 1")
     groups = stage_table(groups, "repeated")
     marked = join_back(found, groups, ["a", "b"], ["first"], "c", max(1, found.count()), F.struct("doc_id", "s", "n"))
-    marked = marked.where("first is not null").withColumn("later", F.struct("doc_id", "s") != F.col("first"))
-    words = F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)
-    sides = marked.groupBy("doc_id").agg(F.collect_set(F.when(F.col("later"), words)).alias("l"), F.collect_set(F.when(~F.col("later"), words)).alias("f"))
-    lost = F.array_except(F.array_distinct(F.flatten("l")), F.flatten("f"))
-    return sides.select("doc_id", F.transform(lost, lambda i: F.struct(i.alias("s"), (i + 1).alias("e"))).alias("spans")).where("size(spans) > 0")
+    # only what overlaps the window's own first occurrence stays; all else has an equal at an earlier place
+    own = F.when(F.col("first.doc_id") == F.col("doc_id"), F.col("first.s") + F.col("n"))
+    lost = marked.where(F.col("first") != F.struct("doc_id", "s")).select("doc_id", F.greatest("s", own).alias("s"), (F.col("s") + F.col("n")).alias("e"))
+    return lost.where("s < e").groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def remove_repeated_passages(docs: DataFrame) -> DataFrame:

@@ -60,3 +60,11 @@ def test_pipeline_uses_passages(spark):
 
 def test_without():
     assert without(b"  a b c d\ne f\n\ng h i ", [(1, 3), (4, 6), (8, 9)]) == b"  a d\n\ng h"
+
+
+def test_borders_of_known_passages(spark):
+    """A copy of a document that quotes a passage makes its border windows repeated; the passage goes all the same."""
+    passage = "\n".join(f"passage line {i}" for i in range(4))
+    quoting = f"alpha one\nalpha two\n{passage}\nomega one\nomega two"
+    got = removed(spark, [(1, passage), (2, quoting), (3, quoting), (4, "same\n" * 5 + "other")])
+    assert got == {1: passage, 2: "alpha one\nalpha two\nomega one\nomega two", 3: "", 4: "same\nsame\nsame\nother"}
