@@ -148,11 +148,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     return lost.where("s < e").groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def remove_repeated_passages(docs: DataFrame) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with repeated passages removed from text.
 
     n_chars, if there is such a column, follows the new text. Null texts stay null; a text that loses all its words
-    and has no blank lines becomes empty. Rows without a doc_id are kept as they are and not compared; rows that
+    and has no blank lines becomes empty; by ``drop_emptied`` rows that lose all their words leave, as every word of
+    theirs is kept elsewhere, while rows without words from the start stay. Rows without a doc_id are kept as they are and not compared; rows that
     repeat a doc_id are treated alike. Empty input: no rows.
     """
     names = docs.columns
@@ -162,16 +163,19 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column, spans = b.column(place), b.column(len(names)).to_pylist()
+            column, spans, emptied = b.column(place), b.column(len(names)).to_pylist(), []
             if any(spans):
                 texts = column.to_pylist()
                 for i, found in enumerate(spans):
                     if found and texts[i] is not None:
                         texts[i] = without(texts[i].encode(), [(x["s"], x["e"]) for x in found]).decode()
+                        if drop_emptied and not len(split(texts[i].encode())[0]):
+                            emptied.append(i)
                 column = pa.array(texts, column.type)
             columns = list(b.columns[: len(names)])
             columns[place] = column
-            yield pa.RecordBatch.from_arrays(columns, names)
+            rows = pa.RecordBatch.from_arrays(columns, names)
+            yield rows.take(pa.array(np.setdiff1d(np.arange(len(rows)), emptied))) if emptied else rows
 
     out = both.mapInArrow(run, docs.schema)
     if "n_chars" in names:

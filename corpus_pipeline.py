@@ -18,12 +18,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; later occurrences of passages of over 50 words, or of three lines or more, are cut from their texts."""
-    return remove_repeated_passages(docs)
+    """Rows without later occurrences of passages of over 50 words, or of three lines or more.
+
+    Rows that lose all their words leave here: what they held stays in earlier places. The next stage would keep them,
+    as empty texts have no near duplicates. Rows that had no words before stay.
+    """
+    return remove_repeated_passages(docs, drop_emptied=True)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of documents whose five-word shingles have a similarity of 0.8 or more."""
+    """One row of each component of documents whose five-word shingles have a similarity of 0.8 or more; rows without words all stay."""
     return keep_one_per_component(docs, width=5, percent=80)
 
 

@@ -68,3 +68,14 @@ def test_borders_of_known_passages(spark):
     quoting = f"alpha one\nalpha two\n{passage}\nomega one\nomega two"
     got = removed(spark, [(1, passage), (2, quoting), (3, quoting), (4, "same\n" * 5 + "other")])
     assert got == {1: passage, 2: "alpha one\nalpha two\nomega one\nomega two", 3: "", 4: "same\nsame\nsame\nother"}
+
+
+def test_pipeline_drops_emptied_rows(spark):
+    import corpus_pipeline
+
+    text = "\n".join(f"line {i} of a text" for i in range(5))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "\n" + text), (4, ""), (5, None), (6, " \n")], DOCS)
+    clean = corpus_pipeline.without_repeated_lines(spark, docs, "")
+    assert {(r["doc_id"], r["text"]) for r in clean.collect()} == {(1, text), (4, ""), (5, None), (6, " \n")}
+    kept = corpus_pipeline.without_near_duplicates(spark, clean, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6]
