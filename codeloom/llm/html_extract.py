@@ -25,7 +25,12 @@ from codeloom.llm.common import prepare
 #: Labelled pages that the potentials are trained on.
 TRAINING_PAGES = 500
 # Element names of HTML by what becomes of them.
-RAW = frozenset("script style noscript template textarea iframe svg math object title select option button".split())
+RAW = frozenset("script style noscript textarea iframe title".split())
+HIDDEN = frozenset("template svg math object select datalist optgroup option button".split())
+FOREIGN = frozenset(["svg", "math"])
+# Elements in which svg and math hold elements of HTML, and inline ones that end an svg or math left open.
+HOSTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+OUT = frozenset("b big br code em embed hr i img meta nobr ruby s small span strike strong sub sup tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
@@ -60,6 +65,8 @@ class Tree:
 
     def _parse(self, page: str) -> None:
         stack, run, links, at, n = [0], [], 0, 0, len(page)
+        # names of the open elements from the outermost HIDDEN one on: no nodes, and their text is never content
+        hidden: list[str] = []
 
         def close() -> None:
             if run:
@@ -67,7 +74,7 @@ class Tree:
                 run.clear()
 
         def text(piece: str) -> None:
-            if piece:
+            if piece and not hidden:
                 run.append(piece)
                 size = len(piece.strip())
                 self.text[stack[-1]] += size
@@ -89,11 +96,26 @@ class Tree:
             if not name:
                 continue
             name, ending = name.lower(), bool(m.group(1) or m.group(4))
+            bare = (m.group(3) or m.group(6) or "").endswith("/")
+            if name in RAW:
+                if not ending and not (bare and hidden and hidden[-1] in FOREIGN):
+                    at = _ENDS[name].search(page, at).end()
+                continue
+            if hidden and not ending and (name in BLOCK or name in OUT):
+                while hidden and hidden[-1] in FOREIGN:
+                    hidden.pop()
+            if hidden and ending and name not in hidden and any(self.tag[d] == name for d in stack):
+                hidden.clear()  # they close with their parent
+            if hidden or name in HIDDEN:
+                if ending:
+                    if name in hidden:
+                        del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+                elif name in HIDDEN or name in BLOCK or (name in HOSTS and not bare):
+                    if not (bare and name in ("svg", "math", "object")):
+                        hidden.append(name)
+                continue
             if name == "a":
                 links = max(0, links - 1) if ending else 1
-            elif name in RAW:
-                if not ending:
-                    at = _ENDS[name].search(page, at).end()
             elif name in BREAKS:
                 close()
             elif name in BLOCK:
@@ -280,7 +302,7 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, html) -> (page_id, url, text, n_chars, n_blocks), one row for each.
 
     Null, empty and textless pages give an empty text. Truncated pages and unclosed elements are read as far as they
-    go. Rows that repeat are extracted each. Empty input: no rows.
+    go; only scripts and the like run to the end of the page. Rows that repeat are extracted each. Empty input: no rows.
     """
     prepare(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())

@@ -50,6 +50,18 @@ def test_html(spark, small):
     assert queries.op1_html_extraction(spark, small).count() == len(rows_of(spark, small, "pages", "page_id"))
 
 
+@pytest.mark.parametrize("part", ["<svg class='x' />", "<div><math/></div>", "<object data='a'/>", "<datalist><option value='hidden a'>hidden<option>hidden b</datalist>", "<select><option>hidden<option>hidden b</select>", "<div><object data='a'>hidden</div>", "<div><button>hidden</div>", "<svg><path d='M0'>", "<svg><title/><foreignObject><div>hidden</div></foreignObject></svg>", "<template><ul><li>hidden<li>hidden</ul></template>", "<div><select><option>hidden</div>"])
+def test_html_hidden_elements(part):
+    article = "<article><h1>Head line</h1><p>The first paragraph, which is long enough to be the article's main text.</p><p>Another paragraph follows here, with some more words in it.</p></article>"
+    page = "<html><body>{}" + article + "<footer>Imprint</footer></body></html>"
+    whole = html_extract.extract(page.format(""), html_extract.trained())[0]
+    assert "Another paragraph" in whole
+    tree = html_extract.Tree(page.format(part))
+    everything = " ".join(tree.blocks([True] * len(tree.tag)))
+    assert whole in everything and "hidden" not in everything
+    assert "Another paragraph" in html_extract.extract(page.format(part), html_extract.trained())[0]
+
+
 def test_kd_search_odd_rows(spark):
     rows = [(i, [float(i % 7), float(i % 3)]) for i in range(60)] + [(100, None), (150, [None, 1.0]), (200, [float("nan"), 1.0]), (250, [1.0]), (None, [1.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
