@@ -91,8 +91,10 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
     counts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "token long, n long")
     counts = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     counts = stage_table(counts, "frequent")
-    least, kept = OFTEN, 0
-    for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():
+    # counts above 10,000 are rounded down to powers of two; if even the largest ones are too many, none are taken
+    bucket = F.when(F.col("n") < 10_000, F.col("n")).otherwise(F.greatest(F.lit(10_000), F.pow(F.lit(2.0), F.floor(F.log2("n"))))).cast("long")
+    least, kept = 1 << 62, 0
+    for r in counts.groupBy(bucket.alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():
         kept += r["c"]
         if kept > FREQUENT:
             break

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import pytest
 
-from codeloom.llm.jaccard_join import jaccard_components, keep_one_per_component
+from codeloom.llm.jaccard_join import frequent_tokens, jaccard_components, keep_one_per_component
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,6 +72,17 @@ def test_blocks_and_common_tokens(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute_force(rows, 3, 90)
 
 
+def test_too_many_tokens_of_the_largest_count(spark, monkeypatch):
+    monkeypatch.setattr("codeloom.llm.jaccard_join.FREQUENT", 10)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text) for i in range(5)] + [(i, " ".join(f"v{i}_{j}" for j in range(20))) for i in range(5, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(frequent_tokens(docs, 3)) == 0
+    assert {tuple(r) for r in jaccard_components(docs, 3, 90).collect()} == brute_force(rows, 3, 90)
+    often = spark.createDataFrame([(i, "x y z") for i in range(10_500)] + [(i, text) for i in range(20_000, 20_002)], "doc_id long, text string")
+    assert len(frequent_tokens(often, 3)) == 1
+
+
 def test_small_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
