@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", without_toxic), ("line_dedup", without_repeated_lines), ("near_duplicates", without_near_duplicates), ("packing", packed)]
 
-#: SQL can't express the first stage's model; tests hold the pipeline against brute force instead.
+#: SQL can't express the first stage's model. Tests hold the stages apart against brute force or known texts; of the whole run only ids and places are checked.
 ORACLE_SQL = None
 
 
