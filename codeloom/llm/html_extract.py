@@ -1,17 +1,15 @@
 """Main-text extraction with a tree-structured graphical model.
 
-A page's block elements form a tree. Every element is content or not: a unary potential rates its own tag, class
-names and text, a pairwise potential ties it to its parent. Sum-product messages go up and then down the tree, once
-over every edge, and give each element's exact marginal. Text of elements whose marginal is 0.5 or more is kept, in
-page order. The potentials are trained on labelled pages that are generated with known parts.
+A page's elements form a tree. Every element is content or not: a unary potential rates its own tag, class names and
+text, a pairwise potential ties it to its parent. Sum-product messages go up and then down the tree, once over every
+edge, and give each element's exact marginal. Text of elements whose marginal is 0.5 or more is kept, in page order.
+The potentials are those of greatest likelihood, given exact marginals, on labelled pages that are generated with
+known parts: with and without wrappers, class names, links and end tags.
 """
 
 from __future__ import annotations
 
-import html
 import math
-import random
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,153 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import prepare
+from codeloom.llm.html_pages import labelled_page, labels
+from codeloom.llm.html_tree import Tree
 
-#: Labelled pages that the potentials are trained on.
-TRAINING_PAGES = 500
-# Element names of HTML by what becomes of them.
-RAW = frozenset("script style noscript textarea iframe title".split())
-HIDDEN = frozenset("template svg math object select datalist optgroup option button".split())
-FOREIGN = frozenset(["svg", "math"])
-# Elements in which svg and math hold elements of HTML, and inline ones that end an svg or math left open.
-HOSTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
-OUT = frozenset("b big br code em embed hr i img meta nobr ruby s small span strike strong sub sup tt u var".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset(
-    "html head body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
-    "form fieldset legend blockquote pre figure figcaption address details summary hgroup center dialog menu label".split()
-)
-BREAKS = frozenset(["br", "hr"])
-# Which open elements an element of this name closes, and where the search for them ends.
-CLOSES = {
-    "li": (("li",), ("ul", "ol", "menu")),
-    "dt": (("dt", "dd"), ("dl",)),
-    "dd": (("dt", "dd"), ("dl",)),
-    "tr": (("tr", "td", "th"), ("table",)),
-    "td": (("td", "th"), ("tr", "table")),
-    "th": (("td", "th"), ("tr", "table")),
-    "body": (("head",), ("html",)),
-}
-ENDS_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "label", "legend"}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
-_CLASS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_NAMES = re.compile(r"[a-z]+")
-_ENDS = {n: re.compile(rf"</{n}\s*+[^>]*+>|\Z", re.I) for n in RAW}
-
-
-class Tree:
-    """Block elements in page order: parent, tag, class words; text segments (element, text, in a link) in page order."""
-
-    def __init__(self, page: str) -> None:
-        self.parent, self.tag, self.words = [-1], ["#root"], [frozenset()]
-        self.segments: list[tuple[int, list[str]]] = []
-        self.text, self.linked = [0], [0]
-        self._parse(page)
-
-    def _parse(self, page: str) -> None:
-        stack, run, links, at, n = [0], [], 0, 0, len(page)
-        # names of the open elements from the outermost HIDDEN one on: no nodes, and their text is never content
-        hidden: list[str] = []
-
-        def close() -> None:
-            if run:
-                self.segments.append((stack[-1], list(run)))
-                run.clear()
-
-        def text(piece: str) -> None:
-            if piece and not hidden:
-                run.append(piece)
-                size = len(piece.strip())
-                self.text[stack[-1]] += size
-                if links:
-                    self.linked[stack[-1]] += size
-
-        def pop_to(depth: int) -> None:
-            close()
-            del stack[depth:]
-
-        while at < n:
-            m = _TOKEN.search(page, at)
-            if not m:
-                text(page[at:])
-                break
-            text(page[at : m.start()])
-            at = m.end()
-            name = m.group(2) or m.group(5)
-            if not name:
-                continue
-            name, ending = name.lower(), bool(m.group(1) or m.group(4))
-            bare = (m.group(3) or m.group(6) or "").endswith("/")
-            if name in RAW:
-                if not ending and not (bare and hidden and hidden[-1] in FOREIGN):
-                    at = _ENDS[name].search(page, at).end()
-                continue
-            if hidden and not ending and (name in BLOCK or name in OUT):
-                while hidden and hidden[-1] in FOREIGN:
-                    hidden.pop()
-            if hidden and ending and name not in hidden and any(self.tag[d] == name for d in stack):
-                hidden.clear()  # they close with their parent
-            if hidden or name in HIDDEN:
-                if ending:
-                    if name in hidden:
-                        del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
-                elif name in HIDDEN or name in BLOCK or (name in HOSTS and not bare):
-                    if not (bare and name in ("svg", "math", "object")):
-                        hidden.append(name)
-                continue
-            if name == "a":
-                links = max(0, links - 1) if ending else 1
-            elif name in BREAKS:
-                close()
-            elif name in BLOCK:
-                if ending:
-                    for d in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[d]] == name:
-                            pop_to(d)
-                            links = 0
-                            break
-                    else:
-                        close()
-                    continue
-                close()
-                links = 0
-                if name in ENDS_P and self.tag[stack[-1]] == "p":
-                    pop_to(len(stack) - 1)
-                if name in CLOSES:
-                    shut, until = CLOSES[name]
-                    for d in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[d]] in shut:
-                            pop_to(d)
-                        elif self.tag[stack[d]] in until:
-                            break
-                self.parent.append(stack[-1])
-                self.tag.append(name)
-                found = " ".join(x for g in _CLASS.findall(m.group(3) or m.group(6) or "") for x in g)
-                self.words.append(frozenset(_NAMES.findall(found.lower())))
-                self.text.append(0), self.linked.append(0)
-                stack.append(len(self.tag) - 1)
-        close()
-
-    def features(self) -> list[list[str]]:
-        """Names of each element's features."""
-        inside, linked = list(self.text), list(self.linked)
-        for i in range(len(self.tag) - 1, 0, -1):
-            inside[self.parent[i]] += inside[i]
-            linked[self.parent[i]] += linked[i]
-        out = []
-        for i, tag in enumerate(self.tag):
-            own, dense = self.text[i], linked[i] / inside[i] if inside[i] else 0.0
-            row = ["tag " + tag, f"own {min(6, own.bit_length() // 2)}", f"links {int(dense * 4 + 0.5)}"]
-            row += ["class " + w for w in self.words[i]]
-            out.append(row)
-        return out
-
-    def blocks(self, keep: list[bool]) -> list[str]:
-        """Texts of the segments of the kept elements: references decoded, white space folded."""
-        out = []
-        for node, pieces in self.segments:
-            if keep[node] and (t := " ".join(html.unescape("".join(pieces)).split())):
-                out.append(t)
-        return out
+#: Labelled pages that the potentials are trained on, steps of training, and the weight of the penalty on large potentials.
+TRAINING_PAGES, STEPS, RIDGE = 1600, 70, 0.1
 
 
 class Model:
@@ -196,98 +52,93 @@ def _log_add(a: float, b: float) -> float:
     return (a + math.log1p(math.exp(b - a))) if a > b else (b + math.log1p(math.exp(a - b)))
 
 
-def _sentence(r: random.Random, n: int) -> str:
-    return " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(n)).capitalize() + "."
-
-
-def labelled_page(seed: int) -> str:
-    """A page whose content elements carry the attribute data-y."""
-    r = random.Random(seed)
-    pick = r.choice
-    s = lambda lo, hi: _sentence(r, r.randint(lo, hi))
-    links = lambda: "".join(f'<li><a href="#">{s(1, 3)[:-1]}</a></li>' for _ in range(r.randint(3, 9)))
-    wrap = lambda names, classes, inner: (lambda n, c: f'<{n} class="{c}">{inner}</{n}>' if c else f"<{n}>{inner}</{n}>")(pick(names), pick(classes))
-    nav = lambda: wrap(["nav", "nav", "div", "div"], ["nav", "menu", "navigation", "navbar", "main-menu", "breadcrumb"], f"<ul>{links()}</ul>") if r.random() < 0.7 else f"<nav><ul>{links()}</ul></nav>"
-    top = lambda: wrap(["header", "div"], ["header", "site-header", "masthead", "banner", "topbar"], f"<h1>{s(1, 4)}</h1><p>{s(2, 8)}</p>" if r.random() < 0.5 else f"<p>{s(2, 8)}</p>{nav()}") if r.random() < 0.7 else f"<header><p>{s(2, 9)}</p></header>"
-    foot = lambda: wrap(["footer", "div"], ["footer", "site-footer", "copyright", "bottom"], f"<p>{s(3, 20)}</p>") if r.random() < 0.4 else f"<footer>&copy; {s(3, 25)}</footer>"
-    ad = lambda: wrap(["div", "aside", "section"], ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "adbox"], s(2, 25) if r.random() < 0.6 else f"<p>{s(4, 30)}</p>")
-    notice = lambda: wrap(["div", "section", "aside"], ["notice", "cookie", "cookie-notice", "consent", "gdpr", "popup", "alert", "newsletter", "subscribe", "modal"], f"<p>{s(4, 25)}</p>")
-    side = lambda: wrap(["aside", "div"], ["sidebar", "side", "related", "widget", "recommended", "popular", "tags"], f"<h3>{s(1, 3)}</h3>" + (f"<ul>{links()}</ul>" if r.random() < 0.6 else f"<p>{s(5, 40)}</p>")) if r.random() < 0.75 else f"<aside><p>{s(4, 40)}</p></aside>"
-    form = lambda: f"<form><label>{s(1, 3)}</label><input><p>{s(2, 9)}</p></form>"
-    one = lambda: wrap(["div", "li", "article", "p"], ["comment", "reply", "comment-body", "user-comment"], f"<p>{s(4, 60)}</p>")
-    comments = lambda: wrap(["section", "div", "ol"], ["comments", "discussion", "responses", "comment-list", "replies", "disqus"], f"<h2>{s(1, 3)}</h2>" + "".join(one() for _ in range(r.randint(1, 5))))
-    share = lambda: wrap(["div", "ul"], ["share", "social", "share-buttons", "follow"], f'<a href="#">{s(1, 2)}</a> <a href="#">{s(1, 2)}</a>')
-
-    def part() -> str:
-        x = r.random()
-        if x < 0.72:
-            return f"<p data-y>{s(*pick([(1, 2), (1, 10), (4, 90)]))}</p>"
-        if x < 0.79:
-            return f"<h{(k := r.randint(2, 4))} data-y>{s(1, 8)}</h{k}>"
-        if x < 0.84:
-            return "<ul data-y>" + "".join(f"<li data-y>{s(1, 20)}</li>" for _ in range(r.randint(2, 6))) + "</ul>"
-        if x < 0.87:
-            return f"<blockquote data-y><p data-y>{s(4, 40)}</p></blockquote>"
-        if x < 0.9:
-            return f"<figure data-y><img><figcaption data-y>{s(2, 12)}</figcaption></figure>"
-        if x < 0.92:
-            return f"<pre data-y>{s(3, 20)}</pre>"
-        if x < 0.94:
-            return "<table data-y>" + "".join(f"<tr data-y><td data-y>{s(1, 5)}</td><td data-y>{s(1, 5)}</td></tr>" for _ in range(3)) + "</table>"
-        return pick([ad, share, form, notice])()
-
-    body = f"<h1 data-y>{s(2, 9)}</h1>" * (r.random() < 0.85) + "".join(part() for _ in range(r.randint(1, 60 if r.random() < 0.15 else 14)))
-    kind = r.random()
-    if kind < 0.55:
-        name, label = pick([("article", ""), ("article", ' class="post"'), ("article", ' class="entry article"')])
-        body = f"<{name}{label} data-y>{body}</{name}>"
-    elif kind < 0.75:
-        body = f"<main data-y>{body}</main>"
-    else:
-        body = f'<div class="{pick(["content", "article", "post", "entry", "story", "article-body", "post-content", "main-content", "text"])}" data-y>{body}</div>'
-    before = "".join(f() for f in (top, nav, notice, ad, side, form) if r.random() < 0.45)
-    after = "".join(f() for f in (comments, share, side, ad, notice, form, nav) if r.random() < 0.35)
-    inner = before + body + after
-    if r.random() < 0.4:
-        inner = f'<div class="{pick(["wrapper", "container", "page", "layout", "row"])}">{inner}</div>'
-    return f"<html><head><title>{s(2, 5)}</title></head><body>{inner}{foot() if r.random() < 0.8 else ''}</body></html>"
-
-
-class _Labelled(Tree):
-    def __init__(self, page: str) -> None:
-        super().__init__(page)
-        marks = [m for m in _TOKEN.finditer(page) if (m.group(2) or "").lower() in BLOCK and not m.group(1)]
-        self.labels = [0, *(int("data-y" in m.group(3)) for m in marks)]
+class _Forest:
+    """Labelled trees side by side, for likelihoods and their slopes. Nodes of one depth pass their messages at once."""
+
+    def __init__(self, pages: list[tuple[str, bool]]) -> None:
+        trees = [Tree(page) for page, _ in pages]
+        sizes = np.array([len(t.tag) for t in trees])
+        first = np.cumsum(sizes) - sizes
+        self.parent = np.concatenate([np.array(t.parent) + f for t, f in zip(trees, first, strict=True)])
+        self.parent[first] = -1
+        self.label = np.concatenate([labels(t, outside) for t, (_, outside) in zip(trees, pages, strict=True)]).astype(float)
+        rows = [row for t in trees for row in t.features()]
+        self.names = {f: k for k, f in enumerate(sorted({f for row in rows for f in row}))}
+        self.index = np.concatenate([[self.names[f] for f in row] for row in rows])
+        self.start = np.cumsum([0, *map(len, rows)])[:-1]
+        self.row = np.repeat(np.arange(len(rows)), list(map(len, rows)))
+        depth = np.zeros(len(rows), int)
+        for i, p in enumerate(self.parent):
+            depth[i] = depth[p] + 1 if p >= 0 else 0
+        self.levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+        self.inner = np.flatnonzero(self.parent >= 0)
+
+    def loss(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Negative log-likelihood with its penalty, and its slope. theta: weights, bias, potentials of (1, 0) and (1, 1); those of (0, .) are 0."""
+        w, bias, p10, p11 = theta[:-3], *theta[-3:]
+        unary = np.add.reduceat(w[self.index], self.start) + bias
+        belief, up, const = unary.copy(), np.zeros(len(unary)), np.zeros(len(unary))
+        for level in reversed(self.levels):
+            b, p = belief[level], self.parent[level]
+            off = np.logaddexp(0, b)
+            up[level] = np.logaddexp(p10, p11 + b) - off
+            np.add.at(belief, p, up[level])
+            const[level] = off
+        roots = self.parent < 0
+        total = np.logaddexp(0, belief[roots]).sum() + const.sum()
+        both = np.zeros((2, len(unary)))
+        for level in self.levels:
+            p = self.parent[level]
+            rest, own = belief[p] - up[level], belief[level]  # the parent without this child, the child without its parent
+            z = np.logaddexp(np.logaddexp(0, own), np.logaddexp(rest + p10, rest + p11 + own))
+            both[0, level], both[1, level] = np.exp(rest + p10 - z), np.exp(rest + p11 + own - z)
+            belief[level] += np.logaddexp(0, p11 + rest) - np.logaddexp(0, p10 + rest)
+        y, up_y = self.label, self.label[self.parent]
+        i = self.inner
+        given = np.array([(up_y[i] * (1 - y[i])).sum(), (up_y[i] * y[i]).sum()])
+        extra = 1 / (1 + np.exp(-np.clip(belief, -50, 50))) - y
+        slope = np.concatenate((np.bincount(self.index, extra[self.row], len(w)), [extra.sum()], both[:, i].sum(axis=1) - given))
+        fit = total - (unary * y).sum() - given @ theta[-2:]
+        return fit + RIDGE / 2 * theta @ theta, slope + RIDGE * theta
+
+
+def _minimum(loss, x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """Quasi-Newton descent with limited memory and step halving."""
+    value, slope = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, kept = slope.copy(), []
+        for s, g in reversed(past):
+            a = s @ d / (s @ g)
+            kept.append(a)
+            d -= a * g
+        d *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(slope).max())
+        for (s, g), a in zip(past, reversed(kept), strict=True):
+            d += s * (a - g @ d / (s @ g))
+        size = 1.0
+        for _ in range(20):
+            found, new = loss(x - size * d)
+            if found <= value - 1e-4 * size * (slope @ d):
+                break
+            size /= 2
+        else:
+            break
+        s, g = -size * d, new - slope
+        if s @ g > 1e-10:
+            past = [*past[1 - memory :], (s, g)]
+        x, slope, done = x + s, new, value - found < 1e-7 * abs(value)
+        value = found
+        if done:
+            break
+    return x
 
 
 @lru_cache(1)
 def trained() -> Model:
-    """Potentials from TRAINING_PAGES generated pages: ridge logistic regression for the unary ones, smoothed counts for the pairs.
-
-    Pair potentials are conditional probabilities of the child's state, and unary ones are fitted given the parent's
-    state, so that the two aren't counted twice.
-    """
-    trees = [_Labelled(labelled_page(i)) for i in range(TRAINING_PAGES)]
-    pair = np.ones((2, 2))
-    for t in trees:
-        for i in range(1, len(t.tag)):
-            pair[t.labels[t.parent[i]], t.labels[i]] += 1
-    pair /= pair.sum(axis=1, keepdims=True)
-    rows = [(f, t.labels[i], t.labels[t.parent[i]]) for t in trees for i, f in enumerate(t.features()) if i]
-    names = {f: k for k, f in enumerate(sorted({f for fs, _, _ in rows for f in fs}))}
-    x = np.zeros((len(rows), len(names) + 1))
-    x[:, -1] = 1
-    for j, (fs, _, _) in enumerate(rows):
-        x[j, [names[f] for f in fs]] = 1
-    y = np.array([r[1] for r in rows], float)
-    above = np.log(pair[:, 1] / pair[:, 0])[[r[2] for r in rows]]
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + above, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - w)
-        w += step / max(1.0, float(np.abs(step).max()))  # long steps overshoot
-    return Model({f: float(w[k]) for f, k in names.items()}, float(w[-1]), np.log(pair).tolist())
+    """Potentials of greatest penalised likelihood on TRAINING_PAGES generated pages."""
+    forest = _Forest([labelled_page(i) for i in range(TRAINING_PAGES)])
+    theta = _minimum(forest.loss, np.zeros(len(forest.names) + 3), STEPS)
+    return Model({f: float(theta[k]) for f, k in forest.names.items()}, float(theta[-3]), [[0.0, 0.0], [float(theta[-2]), float(theta[-1])]])
 
 
 def extract(page: str, model: Model) -> tuple[str, int, float]:
