@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_back, stage_table
+from codeloom.llm.common import discard, join_back, stage_table
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
         small = join_back(large, least, ["a"], ["m"], "c", max(1, large.count()), F.col("b"))
         pairs = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        e = stage_table(small.select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "small")
+        old, e = e, stage_table(small.select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "small")
+        discard(old, large)
         was, mark = mark, _mark(e)
         if mark == was:
             break
