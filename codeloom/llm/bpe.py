@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -44,6 +45,11 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# Capitals of Unicode 16 and 17, which the library knows and Python doesn't yet, and their small letters.
+_NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_NEW_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_NEW = re.compile("[" + "".join(map(chr, _NEW_CAPITALS)) + "]")
+
 class _Table:
     """Hash table from non-negative integers to non-negative integers for arrays of keys; -1 for those it lacks."""
 
@@ -362,7 +368,10 @@ class WordBpe:
 
     def normalise(self, text: str) -> str:
         """NFC and lower case, letter by letter: a final sigma is not special."""
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return (text.translate(_NEW_CAPITALS) if _NEW.search(text) else text).lower()
 
     def split_words(self, chunk: str) -> list[str]:
         """Words of a normalised run without white space."""
