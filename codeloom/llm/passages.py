@@ -157,13 +157,13 @@ def remove_repeated_passages(docs: DataFrame, drop_emptied: bool = False) -> Dat
     repeat a doc_id are treated alike. Empty input: no rows.
     """
     names = docs.columns
-    spans = repeated(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "_id")
-    both = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    place = names.index("text")
+    spans = repeated(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "id")
+    rows = docs.select(F.struct(*[c for c in names if c != "text"]).alias("row"), "text")
+    both = rows.join(spans, F.col("row.doc_id") == F.col("id"), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column, spans, emptied = b.column(place), b.column(len(names)).to_pylist(), []
+            column, spans, emptied = b.column(1), b.column(2).to_pylist(), []
             if any(spans):
                 texts = column.to_pylist()
                 for i, found in enumerate(spans):
@@ -172,12 +172,9 @@ def remove_repeated_passages(docs: DataFrame, drop_emptied: bool = False) -> Dat
                         if drop_emptied and not len(split(texts[i].encode())[0]):
                             emptied.append(i)
                 column = pa.array(texts, column.type)
-            columns = list(b.columns[: len(names)])
-            columns[place] = column
-            rows = pa.RecordBatch.from_arrays(columns, names)
-            yield rows.take(pa.array(np.setdiff1d(np.arange(len(rows)), emptied))) if emptied else rows
-
-    out = both.mapInArrow(run, docs.schema)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
-    return out.select(*names)
+            out = pa.RecordBatch.from_arrays([b.column(0), column], ["row", "text"])
+            yield out.take(pa.array(np.setdiff1d(np.arange(len(out)), emptied))) if emptied else out
+
+    out = both.mapInArrow(run, rows.schema)
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in names])

@@ -105,12 +105,12 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, i, t AS a, lead(t) OVER o AS b, lead(t, 2) OVER o AS c, lead(i) OVER o AS j, lead(i, 2) OVER o AS k
             FROM f WHERE t <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)
         ), g AS (
-            SELECT *, count(*) OVER h AS n, min({'doc_id': doc_id, 'i': i}) OVER h AS first
+            SELECT *, min({'doc_id': doc_id, 'i': i, 'j': j, 'k': k}) OVER h AS first
             FROM w WHERE c IS NOT NULL WINDOW h AS (PARTITION BY a, b, c)
         ), m AS (
-            SELECT doc_id, unnest([i, j, k]) AS i, first.doc_id = doc_id AND first.i = g.i AS kept FROM g WHERE n > 1
+            SELECT doc_id, unnest([i, j, k]) AS i, CASE WHEN first.doc_id = doc_id THEN [first.i, first.j, first.k] ELSE [] END AS own FROM g
         ), gone AS (
-            SELECT doc_id, i FROM m GROUP BY doc_id, i HAVING NOT bool_or(kept)
+            SELECT DISTINCT doc_id, i FROM m WHERE NOT list_contains(own, i)
         ), r AS (
             SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
                    coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '') AS text
