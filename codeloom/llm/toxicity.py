@@ -1,8 +1,8 @@
 """Toxicity scores of deobfuscated text.
 
 Tokens with digits or signs among their letters, letters repeated three times or more, and letters spaced out one by
-one are lattices of what may have been meant: each sign stands for some letters or for nothing, a run of a letter for
-one or two, a space between single letters for nothing. A Viterbi search finds the reading that is likeliest under a
+one are lattices of what may have been meant: each sign stands for some letters or for nothing, a run of a letter
+or sign for one or two, a space between single letters for nothing. A Viterbi search finds the reading that is likeliest under a
 character trigram model, counted over all documents. Restored words join the text's own; a lexicon of words and word
 beginnings, learnt from labelled rows, rates them, and a logistic model of the ratings gives the score.
 """
@@ -109,7 +109,8 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             out.append([(c, 0.0)] if n == 1 else [(c, -0.5), (c * 2, -0.5 if n == 2 else -1.0)])
         elif c in SIGNS:
-            out.append([*((x, -1.0) for x in SIGNS[c]), ("", -9.0)])
+            twice = [(x * 2, -1.5) for x in SIGNS[c]] if n > 1 else []
+            out.append([*((x, -1.0) for x in SIGNS[c]), *twice, ("", -9.0)])
         else:
             out.append([("", -0.5)])
         i += n
@@ -227,12 +228,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     prepare(spark)
     model = Model(log_model(trigram_counts(docs)), {}, 0, 0)
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
     held = [(r["doc_id"], int(r["toxic"])) for r in chosen.collect()]  # TRAINING_ROWS at most
     if not held:
         return model
-    rows = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(held, "doc_id long, toxic int")), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(held, "doc_id long, toxic int")), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")  # of several texts of an id the first in byte order
     shared = spark.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +278,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """Columns ``keep`` (doc_id by default) of each row with score, predicted and restored, the disguised spans and what they were read as."""
     prepare(docs.sparkSession)
     keep = keep or ["doc_id"]
+    given = keep if "text" in keep else [*keep, "text"]
+    at = given.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +287,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         reader = Reader(m.language)
         for b in batches:
             scores, pairs = [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            for text in b.column(at).to_pylist():
                 words, restored = reader.read(text or "")
                 scores.append(m.score(words))
                 pairs.append([f"{s}={w}" for s, w in restored])
@@ -291,7 +295,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(pairs, pa.list_(pa.string()))], [*keep, "score", "predicted", "restored"])
 
     schema = T.StructType([*docs.select(*keep).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("restored", T.ArrayType(T.StringType()))])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*given).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -305,7 +309,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all columns, that aren't predicted to be toxic."""
+    """Rows of ``docs``, with all columns whatever their names, that aren't predicted to be toxic."""
     model = train(docs, labels.where(~is_held_out(F.col("doc_id"))))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score(rows, model, ["row"]).where("predicted = 0").select("row.*")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    kept = score(rows, model, ["row", "text"]).where("predicted = 0")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
