@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Keys that hold at least one row in this many are handled apart; there can be no more of them than this.
 HEAVY_ONE_IN = 1000
-#: Largest number of narrow rows that is ever broadcast after a count.
-BROADCAST_ROWS = 1_000_000
+#: Largest number of narrow rows (some 60 bytes) that is ever broadcast after a count.
+BROADCAST_ROWS = 500_000
 #: Rows of text in one Arrow batch.
 BATCH_ROWS = 512
 

@@ -2,9 +2,11 @@
 
 Sets of word shingles link when ``100 * |A & B| >= percent * |A | B|``. Steps:
 
-1. every text becomes its sorted distinct shingle hashes; equal sets form one class, of which one row goes on;
+1. every text becomes its sorted distinct shingle hashes; equal sets form one class with a number of its own, and one
+   row of it goes on;
 2. classes are partitioned into groups of similar sets (equal smallest hash); a group is compared in blocks of about
-   BLOCK members, each with its own token union;
+   TOKENS tokens, each with its own token union. Where only components are wanted, large groups are first compared
+   with a few of their most typical members; what one of these links is a group of its own, whose members needn't meet;
 3. the matrix holds, for each group, the union of its members' tokens. Under one order of all tokens, frequent ones
    last, two linked sets share a token of their prefixes, and the position of the first shared one bounds the
    overlap; so the matrix is kept for prefixes, with the best bound and the extreme sizes of each group's members;
@@ -13,7 +15,7 @@ Sets of word shingles link when ``100 * |A & B| >= percent * |A | B|``. Steps:
    members are compared exactly;
 5. links are contracted to components.
 
-The result is exact up to collisions of 48-bit shingle hashes within a pair. Frequent tokens only change the order, never the links.
+The result is exact up to collisions of 64-bit shingle hashes within a pair. Frequent tokens only change the order, never the links.
 """
 
 from __future__ import annotations
@@ -22,25 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import words as W
-from codeloom.llm.common import BROADCAST_ROWS, join_back, keep_rows, prepare, stage_table
+from codeloom.llm.common import BROADCAST_ROWS, discard, join_back, keep_rows, prepare, stage_table
 from codeloom.llm.components import connected_components
 
-#: Members of one block of a group, about.
-BLOCK = 512
-#: Sets that are compared with one block in one go.
-QUERIES = 256
+#: Tokens of one block of a group, and of the sets that are compared with it in one go, about.
+TOKENS = 400_000
+#: Members that a large group is first compared with, and how often at most.
+PIVOTS, ROUNDS = 16, 4
 #: Most entries of the table of frequent tokens, which goes to all tasks (16 bytes each). It steers the order only.
 FREQUENT = 2_000_000
 #: Documents in which a token occurs to count as frequent.
 OFTEN = 2
 #: Tokens that two sets must share early on to be compared.
 SHARED = 4
-#: Bytes of a shingle's hash when sets are compared: two sets of 10,000 share a hash by chance once in three million pairs.
-BYTES = 6
 #: Hashes under this share of their range are counted. Prefixes hold the smallest hashes.
 COUNTED = 0.35
 
@@ -104,8 +104,17 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
     return token[np.lexsort((token, n))]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(k, doc_id, text): k tells rows of one shingle set apart; rows that are alike in doc_id and text share it."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", F.col("text").cast("binary").alias("text"))
+
+
+def _digest(s: np.ndarray) -> int:
+    return int(_i64(W.mix(s).sum(dtype=np.uint64)[None])[0])
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, low, prefix): size, 128-bit digest, group and prefix of each text's shingle set."""
+    """(k, doc_id, n, s1, s2, low, prefix): size, 128-bit digest, group and prefix of each text's shingle set."""
     spark = docs.sparkSession
     frequent = frequent_tokens(docs, width)
     order = np.argsort(frequent, kind="stable")
@@ -115,14 +124,14 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
         common, rank = shared.value
         for b in batches:
             n, s1, s2, low, prefix, sizes = [], [], [], [], [], [0]
-            for w in W.word_hashes([x or b"" for x in b.column(1).to_pylist()]):
+            for w in W.word_hashes([x or b"" for x in b.column(2).to_pylist()]):
                 s = W.shingles(w, width)
                 n.append(len(s))
                 if not len(s):
                     s1.append(0), s2.append(0), low.append(0), sizes.append(0)
                     continue
-                s1.append(int(_i64(W.mix(s).sum(dtype=np.uint64)[None])[0]))
-                s2.append(int(_i64(W.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)[None])[0]))
+                s1.append(_digest(s))
+                s2.append(_digest(s ^ np.uint64(0x5851F42D4C957F2D)))
                 need = _need(len(s), percent)
                 p = len(s) - need + min(SHARED, need)
                 first = s[0]
@@ -141,54 +150,48 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 sizes.append(p)
             flat = _i64(np.concatenate(prefix)) if prefix else np.empty(0, np.int64)
             tokens = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, s1, s2)), pa.array(low, pa.int32()), tokens], ["doc_id", "n", "s1", "s2", "low", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n, s1, s2)), pa.array(low, pa.int32()), tokens], ["k", "doc_id", "n", "s1", "s2", "low", "prefix"])
 
-    schema = "doc_id long, n long, s1 long, s2 long, low int, prefix array<long>"
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(sign, schema)
+    return _keyed(docs).mapInArrow(sign, "k long, doc_id long, n long, s1 long, s2 long, low int, prefix array<long>")
 
 
 def _matrix(prefixes: DataFrame) -> DataFrame:
-    """(token, g, g_rest, g_min, g_max, g_c, g_only): an entry for each token of a group's prefixes.
+    """(token, g, g_rest, g_min, g_max, g_blocks, g_only): an entry for each token of a group's prefixes.
 
     Prefixes are sent to their blocks as arrays and aggregated there; only groups of several blocks need a second,
     already reduced, aggregation. g_only is the one set that has the token, if there is only one.
     """
-    best = [F.max("rest").alias("rest"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("c").alias("c"), F.min("one").alias("one"), F.max("other").alias("other")]
+    best = [F.max("rest").alias("rest"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("blocks").alias("blocks"), F.min("one").alias("one"), F.max("other").alias("other")]
 
     def blocks(rows: DataFrame) -> DataFrame:
-        rows = rows.select("gid", "low", "c", "doc_id", "n", "prefix").repartition("gid")
-        rows = rows.select("gid", "low", "c", F.col("n").alias("least"), F.col("n").alias("most"), F.col("doc_id").alias("one"), F.col("doc_id").alias("other"), "n", F.posexplode("prefix").alias("pos", "token"))
+        rows = rows.select("gid", "low", "blocks", "node", "n", "prefix").repartition("gid")
+        rows = rows.select("gid", "low", "blocks", F.col("n").alias("least"), F.col("n").alias("most"), F.col("node").alias("one"), F.col("node").alias("other"), "n", F.posexplode("prefix").alias("pos", "token"))
         return rows.withColumn("rest", F.col("n") - F.col("pos")).groupBy("gid", "token", "low").agg(*best)
 
-    single = blocks(prefixes.where(F.col("c") <= BLOCK)).drop("gid")
-    several = blocks(prefixes.where(F.col("c") > BLOCK)).groupBy("token", "low").agg(*best)
+    single = blocks(prefixes.where("blocks = 1")).drop("gid")
+    several = blocks(prefixes.where("blocks > 1")).groupBy("token", "low").agg(*best)
     only = F.when(F.col("one") == F.col("other"), F.col("one")).alias("g_only")
     every = single.unionByName(several)
-    return every.select("token", F.col("low").alias("g"), F.col("rest").alias("g_rest"), F.col("least").alias("g_min"), F.col("most").alias("g_max"), F.col("c").alias("g_c"), only)
+    return every.select("token", F.col("low").alias("g"), F.col("rest").alias("g_rest"), F.col("least").alias("g_min"), F.col("most").alias("g_max"), F.col("blocks").alias("g_blocks"), only)
 
 
 def _token_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, tokens): the shingle hashes of each text, BYTES each."""
+    """(k, s1, tokens): the sorted shingle hashes of each keyed row, 8 bytes each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
+            s1, sets = [], []
             for w in W.word_hashes([x or b"" for x in b.column(1).to_pylist()]):
-                s = np.unique(W.shingles(w, width) & np.uint64((1 << 8 * BYTES) - 1)).astype("<u8")
-                sets.append(s.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
-
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(cut, "doc_id long, tokens binary")
-
+                s = W.shingles(w, width)
+                s1.append(_digest(s))
+                sets.append(s.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s1, pa.int64()), pa.array(sets, pa.binary())], ["k", "s1", "tokens"])
 
-def _unpacked(tokens: bytes) -> np.ndarray:
-    out = np.zeros((len(tokens) // BYTES, 8), np.uint8)
-    out[:, :BYTES] = np.frombuffer(tokens, np.uint8).reshape(-1, BYTES)
-    return out.view("<i8").ravel()
+    return docs.select("k", "text").mapInArrow(cut, "k long, s1 long, tokens binary")
 
 
 def _compare(percent: int):
-    """Rows sorted by (gid, part): a block's members (copies isn't null) and the sets that open it (query) -> links and numbers of links."""
+    """Rows sorted by (gid, part, node): a block's members (copies isn't null) and the sets that open it (query) -> links and numbers of links."""
 
     def root(parent: dict, x: int) -> int:
         while parent[x] != x:
@@ -235,9 +238,9 @@ def _compare(percent: int):
                     if queries and members:
                         out += run(members, queries)
                     key, members, queries, last = (gid[i], part[i]), [], [], None
-                if doc[i] == last:  # a doc_id that repeats
+                if doc[i] == last:  # a row that repeats
                     continue
-                last, row = doc[i], (doc[i], weight[i], _unpacked(tokens[i].as_py()))
+                last, row = doc[i], (doc[i], weight[i], np.frombuffer(tokens[i].as_py(), "<i8"))
                 if weight[i] is not None:
                     members.append(row)
                 if query[i]:
@@ -254,80 +257,174 @@ def _compare(percent: int):
 
 
 def _links(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "links", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["node", "links", "a", "b"])
 
 
-def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows of ``docs`` (doc_id long, text string) -> (doc_id, n_shingles, component_id, n_links), one for each.
+def _compared(docs: DataFrame, places: DataFrame, twins: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """Links found where the sets of ``places`` (gid, part, node, k, s1, copies, query) meet: (node, links, a, b), staged."""
+    wanted = stage_table(places.select("k").distinct(), "wanted")
+    sets = _token_sets(keep_rows(_keyed(docs), wanted, "k"), width)
+    if twins is not None:  # rows that are alike in doc_id and text: one of them goes on
+        once = keep_rows(sets, twins, "k", "left_anti")
+        sets = once.unionByName(keep_rows(sets, twins, "k").dropDuplicates(["k", "s1"]))
+    if places.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    rows = sets.join(places, ["k", "s1"]).select("gid", "part", "query", "node", "copies", "tokens")
+    rows = rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "node")
+    links = stage_table(rows.mapInArrow(_compare(percent), "node long, links long, a long, b long"), "links")
+    discard(wanted)
+    return links
 
-    Words are runs of other bytes than ASCII white space, A-Z in lower case. n_links counts the other rows linked
-    directly. Null and wordless texts have an empty set, no links and their own doc_id as component. Rows that repeat
-    a doc_id are one node. A null doc_id gets the smallest doc_id of its component, if any. Empty input: no rows.
+
+def _blocks(size: str) -> Column:
+    return F.ceil(F.col(size) / TOKENS)
+
+
+def _with_size(reps: DataFrame, total: int) -> DataFrame:
+    """reps with size, the number of tokens of their group."""
+    groups = reps.groupBy("low").agg(F.sum("n").alias("size"), F.count("*").alias("c"))
+    return join_back(reps, groups, ["low"], ["size"], "c", total, F.col("node"))
+
+
+def _contracted(docs: DataFrame, reps: DataFrame, prefixes: DataFrame, twins: DataFrame | None, total: int, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """reps with home, the smallest node that a member of a large group is linked to by now (or null), and the links found.
+
+    A round compares each member of a large group that has no home yet with PIVOTS of these, those with the fewest
+    prefix tokens that no other member has: members that are linked to one another through a common original find it
+    there. Its cost is in proportion to the group.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.select("doc_id", "text")
+    reps, found = reps.withColumn("home", F.lit(None).cast("long")), []
+    for _ in range(ROUNDS):
+        large = _with_size(reps.where("home is null").drop("size"), total).where(_blocks("size") > 1)
+        large = stage_table(large.select("node", "low", "k", "s1", "n", "size"), "large")
+        if large.isEmpty():
+            break
+        tokens = keep_rows(prefixes.select("node", "prefix"), large.select("node"), "node").join(large.select("node", "low"), "node")
+        tokens = tokens.select("node", "low", F.explode("prefix").alias("token"))
+        often = tokens.groupBy("token", "low").agg(F.count("*").alias("c"), F.min("node").alias("one")).where("c = 1")
+        alone = often.groupBy(F.col("one").alias("node")).agg(F.count("*").alias("alone"))
+        order = F.row_number().over(Window.partitionBy("low").orderBy("alone", F.xxhash64("node")))
+        pivots = large.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("r", order).where(F.col("r") <= PIVOTS)
+        gid = F.xxhash64(F.lit("pivots"), "low").alias("gid")
+        parts = _blocks("size").cast("int")
+        asked = large.select(gid, F.pmod(F.xxhash64("node"), parts).alias("part"), "node", "k", "s1", F.lit(None).cast("long").alias("copies"), F.lit(True).alias("query"))
+        held = pivots.select(gid, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "k", "s1", F.lit(0).cast("long").alias("copies"), F.lit(False).alias("query"))
+        places = asked.unionByName(held).groupBy("gid", "part", "node", "k", "s1").agg(F.max("copies").alias("copies"), F.max("query").alias("query"))
+        places = stage_table(places, "places")
+        links = _compared(docs, places, twins, width, percent).where("a is not null").select("a", "b")
+        discard(large, places)
+        if links.isEmpty():
+            break
+        found.append(links)
+        homes = connected_components(found[-1]).select("node", F.col("component").alias("new"))
+        reps = stage_table(reps.join(homes, "node", "left").withColumn("home", F.coalesce("home", "new")).drop("new"), "reps")
+    return reps, found
+
+
+def _classes(docs: DataFrame, width: int, percent: int, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """(k, doc_id, n, s1, s2) of each row, and of each class (s1, s2, copies, component, in_component, component_id, n_links); both staged.
+
+    n_links is 0 unless ``count_links``.
+    """
+    prepare(docs.sparkSession)
     sig = stage_table(signatures(docs, width, percent), "signatures")
     full = sig.where("n > 0")
-    total = full.count()
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"))
-    classes = stage_table(classes, "classes")
-    reps = classes.where("rep is not null")
-    size = reps.count()
-
-    groups = reps.groupBy("low").agg(F.count("*").alias("c"))
-    reps = join_back(reps, groups, ["low"], ["c"], "c", size, F.col("rep"))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK)
-    gid = F.xxhash64("low", F.pmod(F.xxhash64("rep"), blocks("c")))
-    reps = reps.select("s1", "s2", "rep", "copies", "c", gid.alias("gid"))
-    prefixes = full.dropDuplicates(["doc_id"]).join(reps.select(F.col("rep").alias("doc_id"), "c", "gid"), "doc_id")
-    tokens = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = tokens.select("doc_id", "n", (F.col("n") - F.col("pos")).alias("rest"), "token")
-    matrix = _matrix(prefixes)
+    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.min("k").alias("k"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("low").cast("long").alias("low"))
+    classes = stage_table(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
+    twins = stage_table(full.groupBy("k").count().where("count > 1").select("k"), "twins")
+    twins = None if twins.isEmpty() else twins
+    total = max(1, classes.count())
+    reps = _with_size(classes.select("node", "low", "k", "s1", "n", "copies"), total)
+    prefixes = full.select("k", "s1", "prefix").dropDuplicates(["k", "s1"]).join(classes.select("node", "k", "s1", "n"), ["k", "s1"])
+    found: list[DataFrame] = []
+    if not count_links and not reps.where(_blocks("size") > 1).isEmpty():
+        reps, found = _contracted(docs, reps, prefixes, twins, total, width, percent)
+        if found:  # what is linked by now is a group of its own, apart from the rest of its group
+            own = F.when(F.col("home").isNotNull(), F.xxhash64("low", "home")).otherwise(F.col("low"))
+            reps = _with_size(reps.drop("size").withColumn("low", own), total)
+    if "home" not in reps.columns:
+        reps = reps.withColumn("home", F.lit(None).cast("long"))
+    gid = F.xxhash64("low", F.pmod(F.xxhash64("node"), _blocks("size")))
+    reps = stage_table(reps.select("node", "k", "s1", "n", "copies", "low", "home", _blocks("size").alias("blocks"), gid.alias("gid")), "reps")
+    prefixes = prefixes.select("node", "n", "prefix").join(reps.select("node", "low", "home", "blocks", "gid"), "node")
+
+    postings = prefixes.select("node", "n", "low", "home", F.posexplode("prefix").alias("pos", "token")).withColumn("rest", F.col("n") - F.col("pos"))
     need = F.ceil(F.col("n") * percent / 100)
     bound = (F.least("rest", "g_rest") + (SHARED - 1)) * (100 + percent) >= percent * (F.col("n") + F.greatest("g_min", need))
     sizes = (F.col("g_max") * 100 >= F.col("n") * percent) & (F.col("g_min") * percent <= F.col("n") * 100)
-    hits = postings.join(matrix, "token").where(bound & sizes & ~F.col("g_only").eqNullSafe(F.col("doc_id")))
-    hits = hits.groupBy("doc_id", "g").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.max("g_c").alias("g_c"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks("g_c") - 1)).alias("block")
-    opened = hits.where(F.col("hits") >= F.least(need, F.lit(SHARED))).select("doc_id", "g", every)
-    opened = stage_table(opened.select("doc_id", F.xxhash64("g", "block").alias("gid")), "opened")
-
-    per_group = opened.groupBy("gid").agg(F.count("*").alias("q"))
-    members = reps.select("gid", F.col("rep").alias("doc_id"), "copies").join(per_group, "gid")
-    members = stage_table(members, "members")
-    wanted = stage_table(opened.select("doc_id").unionByName(members.select("doc_id")).distinct(), "wanted")
-    parts = F.ceil(F.col("q") / QUERIES).cast("int")
-    left = members.select("gid", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "doc_id", "copies", F.lit(False).alias("query"))
-    asked = join_back(opened, per_group, ["gid"], ["q"], "q", max(1, opened.count()), F.col("doc_id"))
-    right = asked.select("gid", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), "doc_id", F.lit(None).cast("long").alias("copies"), F.lit(True).alias("query"))
+    apart = F.col("home").isNull() | (F.col("g") != F.col("low"))
+    hits = postings.join(_matrix(prefixes), "token").where(bound & sizes & apart & ~F.col("g_only").eqNullSafe(F.col("node")))
+    hits = hits.groupBy("node", "g").agg(F.count("*").alias("hits"), F.max("n").alias("n"), F.max("g_blocks").alias("g_blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("g_blocks") - 1)).alias("block")
+    opened = hits.where(F.col("hits") >= F.least(need, F.lit(SHARED))).select("node", "n", "g", every)
+    opened = stage_table(opened.select("node", "n", F.xxhash64("g", "block").alias("gid")), "opened")
+
+    per_group = opened.groupBy("gid").agg(F.sum("n").alias("q"), F.count("*").alias("c"))
+    members = reps.select("gid", "node", "copies").join(per_group, "gid")
+    parts = _blocks("q").cast("int")
+    left = members.select("gid", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "copies", F.lit(False).alias("query"))
+    asked = join_back(opened, per_group, ["gid"], ["q"], "c", max(1, opened.count()), F.col("node"))
+    right = asked.select("gid", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", F.lit(None).cast("long").alias("copies"), F.lit(True).alias("query"))
     # a member that opens its own block goes there once; copies is null for those that aren't members
-    places = left.unionByName(right).groupBy("gid", "part", "doc_id").agg(F.max("copies").alias("copies"), F.max("query").alias("query"))
-    places = stage_table(places, "places")
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    rows = _token_sets(keep_rows(docs, wanted, "doc_id"), width).join(places, "doc_id").select("gid", "part", "query", "doc_id", "copies", "tokens")
-    rows = rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "doc_id")
-    links = stage_table(rows.mapInArrow(_compare(percent), "doc_id long, links long, a long, b long"), "links")
-
-    comps = connected_components(links.where("a is not null").select("a", "b"))
-    degree = links.where("doc_id is not null").groupBy("doc_id").agg(F.sum("links").alias("links"))
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    named = named.select("s1", "s2", "copies", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = join_back(sig.select("doc_id", "n", "s1", "s2"), named, ["s1", "s2"], ["component_id", "n_links"], "copies", max(1, total), F.col("doc_id"))
+    places = left.unionByName(right).groupBy("node", "gid", "part").agg(F.max("copies").alias("copies"), F.max("query").alias("query"))
+    places = stage_table(places.join(reps.select("node", "k", "s1"), "node"), "places")
+    links = _compared(docs, places, twins, width, percent)
+
+    edges = links.where("a is not null").select("a", "b")
+    for more in found:
+        edges = edges.unionByName(more)
+    comps = stage_table(connected_components(edges), "components")
+    inside = classes.select("node", "first_id").join(comps, "node")
+    ids = inside.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("c"))
+    inside = join_back(inside, ids, ["component"], ["component_id"], "c", max(1, comps.count()), F.col("node")).select("node", "component", "component_id", F.lit(True).alias("inside"))
+    degree = links.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    named = classes.join(inside, "node", "left").join(degree, "node", "left")
+    within = F.coalesce("inside", F.lit(False))
+    named = named.select(
+        "s1", "s2", "copies", F.coalesce("component", "node").alias("component"), within.alias("in_component"),
+        F.when(within, F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1 if count_links else F.lit(0).cast("long")).alias("n_links"),
+    )
+    named = stage_table(named, "named")
+    discard(classes, reps, opened, places, links, comps)
+    return sig, named
+
+
+def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows of ``docs`` (doc_id long, text string) -> (doc_id, n_shingles, component_id, n_links), one for each.
+
+    Words are runs of other bytes than ASCII white space, A-Z in lower case. n_links counts the other rows linked
+    directly; as each link counts, all members of a group of near copies are compared. Null and wordless texts have an
+    empty set, no links and their own doc_id as component. Every row is compared by its own text, whether or not its
+    doc_id repeats or is null; component_id is the smallest doc_id of the component's rows, null if none has one.
+    Empty input: no rows.
+    """
+    sig, named = _classes(docs.select("doc_id", "text"), width, percent, True)
+    total = max(1, sig.count())
+    out = join_back(sig.select("k", "doc_id", "n", "s1", "s2"), named, ["s1", "s2"], ["component_id", "n_links"], "copies", total, F.struct("k", "doc_id"))
     empty = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
 def keep_one_per_component(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near duplicates: of each component the row with the smallest doc_id stays, with all columns.
+    """``docs`` without near duplicates: of each component one row stays, with all columns, whatever their names.
 
-    Rows with empty texts all stay, and so do rows with a null doc_id; of rows that repeat a doc_id one stays.
+    It is that with the smallest doc_id (null only if no row of the component has one); of several with that id, one.
+    Rows with empty texts all stay.
     """
-    found = jaccard_components(docs, width, percent)
-    gone = stage_table(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = keep_rows(docs, gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    sig, named = _classes(docs.select("doc_id", "text"), width, percent, False)
+    several = named.where("in_component or copies > 1")
+    rows = join_back(sig.where("n > 0").select("k", "doc_id", "s1", "s2"), several, ["s1", "s2"], ["component", "component_id"], "copies", max(1, sig.count()), F.struct("k", "doc_id"))
+    rows = stage_table(rows.where("component is not null").select("k", "doc_id", "component", "component_id"), "rows")
+    first = rows.where("doc_id <=> component_id")
+    chosen = stage_table(first.groupBy("component").agg(F.min("k").alias("k"), F.count("*").alias("c")), "chosen")
+    doubtful = keep_rows(first, chosen.where("c > 1").select("component"), "component")
+    others = doubtful.join(chosen.select("component", F.col("k").alias("best")), "component").where("k <> best")
+    gone = stage_table(rows.where("not (doc_id <=> component_id)").select("k").unionByName(others.select("k")).distinct(), "gone")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("k"))
+    kept = keep_rows(keyed, gone, "k", "left_anti")
+    # rows that are alike in doc_id and text share their key
+    twins = stage_table(sig.where("n > 0").groupBy("k").count().where("count > 1").select("k"), "twins")
+    if not twins.isEmpty():
+        kept = keep_rows(kept, twins, "k", "left_anti").unionByName(keep_rows(kept, twins, "k").dropDuplicates(["k"]))
+    return kept.select("row.*")
