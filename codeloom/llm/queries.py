@@ -51,7 +51,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+    return quotes.conversations(quotes.link_quotes(_table(spark, sf_dir, "conversations")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

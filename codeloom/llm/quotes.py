@@ -3,7 +3,8 @@
 Leading ``>`` signs give each line its quote level. Consecutive lines of one level are a passage; its normalised text
 (case and white space folded) is hashed, and so are its lines. Hashes of quoted passages are joined to those of the
 conversation's own messages; the message that a first-level passage was first written in is what the quoting one
-replies to. Threads are followed to their first message by pointer jumping.
+replies to. Threads are followed to their first message by pointer jumping. Conversations hold the messages without
+quotes in reply order.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import join_back, prepare, stage_table
 
+#: Messages that are put in order together, about.
+RANGE_ROWS = 50_000
 _QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _PARSED = "conv_id long, turn long, role string, content string, keys array<struct<a:long,b:long>>, quotes array<struct<level:int,size:int,a:long,b:long>>"
 
@@ -107,22 +110,49 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 def _roots(replies: DataFrame, rounds: int = 64) -> DataFrame:
     """(conv_id, turn, thread): jumps double each round, so a chain of n replies takes log n of them."""
     at = replies.select("conv_id", "turn", F.col("reply_to").alias("thread"))
+    n = max(1, at.count())
     for _ in range(rounds):
-        up = at.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"))
-        step = stage_table(at.join(up, ["conv_id", "thread"], "left").select("conv_id", "turn", F.coalesce("next", "thread").alias("thread"), F.col("next").isNotNull().alias("moved")), "roots")
+        uses = at.groupBy("conv_id", "thread").agg(F.count("*").alias("c"))
+        up = at.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next")).join(uses, ["conv_id", "thread"])
+        step = join_back(at, up, ["thread", "conv_id"], ["next"], "c", n, F.col("turn"))
+        step = stage_table(step.select("conv_id", "turn", F.coalesce("next", "thread").alias("thread"), F.col("next").isNotNull().alias("moved")), "roots")
         at = step.drop("moved")
         if step.where("moved").isEmpty():
             break
     return at
 
 
-def chat(linked: DataFrame, block: int = 256) -> DataFrame:
-    """One row for each thread, or for each ``block`` turns of a longer one: its messages in reply order, quotes left out."""
-    rows = linked.where("conv_id is not null and turn is not null").withColumn("part", F.floor(F.col("turn") / block))
-    messages = F.sort_array(F.collect_set(F.struct("turn", "reply_to", "role", "content")))
-    return rows.groupBy("conv_id", "thread", "part").agg(messages.alias("messages"))
-
-
 def reply_order(linked: DataFrame) -> DataFrame:
-    """``linked`` with position, the message's place in its thread from 1. A thread's rows meet in one task: for threads of bounded size."""
-    return linked.withColumn("position", F.row_number().over(Window.partitionBy("conv_id", "thread").orderBy("turn", "role", "content")))
+    """``linked`` with position, the message's place in its conversation from 1, by thread, then turn: each comes after that it replies to.
+
+    Rows of one turn follow each other by role and hash of the content. Rows are sorted in ranges of all of these, and
+    ranges are numbered on from one another, so that a conversation of any length is spread over tasks.
+    """
+    order = [F.col("conv_id"), F.col("thread").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role"), F.xxhash64("content")]
+    ranges = max(1, -(-linked.count() // RANGE_ROWS))
+    rows = linked.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    rows = stage_table(rows.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    place, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # the range and the place in it
+    counts = sorted(tuple(r) for r in rows.groupBy(place.alias("p")).count().collect())  # one for about RANGE_ROWS rows
+    starts, past = [], 0
+    for p, c in counts:
+        starts.append((p, past))
+        past += c
+    starts = rows.sparkSession.createDataFrame(starts, "_p long, _start long")
+    rows = rows.withColumn("_p", place).join(F.broadcast(starts), "_p").withColumn("_number", F.col("_start") + within)
+    firsts = rows.groupBy("conv_id").agg(F.min("_number").alias("_first"), F.count("*").alias("_c"))
+    nulls = firsts.where("conv_id is null").head()
+    known = join_back(rows, firsts.where("conv_id is not null"), ["conv_id"], ["_first"], "_c", max(1, past), F.col("_number"))
+    first = F.coalesce("_first", F.lit(nulls["_first"] if nulls else 0))
+    return known.select(*linked.columns, (F.col("_number") - first + 1).alias("position"))
+
+
+def conversations(linked: DataFrame, block: int = 256) -> DataFrame:
+    """(conv_id, part, n_messages, messages): each conversation's messages in reply order, quotes left out, ``block`` to a row.
+
+    messages holds structs (position, thread, turn, reply_to, role, content). Rows that repeat are messages of their
+    own. Messages without a conv_id stand together; those without a turn come last. Empty input: no rows.
+    """
+    rows = reply_order(linked).withColumn("part", F.floor((F.col("position") - 1) / block))
+    messages = F.sort_array(F.collect_list(F.struct("position", "thread", "turn", "reply_to", "role", "content")))
+    return rows.groupBy("conv_id", "part").agg(F.count("*").alias("n_messages"), messages.alias("messages"))
