@@ -9,6 +9,8 @@ mean equal canonical texts.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,29 +84,34 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_id, next_text) of each row: the next row by descending doc_id, after the last the first.
 
-    Rows are dealt into ranges of doc_id, whose edges come from quantiles of the ids. Within a range a window finds
-    the next row; the last row of each range gets the first row of the next range that has rows, sent there as well.
-    Rows with a null doc_id stand last; equal ids follow each other in any order. One row is its own next.
+    Rows of one doc_id follow each other by the hash of their text; those with a null doc_id stand last. Rows are dealt
+    into ranges of doc_id, whose edges come from quantiles of the ids; ids that fill several ranges, and null, are
+    dealt on by ranges of the hash. Within a range a window finds the next row; the last row of each range gets the
+    first row of the next range that has rows, sent there as well. One row is its own next.
     """
-    docs = docs.select("doc_id", text_of(docs).alias("text"))
-    n = docs.count()
-    parts = max(1, min(RANGES, n // RANGE_ROWS))
-    edges = docs.agg(F.percentile_approx("doc_id", F.lit([i / parts for i in range(1, parts)] or [0.5]), F.lit(max(10_000, 20 * parts)))).first()[0] or []
-    edges = sorted(set(edges)) if parts > 1 else []
-    # ranges are numbered in descending order of ids; nulls stand after all
-    place = F.lit(len(edges)) - _below(edges)
-    last = len(edges) + 1
-    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(place))
-    heads = docs.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
+    docs = docs.select("doc_id", text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
+    n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    parts = max(1, min(RANGES, known // RANGE_ROWS))
+    found = docs.agg(F.percentile_approx("doc_id", F.lit([i / parts for i in range(1, parts)] or [0.5]), F.lit(max(10_000, 20 * parts)))).first()[0] or []
+    often = Counter(found) if parts > 1 else Counter()
+    edges = sorted(often)
+    hot = {e: c for e, c in often.items() if c > 1}
+    # ranges are numbered in descending order of ids, and within them by hash; nulls stand after all
+    share = lambda k: F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * k), k - 1).cast("int")
+    dealt = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for e, c in hot.items() for x in (e, c)]).cast("map<bigint,int>"), F.col("doc_id")), F.lit(0)) if hot else F.lit(0)
+    nulls = max(1, min(RANGES, (n - known) // RANGE_ROWS))
+    place = (F.lit(len(edges)) - _below(edges)) * (RANGES + 1) + F.when(dealt > 0, share(dealt)).otherwise(F.lit(RANGES))
+    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit((len(edges) + 1) * (RANGES + 1)) + share(F.lit(nulls))).otherwise(place).cast("long"))
+    heads = docs.groupBy("part").agg(F.min(F.struct((-F.col("doc_id")).alias("id"), "h")).alias("head")).orderBy("part").collect()
     if not heads:
         return docs.select("doc_id", "text", F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
-    by = [(r["part"], r["head"]) for r in heads]
+    by = [(r["part"], None if r["head"]["id"] is None else -r["head"]["id"], r["head"]["h"]) for r in heads]
     # the first row of each range is also needed at the end of the range before it
-    goes = docs.sparkSession.createDataFrame([(by[i][0], by[i][1], by[i - 1][0]) for i in range(len(by))], "part int, head long, to int")
-    heads_of = docs.join(F.broadcast(goes), "part").where(F.col("doc_id").eqNullSafe(F.col("head")))
-    guests = heads_of.select("doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("guest"))
-    rows = docs.select("doc_id", "text", "part", F.lit(False).alias("guest")).unionByName(guests)
-    w = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"))
+    goes = docs.sparkSession.createDataFrame([(*by[i], by[i - 1][0]) for i in range(len(by))], "part long, head long, head_h long, to long")
+    heads_of = docs.join(F.broadcast(goes), "part").where(F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")))
+    guests = heads_of.groupBy("to", "doc_id", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "h", F.col("to").alias("part"), F.lit(True).alias("guest"))
+    rows = docs.select("doc_id", "text", "h", "part", F.lit(False).alias("guest")).unionByName(guests)
+    w = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), "h")
     rows = rows.withColumn("next_id", F.lead("doc_id").over(w)).withColumn("next_text", F.lead("text").over(w))
     return rows.where("not guest").select("doc_id", "text", "next_id", "next_text")
 
