@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_back, stage_table, text_of
+from codeloom.llm.common import discard, join_back, stage_table, text_of
 
 LINES = 3
 
@@ -37,7 +37,10 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     # only what overlaps the window's own first occurrence stays; all else has an equal at an earlier place
     own = F.when(F.col("first.doc_id") == F.col("doc_id"), F.col("first.at")).otherwise(F.array().cast("array<int>"))
     lost = marked.where(F.col("first") != place).select("doc_id", F.array_except("at", own).alias("lost")).where("size(lost) > 0")
-    return lost.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lost")))).alias("covered"))
+    covered = lost.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lost")))).alias("covered"))
+    covered = stage_table(covered, "covered")
+    discard(found)
+    return covered
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Removal of repeated passages wherever they stand: whole lines, parts of lines, or running over line ends.
 
 Words are runs without white space; characters from U+3000 on are words of half the size. A text is cut at line ends,
-sentence ends, words whose hash is the least of nine, and every ten words where there is none of these. Windows run
-from a cut to the first cut WINDOW words later or more, and to a cut from the last one WINDOW words before it or more;
-three consecutive lines that aren't blank are windows too, of any size. Windows are hashed (128 bits) and counted over
+sentence ends, words whose hash is the least of thirteen, and every 14 words where there is none of these. Windows run
+from each cut to the first cut WINDOW words later or more; three consecutive lines that aren't blank are windows too,
+of any size. Windows are hashed (128 bits) and counted over
 all documents. The first occurrence has the smallest doc_id, then the smallest place; words of later ones go but for
 those that overlap the window's own first occurrence, so that each has an equal one at an earlier place. As cuts
 follow from the words around them, a passage of over 50 words is found in any surroundings; a few words may stay at
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_back, prepare, stage_table
+from codeloom.llm.common import discard, join_back, prepare, stage_table
 from codeloom.llm.words import _SPACE, _STEP, _TABLE, mix
 
 LINES = 3
 #: Least words of a window that isn't whole lines, longest piece between cuts, and neighbours on each side of a least hash.
-WINDOW, PIECE, NEAR = 25, 10, 4
+WINDOW, PIECE, NEAR = 25, 14, 6
 _FACTOR = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
@@ -78,9 +78,7 @@ def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     place = np.concatenate(([0], np.cumsum(sizes)))[cuts]
     to = np.searchsorted(place, place + 2 * WINDOW)
     fore = to < len(cuts)
-    back = np.searchsorted(place, place - 2 * WINDOW, "right") - 1
-    aft = back >= 0
-    pairs = np.unique(np.concatenate((cuts[fore] * (n + 1) + cuts[to[fore]], cuts[back[aft]] * (n + 1) + cuts[aft])))
+    pairs = cuts[fore] * (n + 1) + cuts[to[fore]]
     s, e, kind = pairs // (n + 1), pairs % (n + 1), np.zeros(len(pairs), np.uint64)
     if len(first) >= LINES:
         s = np.concatenate((s, first[: len(first) - LINES + 1]))
@@ -145,7 +143,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     # only what overlaps the window's own first occurrence stays; all else has an equal at an earlier place
     own = F.when(F.col("first.doc_id") == F.col("doc_id"), F.col("first.s") + F.col("n"))
     lost = marked.where(F.col("first") != F.struct("doc_id", "s")).select("doc_id", F.greatest("s", own).alias("s"), (F.col("s") + F.col("n")).alias("e"))
-    return lost.where("s < e").groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = stage_table(lost.where("s < e").groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    discard(found, groups)
+    return spans
 
 
 def remove_repeated_passages(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
