@@ -5,7 +5,7 @@ Sets of word shingles link when ``100 * |A & B| >= percent * |A | B|``. Steps:
 1. every text becomes its sorted distinct shingle hashes; equal sets form one class with a number of its own, and one
    row of it goes on;
 2. classes are partitioned into groups of similar sets (equal smallest hash); a group is compared in blocks of about
-   TOKENS tokens, each with its own token union. Where only components are wanted, large groups are first compared
+   BLOCK members, each with its own token union. Where only components are wanted, large groups are first compared
    with a few of their most typical members; what one of these links is a group of its own, whose members needn't meet;
 3. the matrix holds, for each group, the union of its members' tokens. Under one order of all tokens, frequent ones
    last, two linked sets share a token of their prefixes, and the position of the first shared one bounds the
@@ -15,7 +15,8 @@ Sets of word shingles link when ``100 * |A & B| >= percent * |A | B|``. Steps:
    members are compared exactly;
 5. links are contracted to components.
 
-The result is exact up to collisions of 64-bit shingle hashes within a pair. Frequent tokens only change the order, never the links.
+Sets are compared by BYTES of each hash; links that chance could have made there are compared by all eight. So the
+components are exact up to collisions of 64-bit hashes within a pair. Frequent tokens only change the order, never the links.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ from codeloom.llm import words as W
 from codeloom.llm.common import BROADCAST_ROWS, discard, join_back, keep_rows, prepare, stage_table
 from codeloom.llm.components import connected_components
 
-#: Tokens of one block of a group, and of the sets that are compared with it in one go, about.
-TOKENS = 400_000
+#: Members of one block of a group, and of the sets that are compared with it in one go, about; the same for their tokens.
+BLOCK, TOKENS = 1024, 4_000_000
+#: Bytes of each hash that sets are compared by, and how many shared ones chance may add to a pair at most: links that
+#: rest on so few are compared again by whole hashes.
+BYTES, CHANCE = 6, 1
 #: Members that a large group is first compared with, and how often at most.
 PIVOTS, ROUNDS = 16, 4
 #: Most entries of the table of frequent tokens, which goes to all tasks (16 bytes each). It steers the order only.
@@ -175,8 +179,8 @@ def _matrix(prefixes: DataFrame) -> DataFrame:
     return every.select("token", F.col("low").alias("g"), F.col("rest").alias("g_rest"), F.col("least").alias("g_min"), F.col("most").alias("g_max"), F.col("blocks").alias("g_blocks"), only)
 
 
-def _token_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(k, s1, tokens): the sorted shingle hashes of each keyed row, 8 bytes each."""
+def _token_sets(docs: DataFrame, width: int, size: int) -> DataFrame:
+    """(k, s1, tokens): the shingle hashes of each keyed row, ``size`` bytes each; equal ones stay."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,14 +188,24 @@ def _token_sets(docs: DataFrame, width: int) -> DataFrame:
             for w in W.word_hashes([x or b"" for x in b.column(1).to_pylist()]):
                 s = W.shingles(w, width)
                 s1.append(_digest(s))
-                sets.append(s.astype("<u8").tobytes())
+                sets.append(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s1, pa.int64()), pa.array(sets, pa.binary())], ["k", "s1", "tokens"])
 
     return docs.select("k", "text").mapInArrow(cut, "k long, s1 long, tokens binary")
 
 
-def _compare(percent: int):
-    """Rows sorted by (gid, part, node): a block's members (copies isn't null) and the sets that open it (query) -> links and numbers of links."""
+def _unpacked(tokens: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(tokens) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(tokens, np.uint8).reshape(-1, size)
+    return out.view("<i8").ravel()
+
+
+def _compare(percent: int, bytes_: int):
+    """Rows sorted by (gid, part, node): a block's members (copies isn't null) and the sets that open it (query) -> links and numbers of links.
+
+    Sure links come first; of those that chance could have made, only such as still lead somewhere new are told, as doubtful.
+    """
+    chance = CHANCE if bytes_ < 8 else 0
 
     def root(parent: dict, x: int) -> int:
         while parent[x] != x:
@@ -207,7 +221,14 @@ def _compare(percent: int):
         holders = np.repeat(np.arange(len(members)), size)[np.argsort(where, kind="stable")]
         starts = np.cumsum(copies) - copies
         parent: dict[int, int] = {}
-        out = []
+        out, doubtful = [], []
+
+        def joined(a: int, b: int) -> bool:
+            a, b = root(parent, parent.setdefault(a, a)), root(parent, parent.setdefault(b, b))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+            return a != b
+
         for q, _, tokens in queries:
             at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
             at = at[union[at] == tokens]
@@ -220,12 +241,14 @@ def _compare(percent: int):
             near = (100 * common >= percent * (len(tokens) + size - common)) & (ids != q)
             if not near.any():
                 continue
-            out.append((q, int(weight[near].sum()), None, None))
-            for m in ids[near].tolist():
-                a, b = root(parent, parent.setdefault(q, q)), root(parent, parent.setdefault(m, m))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        out += [(None, 0, x, root(parent, x)) for x in parent if root(parent, x) != x]
+            out.append((q, int(weight[near].sum()), None, None, False))
+            least = common - chance
+            sure = near & (100 * least >= percent * (len(tokens) + size - least))
+            for m in ids[sure].tolist():
+                joined(q, m)
+            doubtful += [(q, m) for m in ids[near & ~sure].tolist()]
+        out += [(None, 0, x, root(parent, x), False) for x in parent if root(parent, x) != x]
+        out += [(None, 0, q, m, True) for q, m in doubtful if joined(q, m)]
         return out
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +263,7 @@ def _compare(percent: int):
                     key, members, queries, last = (gid[i], part[i]), [], [], None
                 if doc[i] == last:  # a row that repeats
                     continue
-                last, row = doc[i], (doc[i], weight[i], np.frombuffer(tokens[i].as_py(), "<i8"))
+                last, row = doc[i], (doc[i], weight[i], _unpacked(tokens[i].as_py(), bytes_))
                 if weight[i] is not None:
                     members.append(row)
                 if query[i]:
@@ -257,33 +280,45 @@ def _compare(percent: int):
 
 
 def _links(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["node", "links", "a", "b"])
+    *numbers, doubtful = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(doubtful)], ["node", "links", "a", "b", "doubtful"])
 
 
-def _compared(docs: DataFrame, places: DataFrame, twins: DataFrame | None, width: int, percent: int) -> DataFrame:
+def _compared(docs: DataFrame, places: DataFrame, twins: DataFrame | None, width: int, percent: int, size: int = BYTES) -> DataFrame:
     """Links found where the sets of ``places`` (gid, part, node, k, s1, copies, query) meet: (node, links, a, b), staged."""
     wanted = stage_table(places.select("k").distinct(), "wanted")
-    sets = _token_sets(keep_rows(_keyed(docs), wanted, "k"), width)
+    sets = _token_sets(keep_rows(_keyed(docs), wanted, "k"), width, size)
     if twins is not None:  # rows that are alike in doc_id and text: one of them goes on
         once = keep_rows(sets, twins, "k", "left_anti")
         sets = once.unionByName(keep_rows(sets, twins, "k").dropDuplicates(["k", "s1"]))
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    rows = sets.join(places, ["k", "s1"]).select("gid", "part", "query", "node", "copies", "tokens")
-    rows = rows.repartition("gid", "part").sortWithinPartitions("gid", "part", "node")
-    links = stage_table(rows.mapInArrow(_compare(percent), "node long, links long, a long, b long"), "links")
+    rows = sets.join(F.broadcast(places) if places.count() <= BROADCAST_ROWS else places, ["k", "s1"])
+    rows = rows.select("gid", "part", "query", "node", "copies", "tokens").repartition("gid", "part").sortWithinPartitions("gid", "part", "node")
+    links = stage_table(rows.mapInArrow(_compare(percent, size), "node long, links long, a long, b long, doubtful boolean"), "links")
     discard(wanted)
+    pairs = stage_table(links.where("doubtful").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    n = pairs.count()
+    if n:
+        gid, sides = F.xxhash64("a", "b").alias("gid"), {"a": F.lit(0), "b": F.lit(None)}
+        keys = places.select("node", "k", "s1").distinct()
+        ends = [pairs.select(gid, F.col(c).alias("node"), copies.cast("long").alias("copies"), copies.isNull().alias("query")) for c, copies in sides.items()]
+        again = ends[0].unionByName(ends[1]).join(keys, "node").withColumn("part", F.lit(0))
+        again = stage_table(again.select("gid", "part", "node", "k", "s1", "copies", "query"), "again")
+        held = _compared(docs, again, twins, width, percent, 8).where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if held.count() < n:  # chance made a link: what rested on it may hang together otherwise
+            return _compared(docs, places, twins, width, percent, 8)
+        discard(again)
+    discard(pairs)
     return links
 
 
-def _blocks(size: str) -> Column:
-    return F.ceil(F.col(size) / TOKENS)
+def _blocks(members: str, size: str) -> Column:
+    return F.ceil(F.greatest(F.col(members) / BLOCK, F.col(size) / TOKENS))
 
 
 def _with_size(reps: DataFrame, total: int) -> DataFrame:
-    """reps with size, the number of tokens of their group."""
-    groups = reps.groupBy("low").agg(F.sum("n").alias("size"), F.count("*").alias("c"))
-    return join_back(reps, groups, ["low"], ["size"], "c", total, F.col("node"))
+    """reps with the number of blocks of their group."""
+    groups = reps.groupBy("low").agg(F.sum("n").alias("size"), F.count("*").alias("c")).withColumn("blocks", _blocks("c", "size"))
+    return join_back(reps, groups, ["low"], ["blocks"], "c", total, F.col("node"))
 
 
 def _contracted(docs: DataFrame, reps: DataFrame, prefixes: DataFrame, twins: DataFrame | None, total: int, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -295,8 +330,8 @@ def _contracted(docs: DataFrame, reps: DataFrame, prefixes: DataFrame, twins: Da
     """
     reps, found = reps.withColumn("home", F.lit(None).cast("long")), []
     for _ in range(ROUNDS):
-        large = _with_size(reps.where("home is null").drop("size"), total).where(_blocks("size") > 1)
-        large = stage_table(large.select("node", "low", "k", "s1", "n", "size"), "large")
+        large = _with_size(reps.where("home is null").drop("blocks"), total).where("blocks > 1")
+        large = stage_table(large.select("node", "low", "k", "s1", "n", "blocks"), "large")
         if large.isEmpty():
             break
         tokens = keep_rows(prefixes.select("node", "prefix"), large.select("node"), "node").join(large.select("node", "low"), "node")
@@ -306,7 +341,7 @@ def _contracted(docs: DataFrame, reps: DataFrame, prefixes: DataFrame, twins: Da
         order = F.row_number().over(Window.partitionBy("low").orderBy("alone", F.xxhash64("node")))
         pivots = large.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("r", order).where(F.col("r") <= PIVOTS)
         gid = F.xxhash64(F.lit("pivots"), "low").alias("gid")
-        parts = _blocks("size").cast("int")
+        parts = F.col("blocks").cast("int")
         asked = large.select(gid, F.pmod(F.xxhash64("node"), parts).alias("part"), "node", "k", "s1", F.lit(None).cast("long").alias("copies"), F.lit(True).alias("query"))
         held = pivots.select(gid, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "k", "s1", F.lit(0).cast("long").alias("copies"), F.lit(False).alias("query"))
         places = asked.unionByName(held).groupBy("gid", "part", "node", "k", "s1").agg(F.max("copies").alias("copies"), F.max("query").alias("query"))
@@ -337,15 +372,15 @@ def _classes(docs: DataFrame, width: int, percent: int, count_links: bool) -> tu
     reps = _with_size(classes.select("node", "low", "k", "s1", "n", "copies"), total)
     prefixes = full.select("k", "s1", "prefix").dropDuplicates(["k", "s1"]).join(classes.select("node", "k", "s1", "n"), ["k", "s1"])
     found: list[DataFrame] = []
-    if not count_links and not reps.where(_blocks("size") > 1).isEmpty():
+    if not count_links and not reps.where("blocks > 1").isEmpty():
         reps, found = _contracted(docs, reps, prefixes, twins, total, width, percent)
         if found:  # what is linked by now is a group of its own, apart from the rest of its group
             own = F.when(F.col("home").isNotNull(), F.xxhash64("low", "home")).otherwise(F.col("low"))
-            reps = _with_size(reps.drop("size").withColumn("low", own), total)
+            reps = _with_size(reps.drop("blocks").withColumn("low", own), total)
     if "home" not in reps.columns:
         reps = reps.withColumn("home", F.lit(None).cast("long"))
-    gid = F.xxhash64("low", F.pmod(F.xxhash64("node"), _blocks("size")))
-    reps = stage_table(reps.select("node", "k", "s1", "n", "copies", "low", "home", _blocks("size").alias("blocks"), gid.alias("gid")), "reps")
+    gid = F.xxhash64("low", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    reps = stage_table(reps.select("node", "k", "s1", "n", "copies", "low", "home", "blocks", gid.alias("gid")), "reps")
     prefixes = prefixes.select("node", "n", "prefix").join(reps.select("node", "low", "home", "blocks", "gid"), "node")
 
     postings = prefixes.select("node", "n", "low", "home", F.posexplode("prefix").alias("pos", "token")).withColumn("rest", F.col("n") - F.col("pos"))
@@ -359,11 +394,11 @@ def _classes(docs: DataFrame, width: int, percent: int, count_links: bool) -> tu
     opened = hits.where(F.col("hits") >= F.least(need, F.lit(SHARED))).select("node", "n", "g", every)
     opened = stage_table(opened.select("node", "n", F.xxhash64("g", "block").alias("gid")), "opened")
 
-    per_group = opened.groupBy("gid").agg(F.sum("n").alias("q"), F.count("*").alias("c"))
+    per_group = opened.groupBy("gid").agg(F.sum("n").alias("q"), F.count("*").alias("c")).withColumn("parts", _blocks("c", "q"))
     members = reps.select("gid", "node", "copies").join(per_group, "gid")
-    parts = _blocks("q").cast("int")
+    parts = F.col("parts").cast("int")
     left = members.select("gid", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "copies", F.lit(False).alias("query"))
-    asked = join_back(opened, per_group, ["gid"], ["q"], "c", max(1, opened.count()), F.col("node"))
+    asked = join_back(opened, per_group, ["gid"], ["parts"], "c", max(1, opened.count()), F.col("node"))
     right = asked.select("gid", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", F.lit(None).cast("long").alias("copies"), F.lit(True).alias("query"))
     # a member that opens its own block goes there once; copies is null for those that aren't members
     places = left.unionByName(right).groupBy("node", "gid", "part").agg(F.max("copies").alias("copies"), F.max("query").alias("query"))
