@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
-from codeloom.operators import context, extract, hybrid, navigation, search, store, vector_search
+from codeloom.operators import context, extract, facade, hybrid, navigation, search, store, vector_search
+from codeloom.operators.staging import folder, stage
 from codeloom.plans import canonical as C
 from codeloom.sources import workspace
 from codeloom.streaming import changes
@@ -59,6 +60,13 @@ def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return vector_search.vocabulary(_doc_terms(spark, d), _documents(spark, d).count())
 
 
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sparse vectors and the vocabulary; the terms of the texts are worked out once."""
+    terms = stage(_doc_terms(spark, d))
+    vocab = stage(vector_search.vocabulary(terms, _documents(spark, d).count()))
+    return vector_search.weights(terms, vocab, "doc_id"), vocab
+
+
 @query(r"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct FROM (
     SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\W]+'), lambda x: length(x) > 1) AS t FROM documents) x""")
 def tokenize_simple(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +86,8 @@ def tfidf_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TERMS_SQL} SELECT doc_id, term, round(tf * idf, 6) AS w FROM doc_terms JOIN vocab USING (term)")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    return vector_search.weights(_doc_terms(spark, d), _vocabulary(spark, d), "doc_id").select("doc_id", "term", F.round("w", 6).alias("w"))
+    vectors, _ = _vectors(spark, d)
+    return vectors.select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query(f"""WITH {_TERMS_SQL}, w AS (SELECT doc_id, term, tf * idf AS w FROM doc_terms JOIN vocab USING (term)),
@@ -86,8 +95,8 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT doc_id, sum(w * coalesce(q, 0)) AS dot, sqrt(sum(w * w)) AS norm FROM w LEFT JOIN q USING (term) GROUP BY doc_id)
     SELECT doc_id, round(dot / (norm * (SELECT sqrt(sum(q * q)) FROM q)), 6) AS score FROM s WHERE dot > 0 ORDER BY dot / (norm * (SELECT sqrt(sum(q * q)) FROM q)) DESC, doc_id LIMIT 10""")
 def tfidf_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    vocab = _vocabulary(spark, d)
-    found = vector_search.tfidf_search(vector_search.weights(_doc_terms(spark, d), vocab, "doc_id"), vocab, "doc_id", QUERY_TERMS)
+    vectors, vocab = _vectors(spark, d)
+    found = vector_search.tfidf_search(vectors, vocab, "doc_id", QUERY_TERMS)
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -177,11 +186,10 @@ def _bm25_sql(where: str, having: str) -> str:
     return f"WITH {_POSTINGS}, n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t) SELECT doc_id, round({score}, 6) AS score FROM i JOIN df USING (term), n WHERE {where} GROUP BY doc_id {having}"
 
 
-def _bm25(spark: SparkSession, d: str, terms: str, **how: object) -> DataFrame:
-    docs = _documents(spark, d)
-    index = search.postings(docs, "doc_id", ["text"])
-    n, average = docs.agg(F.count("*"), F.avg(F.size(T.simple_tokens(F.coalesce("text", F.lit("")))))).first()
-    return search.bm25(index, "doc_id", n, average or 1.0, terms, **how).select("doc_id", F.round("score", 6).alias("score"))  # type: ignore[arg-type]
+def _bm25(spark: SparkSession, d: str, terms: str, all_terms: bool = False) -> DataFrame:
+    path = folder(spark)
+    search.write_index(_documents(spark, d), "doc_id", ["text"], path)
+    return search.search_index(spark, path, "doc_id", terms, all_terms).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql("term IN ('the', 'and', 'eau', 'ou')", ""))
@@ -306,14 +314,8 @@ def call_tree(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH RECURSIVE t AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL
     SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1 WHERE t.depth < 5) SELECT conv_id, turn, CAST(depth AS INTEGER) AS depth FROM t""")
 def containment_tree(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.table(spark, d, "conversations").select("conv_id", "turn")
-    front = rows.where("turn = 0").withColumn("depth", F.lit(0))
-    found = front
-    for depth in range(1, 6):
-        up = front.select("conv_id", (F.col("turn") + 1).alias("turn"))
-        front = rows.join(up, ["conv_id", "turn"]).withColumn("depth", F.lit(depth))
-        found = found.unionByName(front)
-    return found
+    rows = C.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("conv_id")).alias("up_conv"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("up_turn"))
+    return navigation.containment_tree(rows, ["conv_id", "turn"], ["up_conv", "up_turn"]).select("conv_id", "turn", "depth")
 
 
 @query(f"""SELECT b.source_key, s.name AS source_name, s.file_path AS source_file, b.target_key, t.name AS target_name FROM (SELECT s_suppkey AS source_key,
@@ -358,7 +360,7 @@ def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_partkey AS key FROM lineitem UNION SELECT l_suppkey FROM lineitem")
 def distinct_union(spark: SparkSession, d: str) -> DataFrame:
     li = C.table(spark, d, "lineitem")
-    return li.select(F.col("l_partkey").alias("key")).union(li.select("l_suppkey")).distinct()
+    return store.distinct_keys(li.select(F.col("l_partkey").alias("key")), li.select("l_suppkey"))
 
 
 # Statistics and architecture
@@ -496,7 +498,7 @@ def remove_workspace(spark: SparkSession, d: str) -> DataFrame:
     return store.remove_workspace(C.symbols(spark, d), "src/promo", "file_path").select("key", "file_path")
 
 
-@query("SELECT event_id, user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) x WHERE next IS NULL OR next > ts + INTERVAL 45 MINUTE")
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) x WHERE next IS NULL OR next >= ts + INTERVAL 45 MINUTE")
 def debounce_events(spark: SparkSession, d: str) -> DataFrame:
     return changes.debounce(C.table(spark, d, "events"), "user_id", "ts", "45 minutes", "event_id").select("event_id", "user_id", "event_type")
 
@@ -509,14 +511,13 @@ def inflight_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT kind, count(*) AS n, CAST(sum(CASE WHEN line > 3 THEN 1 ELSE 0 END) AS BIGINT) AS late, round(avg(confidence), 6) AS mean, max(confidence) AS best FROM {EDGE} GROUP BY kind")
 def edge_statistics(spark: SparkSession, d: str) -> DataFrame:
-    e = C.relationships(spark, d).groupBy("kind")
-    return e.agg(F.count("*").alias("n"), F.count_if(F.col("line") > 3).alias("late"), F.round(F.avg("confidence"), 6).alias("mean"), F.max("confidence").alias("best"))
+    return store.edge_statistics(C.relationships(spark, d), 3).withColumn("mean", F.round("mean", 6))
 
 
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS owner FROM conversations""")
 def last_preceding(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return C.table(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("owner"))
+    said = F.when(F.col("role") == "user", F.col("turn"))
+    return navigation.last_preceding(C.table(spark, d, "conversations"), "conv_id", "turn", said, "owner").select("conv_id", "turn", "owner")
 
 
 @query("SELECT user_id, count(*) AS n_bursts, CAST(sum(n) AS BIGINT) AS n FROM (SELECT user_id, burst, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 45 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) x) y GROUP BY user_id, burst) z GROUP BY user_id")
@@ -537,3 +538,206 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
     SELECT page_id, unnest(l) AS raw, generate_subscripts(l, 1) AS line FROM (SELECT page_id, regexp_split_to_array(html, '\r?\n') AS l FROM pages WHERE html IS NOT NULL) x) y WHERE regexp_extract(raw, '<([a-zA-Z][a-zA-Z0-9-]*)', 1) <> ''""")
 def line_symbols(spark: SparkSession, d: str) -> DataFrame:
     return extract.symbols(_sources(spark, d)).select("file_path", "start_line", "name")
+
+
+# One call each
+
+
+def _bindings(spark: SparkSession, d: str) -> DataFrame:
+    s = C.table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("source_key"), F.when(F.col("s_nationkey") % 3 != 0, F.col("s_suppkey") * 7).alias("target_key"))
+
+
+_HITS = f"(SELECT *, {_RANK} AS match_rank FROM {SYM} WHERE name ILIKE '%small {WORD}%' OR signature ILIKE '%small {WORD}%') x"
+_WORD_RANK = f"CASE WHEN name = '{WORD}' THEN 1 WHEN lower(name) LIKE '{WORD}%' THEN 2 ELSE 3 END"
+_FIRST = f"hit AS (SELECT * FROM (SELECT *, {_WORD_RANK} AS match_rank FROM {SYM} WHERE name ILIKE '%{WORD}%' OR signature ILIKE '%{WORD}%') x ORDER BY match_rank, name, id LIMIT 1)"
+_PATH_LAYER_SQL = _LAYER_SQL.replace("lower(url)", "lower(file_path)")
+
+
+@query(f"""WITH s AS (SELECT * FROM {SYM}) SELECT 'total' AS section, 'symbols' AS name, count(*) AS n FROM part UNION ALL SELECT 'total', 'files', count(*) FROM documents UNION ALL SELECT 'total', 'relationships', count(*) FROM lineitem
+    UNION ALL SELECT * FROM (SELECT 'kind', kind, count(*) AS n FROM s GROUP BY kind ORDER BY n DESC, kind LIMIT 10) a UNION ALL SELECT * FROM (SELECT 'language', language, count(*) AS n FROM s GROUP BY language ORDER BY n DESC, language LIMIT 10) b
+    UNION ALL SELECT 'layer', {_PATH_LAYER_SQL}, count(*) FROM s GROUP BY 2""")
+def explore_overview(spark: SparkSession, d: str) -> DataFrame:
+    return facade.overview(C.symbols(spark, d), _documents(spark, d), C.relationships(spark, d))
+
+
+@query(f"SELECT x.id, x.name, match_rank, (SELECT count(*) FROM lineitem WHERE l_suppkey = x.key) AS n_references FROM (SELECT * FROM {_HITS} ORDER BY match_rank, name, id LIMIT 10) x")
+def explore_find(spark: SparkSession, d: str) -> DataFrame:
+    return facade.find(C.symbols(spark, d), C.relationships(spark, d), f"small {WORD}").select("id", "name", "match_rank", "n_references")
+
+
+@query(f"""WITH {_FIRST}, e AS (SELECT * FROM {EDGE} WHERE kind = 'calls') SELECT 'in' AS direction, * FROM (SELECT id, name FROM {SYM} WHERE key IN (SELECT from_key FROM e WHERE to_key = (SELECT key FROM hit)) ORDER BY name, id LIMIT 8) a
+    UNION ALL SELECT 'out', * FROM (SELECT id, name FROM {SYM} WHERE key IN (SELECT to_key FROM e WHERE from_key = (SELECT key FROM hit)) ORDER BY name, id LIMIT 8) b""")
+def explore_trace(spark: SparkSession, d: str) -> DataFrame:
+    return facade.trace(C.symbols(spark, d), C.relationships(spark, d), WORD)
+
+
+@query(f"WITH {_FIRST} SELECT id, name, signature, CASE WHEN key % 2 = 0 THEN kind END AS resolved_type, {_PATH_LAYER_SQL} AS layer FROM hit")
+def explore_understand(spark: SparkSession, d: str) -> DataFrame:
+    symbols = C.symbols(spark, d)
+    types = symbols.where("key % 2 = 0").select(F.col("id").alias("symbol_id"), F.col("kind").alias("resolved_type"))
+    return facade.understand(symbols, types, WORD).select("id", "name", "signature", "resolved_type", "layer")
+
+
+_LINKS_SQL = "SELECT s_suppkey AS source_key, CASE WHEN s_nationkey % 3 <> 0 THEN s_suppkey * 7 END AS target_key FROM supplier"
+
+
+@query(f"""WITH {_FIRST} SELECT 'reference' AS relation, * FROM (SELECT key, name, file_path FROM {SYM} WHERE key IN (SELECT from_key FROM {EDGE} WHERE to_key = (SELECT key FROM hit)) ORDER BY name, id LIMIT 12) a
+    UNION ALL SELECT 'binding', * FROM (SELECT key, name, file_path FROM {SYM} WHERE key IN (SELECT target_key FROM ({_LINKS_SQL}) l WHERE source_key = (SELECT key FROM hit)) ORDER BY name, id LIMIT 5) b""")
+def explore_related(spark: SparkSession, d: str) -> DataFrame:
+    return facade.related(C.symbols(spark, d), C.relationships(spark, d), _bindings(spark, d), WORD)
+
+
+@query(f"WITH {_FIRST} SELECT key, id, name, kind, file_path, start_line, end_line FROM hit")
+def navigate_definition(spark: SparkSession, d: str) -> DataFrame:
+    return facade.definition(C.symbols(spark, d), WORD)
+
+
+@query(f"SELECT id, name FROM (SELECT *, {_RANK} AS match_rank FROM {SYM} WHERE (name ILIKE '%small {WORD}%' OR signature ILIKE '%small {WORD}%') AND language = 'Brand#2' AND starts_with(file_path, 'src/')) x ORDER BY match_rank, name, id LIMIT 50")
+def search_code_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return facade.search_code(C.symbols(spark, d), f"small {WORD}", language="Brand#2", path="src/").select("id", "name")
+
+
+@query(f"""WITH x AS (SELECT * FROM {_HITS} ORDER BY match_rank, name, id LIMIT 15) SELECT count(*) AS n, array_to_string(list_sort(list(DISTINCT {_PATH_LAYER_SQL})), ',') AS layers,
+    (SELECT count(*) FROM lineitem WHERE l_partkey IN (SELECT key FROM x) AND l_suppkey IN (SELECT key FROM x)) AS n_relationships FROM x""")
+def explore_code(spark: SparkSession, d: str) -> DataFrame:
+    found = facade.explore_code(C.symbols(spark, d), C.relationships(spark, d), f"small {WORD}")
+    return found.select("n", F.array_join("layers", ",").alias("layers"), "n_relationships")
+
+
+@query(f"SELECT id, kind, concat_ws(' ', name, signature) AS content FROM {SYM} WHERE starts_with(file_path, 'src/') AND (signature IS NOT NULL OR kind IN {facade.EMBEDDED_KINDS})")
+def embeddable_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return facade.embeddable(C.symbols(spark, d), "src/").select("id", "kind", "content")
+
+
+_SYMBOL_TERMS_SQL = _TERMS_SQL.replace("SELECT doc_id, regexp_replace(", "SELECT id AS doc_id, regexp_replace(", 1).replace("(text, '(?s)", "(concat_ws(' ', name, signature), '(?s)", 1).replace("FROM documents WHERE text IS NOT NULL", f"FROM {SYM}", 1).replace("FROM documents", "FROM part")
+
+
+@query(f"WITH {_SYMBOL_TERMS_SQL} SELECT doc_id AS id, term, round(tf * idf, 6) AS w FROM doc_terms JOIN vocab USING (term)")
+def semantic_index(spark: SparkSession, d: str) -> DataFrame:
+    _, vectors = facade.semantic_index(C.symbols(spark, d))
+    return vectors.select("id", "term", F.round("w", 6).alias("w"))
+
+
+@query(f"SELECT v.vec_id, s.name, s.kind, s.file_path FROM embeddings v LEFT JOIN {SYM} ON s.key = v.vec_id")
+def vector_metadata(spark: SparkSession, d: str) -> DataFrame:
+    symbols = C.symbols(spark, d).withColumn("id", F.col("key"))
+    return facade.with_metadata_of(C.table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), symbols).withColumnRenamed("id", "vec_id")
+
+
+@query(f"SELECT s.language, count(*) AS total, count(v.vec_id) AS embedded, CAST(floor(count(v.vec_id) * 100 / count(*) + 0.5) AS INTEGER) AS percent FROM {SYM} LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0) v ON v.vec_id = s.key GROUP BY s.language")
+def embedding_progress(spark: SparkSession, d: str) -> DataFrame:
+    vectors = C.table(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"))
+    return facade.embedding_progress(C.symbols(spark, d).withColumn("id", F.col("key")), vectors)
+
+
+@query("SELECT label AS model, count(*) AS n FROM embeddings GROUP BY label")
+def vector_models(spark: SparkSession, d: str) -> DataFrame:
+    return facade.models(C.table(spark, d, "embeddings").withColumnRenamed("label", "model"))
+
+
+@query(f"SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT key FROM {SYM} WHERE starts_with(file_path, 'src/promo/'))")
+def clear_vectors(spark: SparkSession, d: str) -> DataFrame:
+    vectors = C.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return facade.clear_vectors(vectors, C.symbols(spark, d).withColumn("id", F.col("key")), "src/promo").withColumnRenamed("id", "vec_id")
+
+
+@query(f"""WITH a AS (SELECT id FROM {SYM} WHERE name ILIKE '%{WORD}%' ORDER BY name, id LIMIT 50),
+    b AS (SELECT s.id, x.score FROM (SELECT e.vec_id, {_COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, e.vec_id LIMIT 20) x JOIN {SYM} ON s.key = x.vec_id WHERE x.score >= 0.2)
+    SELECT s.id, round(0.3 * CASE WHEN lower(name) = '{WORD}' THEN 1.0 WHEN contains(lower(name), '{WORD}') OR contains('{WORD}', lower(name)) THEN 0.8 ELSE 1 - levenshtein(lower(name), '{WORD}')::DOUBLE / greatest(length(name), {len(WORD)}) END
+    + 0.3 * CASE WHEN a.id IS NOT NULL THEN 0.7 ELSE 0.2 END + 0.4 * coalesce(b.score, 0), 6)::DOUBLE AS score FROM {SYM} LEFT JOIN a ON a.id = s.id LEFT JOIN b ON b.id = s.id WHERE a.id IS NOT NULL OR b.id IS NOT NULL""")
+def hybrid_plain(spark: SparkSession, d: str) -> DataFrame:
+    symbols = C.symbols(spark, d)
+    near = vector_search.nearest(C.table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), 20)
+    semantic = near.join(symbols.select(F.col("key").alias("vec_id"), "id"), "vec_id").select("id", "score")
+    return hybrid.merge_plain(search.by_name(symbols, WORD), semantic, symbols, WORD, limit=1000).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT r.from_key, r.kind, r.line, s.name, s.file_path FROM {EDGE} JOIN {SYM} ON s.key = r.from_key WHERE r.to_key = 2")
+def references_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return navigation.all_references(C.relationships(spark, d), C.symbols(spark, d), 2).select("from_key", "kind", "line", "name", "file_path")
+
+
+@query(f"SELECT object_key, member, min(t.key) AS target FROM (SELECT DISTINCT l_suppkey AS object_key, split_part(p_name, ' ', 1) AS member FROM lineitem JOIN part ON p_partkey = l_partkey) u LEFT JOIN (SELECT key, key // 20 AS parent_key, split_part(name, ' ', 1) AS name FROM {SYM}) t ON t.parent_key = object_key AND t.name = member GROUP BY object_key, member")
+def member_access(spark: SparkSession, d: str) -> DataFrame:
+    first = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1))
+    uses = C.table(spark, d, "lineitem").join(C.table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_suppkey").alias("object_key"), first("p_name").alias("member")).distinct()
+    symbols = C.symbols(spark, d).select("key", F.floor(F.col("key") / 20).alias("parent_key"), first("name").alias("name"))
+    return navigation.member_access(uses, symbols)
+
+
+@query("SELECT doc_id, md5(array_to_string(list_slice(l, greatest(1, a - 3), least(len(l), a + 4)), chr(10))) AS digest FROM (SELECT doc_id, string_split(text, chr(10)) AS l, CAST(1 + doc_id % 5 AS INTEGER) AS a FROM documents WHERE text IS NOT NULL) x")
+def symbol_context(spark: SparkSession, d: str) -> DataFrame:
+    start = (1 + F.col("doc_id") % 5).cast("int")
+    rows = _documents(spark, d).where("text is not null")
+    return rows.select("doc_id", F.md5(context.symbol_context(F.col("text"), start, start + 2)).alias("digest"))
+
+
+@query("SELECT user_id AS path, max(ts) AS last_indexed, count(*) AS n FROM events GROUP BY user_id ORDER BY last_indexed DESC, path LIMIT 50")
+def workspace_list(spark: SparkSession, d: str) -> DataFrame:
+    new = C.table(spark, d, "events").groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("last_indexed"), F.count("*").alias("n"))
+    old = new.withColumn("last_indexed", F.col("last_indexed") - F.expr("interval 1 day")).withColumn("n", F.lit(-1).cast("long"))
+    return store.list_workspaces(store.record_workspaces(old, new))
+
+
+@query(f"SELECT key, kind, start_line, concat('{{\"kind\":\"', kind, '\",\"start_line\":', start_line, '}}') AS metadata FROM {SYM}")
+def json_metadata(spark: SparkSession, d: str) -> DataFrame:
+    rows = store.with_metadata(C.symbols(spark, d).select("key", "kind", "start_line"), "kind", "start_line")
+    again = store.metadata_of(rows.select("key", "metadata"), "kind string, start_line int")
+    return again.join(rows.select("key", "metadata"), "key")
+
+
+@query(r"SELECT doc_id, CAST(length(regexp_extract(text, '^([ \t]*)', 1)) AS INTEGER) AS indent, md5(regexp_replace(substring(text, 1, 80), '([.*+?^${}()|\[\]\\])', '\\\1', 'g')) AS escaped FROM documents WHERE text IS NOT NULL")
+def text_helpers(spark: SparkSession, d: str) -> DataFrame:
+    rows = _documents(spark, d).where("text is not null")
+    return rows.select("doc_id", F.length(T.indentation(F.col("text"))).alias("indent"), F.md5(T.escaped_pattern(F.substring("text", 1, 80))).alias("escaped"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN text = replace(text, 'the ', 'a ') THEN '' ELSE concat('--- Original', chr(10), text, chr(10), '+++ Modified', chr(10), replace(text, 'the ', 'a ')) END) AS digest FROM documents WHERE text IS NOT NULL")
+def diff_preview(spark: SparkSession, d: str) -> DataFrame:
+    rows = _documents(spark, d).where("text is not null")
+    return rows.select("doc_id", F.md5(context.diff_preview(F.col("text"), F.replace("text", F.lit("the "), F.lit("a ")))).alias("digest"))
+
+
+@query(f"SELECT path, CASE WHEN starts_with(path, '/') THEN path ELSE concat('/work/', path) END AS resolved, sha256(concat_ws(chr(10), 'model', content)) AS cache_key FROM {FILE}")
+def resolved_paths(spark: SparkSession, d: str) -> DataFrame:
+    return C.files(spark, d).select("path", T.absolute_path(F.col("path"), "/work").alias("resolved"), T.cache_key(F.lit("model"), F.col("content")).alias("cache_key"))
+
+
+@query(f"WITH {_STORED_SQL} SELECT f.path, md5(f.hash) AS hash FROM {FILE} WHERE f.size % 11 <> 0 UNION SELECT s.path, s.hash FROM stored s WHERE false")
+def upsert_repeated_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every path changes twice, and some are deleted between or after: the last event counts."""
+    f = C.files(spark, d)
+    event = lambda seq, kind, value: f.select("path", "language", "size", value.alias("hash"), F.lit(seq).alias("seq"), kind.alias("type"))
+    gone = F.when(F.col("size") % 11 == 0, "delete").otherwise("change")
+    events = event(1, F.lit("change"), F.col("hash")).unionByName(event(2, F.lit("delete"), F.lit(""))).unionByName(event(3, gone, F.md5("hash")))
+    return changes.apply_changes(_stored(spark, d), events, order="seq").select("path", "hash")
+
+
+@query("SELECT event_id FROM (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next FROM (SELECT event_id, user_id, time_bucket(INTERVAL 45 MINUTE, ts) AS t FROM events) y) x WHERE next IS NULL OR next >= t + INTERVAL 45 MINUTE")
+def debounce_boundary(spark: SparkSession, d: str) -> DataFrame:
+    """Times are rounded down to the gap, so that many events are exactly a gap apart."""
+    events = C.table(spark, d, "events").select("event_id", "user_id", F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 2700) * 2700).alias("t"))
+    return changes.debounce(events, "user_id", "t", "45 minutes", "event_id").select("event_id")
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(CASE WHEN doc_id % 3 = 0 THEN 'new words words' ELSE coalesce(text, '') END), '[\s\W]+'), lambda x: length(x) > 1) AS t FROM documents WHERE doc_id % 5 <> 0),
+    p AS (SELECT doc_id, unnest(t) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM p GROUP BY term""")
+def index_update(spark: SparkSession, d: str) -> DataFrame:
+    """A stored index after some documents changed and some were removed."""
+    docs, path = _documents(spark, d), folder(spark)
+    search.write_index(docs, "doc_id", ["text"], path)
+    changed = docs.where("doc_id % 3 = 0 and doc_id % 5 <> 0").withColumn("text", F.lit("new words words"))
+    index = spark.read.parquet(f"{path}/postings").drop("bucket")
+    index = search.updated_index(index, changed, "doc_id", ["text"], docs.where("doc_id % 5 = 0"))
+    return search.spread(index, "doc_id").select("term", "df", F.col("tf").cast("long").alias("tf"))
+
+
+@query(rf"WITH {_POSTINGS} SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT term) AS terms, count(*) AS postings FROM i")
+def index_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return search.index_statistics(search.postings(_documents(spark, d), "doc_id", ["text"]), "doc_id")
+
+
+@query("SELECT count(*) FILTER (l_returnflag <> 'R') AS succeeded, count(*) FILTER (l_returnflag = 'R') AS failed, CAST(floor(count(*) FILTER (l_returnflag <> 'R') * 100 / count(*) + 0.5) AS INTEGER) AS percent FROM lineitem")
+def batch_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return store.batch_outcome(C.table(spark, d, "lineitem").select((F.col("l_returnflag") != "R").alias("ok")))

@@ -12,10 +12,10 @@ _EDGE_L, _EDGE_R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Quoted strings are matched without a loop over single characters, which would be deep recursion on long ones.
 _COMMENTS_AND_STRINGS = (r"(?s)/\*.*?\*/", r"//[^\n]*", *[rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}" for q in "'\"`"])
 _CODE_TERMS = (
-    rf"{_EDGE_L}[a-zA-Z][a-zA-Z0-9]*{_EDGE_R}",
+    rf"{_EDGE_L}[a-zA-Z][a-zA-Z0-9]++{_EDGE_R}",
     rf"{_EDGE_L}[a-z]+(?:_[a-z]+)+{_EDGE_R}",
     rf"{_EDGE_L}[a-z]+(?:-[a-z]+)+{_EDGE_R}",
-    r"[+\-*/=<>!&|]+",
+    r"[+\-*/=<>!&|]{2,}+",
 )
 # Words that are not terms.
 NOISE = ("var", "let", "const")
@@ -71,10 +71,17 @@ def code_tokens(text: Column) -> Column:
 
 def code_terms(text: Column) -> Column:
     """Distinct lower-case terms of source text without comments and strings: names, joined names, operators."""
-    plain = reduce(lambda t, p: F.regexp_replace(t, p, " "), _COMMENTS_AND_STRINGS, text)
-    found = F.flatten(F.array(*[F.regexp_extract_all(plain, F.lit(p), F.lit(0)) for p in _CODE_TERMS]))
-    kept = F.filter(F.transform(found, F.lower), lambda x: (F.length(x) >= 2) & ~x.isin(*NOISE))
-    return F.array_distinct(kept)
+    none = F.array().cast("array<string>")
+    # patterns of rare terms are only tried on texts that hold their mark
+    marks = (F.lit(True), lambda t: F.contains(t, F.lit("_")), lambda t: t.rlike("[a-z]-[a-z]"), lambda t: t.rlike("[+\\-*/=<>!&|]{2}"))
+
+    def terms(plain: Column) -> Column:
+        found = [F.when(mark if isinstance(mark, Column) else mark(plain), F.regexp_extract_all(plain, F.lit(p), F.lit(0))).otherwise(none) for p, mark in zip(_CODE_TERMS, marks)]
+        return F.filter(F.transform(F.array_distinct(F.flatten(F.array(*found))), F.lower), lambda x: ~x.isin(*NOISE))
+
+    plain = reduce(lambda t, p: F.when(F.contains(t, F.lit(p[1])), F.regexp_replace(t, p[0], " ")).otherwise(t), zip(_COMMENTS_AND_STRINGS, ("/*", "//", "'", '"', "`")), text)
+    # one-element array: the plain text is worked out once
+    return F.array_distinct(F.flatten(F.transform(F.array(plain), terms)))
 
 
 def like_literal(value: str) -> str:
@@ -187,10 +194,41 @@ def embedding_confidence(code: Column, *context: Column) -> Column:
     return F.least(F.lit(1.0), total)
 
 
-def enriched(path: Column, layer_of: Column, language: Column, code: Column) -> Column:
-    """Source text under comment lines that name its file, layer and language."""
+def enriched(path: Column, layer_of: Column, language: Column, code: Column, imports: Column | None = None, exports: Column | None = None, types: Column | None = None, patterns: Column | None = None) -> Column:
+    """Source text under comment lines that name its file, layer and language, and what it imports, exports, declares and follows (arrays)."""
     line = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f"// {label}: "), c))
-    return F.concat_ws("\n", line("File", path), line("Layer", layer_of), line("Language", language), code)
+    listed = lambda label, c: [] if c is None else [F.when(F.size(c) > 0, F.concat(F.lit(f"// {label}: "), F.array_join(c, ", ")))]
+    more = [x for label, c in (("Imports", imports), ("Exports", exports), ("Types", types), ("Patterns", patterns)) for x in listed(label, c)]
+    return F.concat_ws("\n", line("File", path), line("Layer", layer_of), line("Language", language), *more, code)
+
+
+def cache_key(model: Column, text: Column) -> Column:
+    """What an embedding is stored under: the model and the digest of the whole text."""
+    return F.sha2(F.concat_ws("\n", model, text), 256)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Whole per cent, halves up; 0 of nothing."""
+    return F.when(whole == 0, 0).otherwise(F.floor(part * 100 / whole + 0.5)).cast("int")
+
+
+def indentation(line: Column) -> Column:
+    return F.regexp_extract(line, r"^([ \t]*)", 1)
+
+
+def escaped_pattern(text: Column) -> Column:
+    """A regular expression for the text itself."""
+    return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def absolute_path(path: Column, root: str) -> Column:
+    """``path`` below ``root``, unless it begins with a slash."""
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
+def explore_advice(n: Column, layers: Column, patterns: Column) -> Column:
+    """Codes of what to do about a search's hits: how many there are, their layers and their patterns."""
+    return F.array_compact(F.array(F.when(n == 0, "broaden_query"), F.when(F.size(layers) > 2, "cross_cutting"), F.when(F.size(patterns) == 0, "no_known_pattern")))
 
 
 def extension(path: Column) -> Column:

@@ -35,6 +35,45 @@ def scope_depth(files: DataFrame, key: str, text: str) -> DataFrame:
     return rows.unionByName(long.select(key, "i", running.cast("int").alias("depth"))).select(key, (F.col("i") + 1).alias("line"), "depth")
 
 
+def symbol_context(text: Column, start: Column, end: Column) -> Column:
+    """The lines of a symbol (from 1) with three before and two after, within the text."""
+    lines = lines_of(text)
+    first = F.greatest(F.lit(1), start - 3)
+    last = F.least(F.size(lines), end + 2)
+    return F.when(last >= first, F.array_join(F.slice(lines, first, last - first + 1), "\n")).otherwise("")
+
+
+# Lines that import, by language; the first group is what they import.
+IMPORTS = {
+    "javascript": r"""^\s*(?:import|export)\b[^'"]*['"]([^'"]+)['"]""",
+    "typescript": r"""^\s*(?:import|export)\b[^'"]*['"]([^'"]+)['"]""",
+    "python": r"^\s*(?:from|import)\s+([\w.]+)",
+    "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)",
+    "kotlin": r"^\s*import\s+([\w.*]+)",
+    "c_sharp": r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;",
+    "c": r"^\s*#\s*include\s*[<\"]([^>\"]+)",
+    "cpp": r"^\s*#\s*include\s*[<\"]([^>\"]+)",
+    "go": r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$",
+    "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)",
+    "ruby": r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)",
+    "php": r"^\s*(?:use|require|require_once|include)\s*\(?['\"]?([\w./\\]+)",
+    "swift": r"^\s*import\s+(\w+)",
+    "dart": r"^\s*import\s+['\"]([^'\"]+)",
+}
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """(path, line, target) of the lines that import in ``files`` (path, language, content)."""
+    lines = files.select("path", "language", F.posexplode(lines_of(F.col("content"))).alias("i", "raw"))
+    found = F.coalesce(*[F.when(F.col("language") == k, F.regexp_extract("raw", p, 1)) for k, p in IMPORTS.items()], F.lit(""))
+    return lines.select("path", (F.col("i") + 1).alias("line"), found.alias("target")).where("target <> ''")
+
+
+def diff_preview(old: Column, new: Column) -> Column:
+    """Both texts under headings; equal texts give an empty preview."""
+    return F.when(old == new, "").otherwise(F.concat(F.lit("--- Original\n"), old, F.lit("\n+++ Modified\n"), new))
+
+
 def insert_lines(text: Column, line: int, new: str) -> Column:
     """``new`` before ``line`` (from 1)."""
     lines = lines_of(text)
@@ -54,9 +93,11 @@ def delete_lines(text: Column, first: int, last: int) -> Column:
 
 
 def search_replace(files: DataFrame, text: str, old: str, new: str) -> DataFrame:
-    """``files`` with text changed, and n_replaced; the search is for the literal, and so is the replacement."""
+    """``files`` with text changed, n_replaced and n_lines_changed; the search is for the literal, and so is the replacement."""
     n = F.when(F.lit(old == ""), 0).otherwise(F.regexp_count(F.col(text), F.lit(re.escape(old) if old else "$^")))
-    return files.withColumn("n_replaced", n).withColumn(text, F.replace(F.col(text), F.lit(old), F.lit(new)) if old else F.col(text))
+    hit = F.lit(False) if not old else F.contains(F.col(text), F.lit(old))
+    lines = F.size(F.filter(lines_of(F.col(text)), lambda x: F.contains(x, F.lit(old)))) if old and "\n" not in old else F.when(hit, n).otherwise(0)
+    return files.withColumn("n_replaced", n).withColumn("n_lines_changed", lines).withColumn(text, F.replace(F.col(text), F.lit(old), F.lit(new)) if old else F.col(text))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = (".ts", ".js", ".tsx", ".jsx")) -> DataFrame:

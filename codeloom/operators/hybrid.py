@@ -19,7 +19,7 @@ def merge(structural: DataFrame, semantic: DataFrame, symbols: DataFrame, query:
     a = structural.select("id").distinct().withColumn("by_name", F.lit(True))
     b = semantic.groupBy("id").agg(F.max("score").alias("semantic"))
     both = a.join(b, "id", "full_outer")
-    rows = symbols.join(F.broadcast(both) if limit <= 1000 else both, "id")
+    rows = symbols.join(both, "id")
     found = F.coalesce("by_name", F.lit(False))
     name = name_similarity(F.col("name"), F.lit(query))
     shape = structural_score(F.col("kind"), F.col("file_path"), F.col("language"), F.col("end_line") - F.col("start_line"), query)
@@ -34,3 +34,12 @@ def merge(structural: DataFrame, semantic: DataFrame, symbols: DataFrame, query:
 def budget(limit: int) -> tuple[int, int]:
     """How many fuzzy and exact hits to fetch for ``limit`` results."""
     return -(-7 * 2 * limit // 10), -(-3 * 2 * limit // 10)
+
+
+def merge_plain(structural: DataFrame, semantic: DataFrame, symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """The plain variant of merge: the structural score is 0.7 for what was found by name and 0.2 for the rest; no threshold."""
+    a = structural.select("id").distinct().withColumn("by_name", F.lit(True))
+    both = a.join(semantic.groupBy("id").agg(F.max("score").alias("semantic")), "id", "full_outer")
+    rows = symbols.join(both, "id").withColumn("name_score", name_similarity(F.col("name"), F.lit(query)))
+    total = NAME * F.col("name_score") + STRUCTURE * F.when(F.col("by_name"), 0.7).otherwise(STRUCTURE_UNKNOWN) + MEANING * F.coalesce("semantic", F.lit(0.0))
+    return rows.withColumn("score", total).drop("by_name", "semantic").orderBy(F.desc("score"), "id").limit(limit)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.staging import stage
+
 REFERENCE_KINDS = ("calls", "uses", "references")
 # Kinds of symbols and how near they are as the container of a place; others are 5.
 NEARNESS = {"function": 1, "method": 1, "constructor": 1, "class": 2, "interface": 2, "namespace": 3, "variable": 10, "constant": 10, "property": 10}
@@ -48,28 +50,62 @@ def calls(edges: DataFrame, symbols: DataFrame, key: int | str, incoming: bool =
     """Distinct callers (or, if not incoming, callees) of a symbol by name."""
     here, there = ("to_key", "from_key") if incoming else ("from_key", "to_key")
     found = edges.where((F.col("kind") == "calls") & (F.col(here) == key)).select(F.col(there).alias("key")).distinct()
-    return symbols.join(F.broadcast(found) if key is not None else found, "key").orderBy("name", "id").limit(limit)
+    return symbols.join(found, "key").orderBy("name", "id").limit(limit)
 
 
 def call_tree(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """(root, key, level): symbols reached from ``roots`` (key) over calls, each at its first level.
 
-    Breadth first: a round joins the last round's new symbols to the edges and drops those that are known.
+    Breadth first: a round joins the last round's new symbols to the edges and drops those that are known. What a round
+    finds is staged, so that plans don't grow with the depth.
     """
     calls_only = edges.where(F.col("kind") == "calls").select(F.col("from_key").alias("key"), F.col("to_key").alias("next")).distinct()
     found = front = roots.select(F.col("key").alias("root"), "key").distinct().withColumn("level", F.lit(0))
     for level in range(1, depth + 1):
         step = front.join(calls_only, "key").select("root", F.col("next").alias("key")).distinct()
-        front = step.join(found, ["root", "key"], "left_anti").withColumn("level", F.lit(level))
+        front = stage(step.join(found, ["root", "key"], "left_anti").withColumn("level", F.lit(level)))
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found
 
 
+def containment_tree(rows: DataFrame, key: list[str], parent: list[str], depth: int = 5) -> DataFrame:
+    """Rows with depth, from those without a parent (depth 0) down; the columns ``parent`` name the row above by its ``key``."""
+    front = found = rows.where(" and ".join(f"{p} is null" for p in parent)).withColumn("depth", F.lit(0))
+    for level in range(1, depth + 1):
+        up = front.select(*[F.col(k).alias(p) for k, p in zip(key, parent, strict=True)])
+        front = stage(rows.join(up, parent).select(*rows.columns).withColumn("depth", F.lit(level)))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found
+
+
+def last_preceding(rows: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the last value that isn't null at or before each row of its group, such as the visibility or owner that a line sets for those after it."""
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+
+def member_access(uses: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``uses`` (object_key, member) with target, the smallest key of a symbol of that name whose parent is the object, or null."""
+    members = symbols.groupBy(F.col("parent_key").alias("object_key"), F.col("name").alias("member")).agg(F.min("key").alias("target"))
+    return uses.join(members, ["object_key", "member"], "left")
+
+
+def all_references(edges: DataFrame, symbols: DataFrame, key: int | str) -> DataFrame:
+    """Edges of any kind that lead to ``key``, with the symbols that they come from, by file and line."""
+    s = symbols.select(F.col("key").alias("from_key"), "name", "file_path")
+    return edges.where(F.col("to_key") == key).join(s, "from_key").orderBy("file_path", "line")
+
+
 def by_file(refs: DataFrame, order: str, n: int = 3) -> DataFrame:
     """(file_path, total, usage, then the first ``n`` rows of each file by ``order``)."""
     first = Window.partitionBy("file_path").orderBy("line", order)
-    rows = refs.withColumn("rank", F.row_number().over(first)).withColumn("total", F.count("*").over(Window.partitionBy("file_path")))
-    return rows.where(F.col("rank") <= n)
+    # a file's first rows are picked before the shuffle, and its count is combined before another
+    kept = refs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n)
+    return kept.join(refs.groupBy("file_path").agg(F.count("*").alias("total")), "file_path")
 
 
 def bindings(links: DataFrame, symbols: DataFrame) -> DataFrame:

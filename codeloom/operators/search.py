@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import contains_ignoring_case, match_rank, simple_tokens
@@ -11,6 +11,8 @@ from codeloom.functions.text import contains_ignoring_case, match_rank, simple_t
 BOOSTS = {"name": 3.0, "signature": 2.0, "doc_comment": 1.5, "content": 1.0}
 EXACT, PREFIX, FUZZY = 1.0, 0.75, 0.45
 K1, B = 1.2, 0.75
+#: Folders of a stored index.
+BUCKETS = 64
 
 
 def filtered(symbols: DataFrame, language: str | None = None, kinds: list[str] | None = None, path: str | None = None) -> DataFrame:
@@ -83,15 +85,51 @@ def bm25(index: DataFrame, key: str, n_docs: int, average: float, query: str, al
     Only postings of the query's terms are read past the filter; scores are summed before the shuffle.
     """
     wanted = expand_terms(index, query, prefix, fuzzy)
-    df = index.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.countDistinct(key).alias("df"))
+    df = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct(key).alias("df"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = index.join(F.broadcast(wanted), "term").join(F.broadcast(df), "term")
+    hits = index.join(wanted, "term").join(df, "term")
     boost = F.col("boost") if "boost" in index.columns else F.lit(1.0)
     part = boost * F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
     out = hits.groupBy(key).agg(F.sum(part).alias("score"), F.countDistinct("query_term").alias("matched"))
     return out.where(F.col("matched") == len(set(_query_terms(query)))) if all_terms else out
 
 
+def term_bucket(term: Column | str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, key: str, fields: list[str], path: str, buckets: int = BUCKETS) -> None:
+    """Store an inverted index under ``path``: postings in folders by the hash of their term, sorted by term, and the lengths of all documents.
+
+    Searches read the folders of their terms only, and of these the row groups that hold them.
+    """
+    rows = postings(docs, key, fields).withColumn("bucket", term_bucket("term", buckets))
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    size = sum((F.size(simple_tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0))
+    docs.select(key, size.alias("length")).write.parquet(f"{path}/lengths")
+
+
+def search_index(spark: SparkSession, path: str, key: str, query: str, all_terms: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """(key, score, matched) by BM25 from a stored index. Only the postings of the query's terms are read."""
+    n, average = spark.read.parquet(f"{path}/lengths").agg(F.count("*"), F.avg("length")).first()
+    terms = sorted(set(_query_terms(query)))
+    asked = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(term_bucket("t", buckets)).distinct() if terms else None
+    folders = [r[0] for r in asked.collect()] if asked is not None else []
+    index = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(folders) & F.col("term").isin(terms))
+    return bm25(index, key, n, average or 1.0, query, all_terms)
+
+
+def updated_index(index: DataFrame, docs: DataFrame, key: str, fields: list[str], gone: DataFrame | None = None) -> DataFrame:
+    """Postings after ``docs`` were indexed anew and the keys in ``gone`` removed; other documents' postings are kept as they are."""
+    keys = docs.select(key) if gone is None else docs.select(key).unionByName(gone.select(key))
+    return index.join(keys.distinct(), key, "left_anti").unionByName(postings(docs, key, fields))
+
+
+def index_statistics(index: DataFrame, key: str) -> DataFrame:
+    """One row (documents, terms, postings) of an index."""
+    return index.agg(F.countDistinct(key).alias("documents"), F.countDistinct("term").alias("terms"), F.count("*").alias("postings"))
+
+
 def fuzzy_symbols(symbols: DataFrame, query: str, limit: int = 50, **filters: object) -> DataFrame:
     """Symbols for which every term of the query matches exactly, by prefix or by edits, best BM25 score first.
 
