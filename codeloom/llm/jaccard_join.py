@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import words as W
-from codeloom.llm.common import BROADCAST_ROWS, discard, join_back, keep_rows, prepare, stage_table
+from codeloom.llm.common import BROADCAST_ROWS, discard, give_back, join_back, keep_rows, prepare, stage_table
 from codeloom.llm.components import connected_components
 
 #: Members of one block of a group, and of the sets that are compared with it in one go, about; the same for their tokens.
-BLOCK, TOKENS = 1024, 4_000_000
+BLOCK, TOKENS = 1024, 2_000_000
 #: Bytes of each hash that sets are compared by, and how many shared ones chance may add to a pair at most: links that
 #: rest on so few are compared again by whole hashes.
 BYTES, CHANCE = 6, 1
@@ -72,7 +72,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
             both, f = both[order], np.concatenate((freq, c))[order]
             first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
             kept, freq = both[first], np.add.reduceat(f, first)
-            if len(kept) > 4_000_000:
+            if len(kept) > 2_000_000:
                 kept, freq = kept[freq > 1], freq[freq > 1]
             return kept, freq
 
@@ -91,6 +91,8 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
         kept, freq = kept[twice], freq[twice]
         for i in range(0, len(kept), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(_i64(kept[i : i + 50_000])), pa.array(freq[i : i + 50_000])], ["token", "n"])
+        del kept, freq, held
+        give_back()
 
     counts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "token long, n long")
     counts = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
@@ -155,6 +157,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             flat = _i64(np.concatenate(prefix)) if prefix else np.empty(0, np.int64)
             tokens = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n, s1, s2)), pa.array(low, pa.int32()), tokens], ["k", "doc_id", "n", "s1", "s2", "low", "prefix"])
+        give_back()
 
     return _keyed(docs).mapInArrow(sign, "k long, doc_id long, n long, s1 long, s2 long, low int, prefix array<long>")
 
@@ -190,6 +193,7 @@ def _token_sets(docs: DataFrame, width: int, size: int) -> DataFrame:
                 s1.append(_digest(s))
                 sets.append(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s1, pa.int64()), pa.array(sets, pa.binary())], ["k", "s1", "tokens"])
+        give_back()
 
     return docs.select("k", "text").mapInArrow(cut, "k long, s1 long, tokens binary")
 
@@ -275,6 +279,8 @@ def _compare(percent: int, bytes_: int):
             out += run(members, queries)
         if out:
             yield _links(out)
+        members, queries, out = [], [], []
+        give_back()
 
     return stream
 
@@ -334,7 +340,7 @@ def _contracted(docs: DataFrame, reps: DataFrame, prefixes: DataFrame, twins: Da
         large = stage_table(large.select("node", "low", "k", "s1", "n", "blocks"), "large")
         if large.isEmpty():
             break
-        tokens = keep_rows(prefixes.select("node", "prefix"), large.select("node"), "node").join(large.select("node", "low"), "node")
+        tokens = prefixes.join(large.select("k", "s1", "node", "low"), ["k", "s1"])
         tokens = tokens.select("node", "low", F.explode("prefix").alias("token"))
         often = tokens.groupBy("token", "low").agg(F.count("*").alias("c"), F.min("node").alias("one")).where("c = 1")
         alone = often.groupBy(F.col("one").alias("node")).agg(F.count("*").alias("alone"))
@@ -370,7 +376,7 @@ def _classes(docs: DataFrame, width: int, percent: int, count_links: bool) -> tu
     twins = None if twins.isEmpty() else twins
     total = max(1, classes.count())
     reps = _with_size(classes.select("node", "low", "k", "s1", "n", "copies"), total)
-    prefixes = full.select("k", "s1", "prefix").dropDuplicates(["k", "s1"]).join(classes.select("node", "k", "s1", "n"), ["k", "s1"])
+    prefixes = full.select("k", "s1", "prefix").dropDuplicates(["k", "s1"])
     found: list[DataFrame] = []
     if not count_links and not reps.where("blocks > 1").isEmpty():
         reps, found = _contracted(docs, reps, prefixes, twins, total, width, percent)
@@ -381,7 +387,7 @@ def _classes(docs: DataFrame, width: int, percent: int, count_links: bool) -> tu
         reps = reps.withColumn("home", F.lit(None).cast("long"))
     gid = F.xxhash64("low", F.pmod(F.xxhash64("node"), F.col("blocks")))
     reps = stage_table(reps.select("node", "k", "s1", "n", "copies", "low", "home", "blocks", gid.alias("gid")), "reps")
-    prefixes = prefixes.select("node", "n", "prefix").join(reps.select("node", "low", "home", "blocks", "gid"), "node")
+    prefixes = prefixes.join(reps.select("k", "s1", "node", "n", "low", "home", "blocks", "gid"), ["k", "s1"])
 
     postings = prefixes.select("node", "n", "low", "home", F.posexplode("prefix").alias("pos", "token")).withColumn("rest", F.col("n") - F.col("pos"))
     need = F.ceil(F.col("n") * percent / 100)
