@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.bpe import load
-from codeloom.llm.common import prepare, stage_table
+from codeloom.llm.common import give_back, prepare, stage_table
 
 #: Pieces that are numbered together, about.
 NUMBERED = 200
@@ -79,6 +79,7 @@ def cut(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
                     part = data[4 * start : 4 * (start + window)]
                     rows.append((doc, start, len(part) // 4, zlib.crc32(part), n + 1))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

@@ -2,7 +2,8 @@
 
 Words are runs without white space; characters from U+3000 on are words of half the size. A text is cut at line ends,
 sentence ends, words whose hash is the least of thirteen, and every 14 words where there is none of these. Windows run
-from each cut to the first cut WINDOW words later or more; three consecutive lines that aren't blank are windows too,
+from each cut to the first cut WINDOW words later or more, and to each end of a line or sentence from the last cut as
+many words before it; three consecutive lines that aren't blank are windows too,
 of any size. Windows are hashed (128 bits) and counted over
 all documents. The first occurrence has the smallest doc_id, then the smallest place; words of later ones go but for
 those that overlap the window's own first occurrence, so that each has an equal one at an earlier place. As cuts
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import discard, join_back, prepare, stage_table
+from codeloom.llm.common import discard, give_back, join_back, prepare, stage_table
 from codeloom.llm.words import _SPACE, _STEP, _TABLE, mix
 
 LINES = 3
@@ -67,6 +68,7 @@ def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     cut = np.zeros(n + 1, bool)
     cut[first] = cut[n] = True
     cut[1:] |= _END[data[ends - 1]]
+    ends_here = cut.copy()
     least = np.ones(n, bool)
     for k in range(1, min(NEAR, n - 1) + 1):
         least[k:] &= h[k:] < h[:-k]
@@ -78,7 +80,9 @@ def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     place = np.concatenate(([0], np.cumsum(sizes)))[cuts]
     to = np.searchsorted(place, place + 2 * WINDOW)
     fore = to < len(cuts)
-    pairs = cuts[fore] * (n + 1) + cuts[to[fore]]
+    back = np.searchsorted(place, place - 2 * WINDOW, "right") - 1
+    aft = (back >= 0) & ends_here[cuts]
+    pairs = np.unique(np.concatenate((cuts[fore] * (n + 1) + cuts[to[fore]], cuts[back[aft]] * (n + 1) + cuts[aft])))
     s, e, kind = pairs // (n + 1), pairs % (n + 1), np.zeros(len(pairs), np.uint64)
     if len(first) >= LINES:
         s = np.concatenate((s, first[: len(first) - LINES + 1]))
@@ -134,6 +138,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             whole = pa.RecordBatch.from_arrays(columns, ["doc_id", "a", "b", "s", "n"])
             for i in range(0, len(doc), 50_000):
                 yield whole.slice(i, 50_000)
+        give_back()
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     found = stage_table(texts.mapInArrow(run, "doc_id long, a long, b long, s int, n int"), "windows")
@@ -174,6 +179,7 @@ def remove_repeated_passages(docs: DataFrame, drop_emptied: bool = False) -> Dat
                 column = pa.array(texts, column.type)
             out = pa.RecordBatch.from_arrays([b.column(0), column], ["row", "text"])
             yield out.take(pa.array(np.setdiff1d(np.arange(len(out)), emptied))) if emptied else out
+        give_back()
 
     out = both.mapInArrow(run, rows.schema)
     new = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast("long")}

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import prepare
+from codeloom.llm.common import give_back, prepare
 
 #: Most labelled rows that the lexicon and the logistic model are fitted on.
 TRAINING_ROWS = 20_000
@@ -293,6 +293,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                 pairs.append([f"{s}={w}" for s, w in restored])
             columns = [b.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(pairs, pa.list_(pa.string()))], [*keep, "score", "predicted", "restored"])
+        reader.known.clear()
+        give_back()
 
     schema = T.StructType([*docs.select(*keep).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("restored", T.ArrayType(T.StringType()))])
     return docs.select(*given).mapInArrow(run, schema)
