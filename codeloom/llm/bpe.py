@@ -24,16 +24,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import prepare
+from codeloom.llm.common import prepare, remembers
 
 #: Pairs and prefixes remembered by each worker, at most.
 REMEMBERED = 400_000
 #: Runs without white space remembered by each worker, at most (some 200 bytes each).
-RUNS = 800_000
+RUNS = 400_000
 #: Words of more bytes are encoded one by one.
 LONG_WORD = 64
 #: Characters of text that are encoded together, but for longer single texts.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
+#: Words that are encoded together.
+TOGETHER = 16_384
 #: White space by Unicode, without the ASCII separators that str.split() takes for such as well.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -313,7 +315,15 @@ class WordBpe:
         return good[where]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """encode_word() of many words: the same steps, taken place by place for all words together."""
+        """encode_word() of many words: the same steps, taken place by place for all words together, those of like length first."""
+        if len(words) > TOGETHER:
+            found: list[list[int]] = [[]] * len(words)
+            by_length = sorted(range(len(words)), key=lambda i: len(words[i]))
+            for k in range(0, len(words), TOGETHER):
+                part = by_length[k : k + TOGETHER]
+                for i, ids in zip(part, self.encode_words([words[i] for i in part]), strict=True):
+                    found[i] = ids
+            return found
         coded = [w.encode("utf-8") for w in words]
         sizes = np.array([len(c) for c in coded])
         order = np.argsort(-sizes, kind="stable")
@@ -450,6 +460,9 @@ def load(path: str, decoding: bool = True) -> WordBpe:
     return WordBpe(path, decoding)
 
 
+remembers(load.cache_clear)
+
+
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens, ids, decoded, ids_sha256, decoded_sha256); ids and decoded only on demand.
 

@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager, contextmanager, suppress
 
 import pyarrow as pa
@@ -44,8 +44,22 @@ def arrow_rows(spark: SparkSession, rows: int) -> AbstractContextManager:
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def give_back() -> None:
-    """Return freed memory to the system at the end of a task: a worker goes on to other stages, and its freed memory would count beside theirs."""
+_forget: list[Callable[[], None]] = []
+
+
+def remembers(forget: Callable[[], None]) -> None:
+    """Name what empties a memory that an operator keeps between the tasks of a worker."""
+    _forget.append(forget)
+
+
+def give_back(keep: bool = False) -> None:
+    """Return freed memory to the system at the end of a task: a worker goes on to other stages, and its freed memory would count beside theirs.
+
+    What operators remember between tasks goes too, unless the task is of an operator that does so (``keep``).
+    """
+    if not keep:
+        for forget in _forget:
+            forget()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

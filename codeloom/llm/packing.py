@@ -79,7 +79,8 @@ def cut(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
                     part = data[4 * start : 4 * (start + window)]
                     rows.append((doc, start, len(part) // 4, zlib.crc32(part), n + 1))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        give_back()
+            del rows
+            give_back(keep=True)  # each batch: what a long text took isn't held beside the next ones
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

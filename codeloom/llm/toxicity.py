@@ -249,6 +249,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(["", *names]), pa.array([n[1], *(toxic[f] for f in names)], pa.int64()), pa.array([n[0], *(clean[f] for f in names)], pa.int64())], ["entry", "t", "c"])
         names = [f for f in clean if f not in toxic and clean[f] > 0]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), pa.array([clean[f] for f in names], pa.int64())], ["entry", "t", "c"])
+        give_back()
 
     found = rows.mapInArrow(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     found = found.where((F.col("t") >= SEEN) & ((F.col("t") > 2 * F.col("c")) | (F.col("entry") == "")) | (F.col("entry") == "")).orderBy(F.desc("t"), "entry").limit(ENTRIES)
@@ -266,6 +267,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 words = reader.read(text or "")[0]
                 out.append(summary(m.ratings(words, label), len(words)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), b.column(2)], ["x", "toxic"])
+        give_back()
 
     sample = rows.mapInArrow(rate, "x array<double>, toxic int").toPandas()  # TRAINING_ROWS short rows at most
     if len(sample) and sample["toxic"].nunique() == 2:
