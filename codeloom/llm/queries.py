@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, fingerprints, html_extract, jaccard_join, kd_search, line_dedup, packing, quotes, toxicity, warc
+from codeloom.llm import bpe, fingerprints, html_extract, jaccard_join, kd_search, line_dedup, packing, prefix_trie, quotes, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,9 +70,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_kd_search, op3_fingerprints, op4_warc, op5_packing, op6_bpe, op7_line_dedup, op8_jaccard_join, op9_quote_linking, op10_toxicity, pipeline)
+    for f in (op1_html_extraction, op2_kd_search, op3_fingerprints, op4_warc, op5_packing, op6_bpe, op7_line_dedup, op8_jaccard_join, op9_quote_linking, op10_toxicity, op11_prefix_trie, pipeline)
 }
 
+def _crc_table() -> list[int]:
+    """The remainders of all bytes under CRC-32's reflected polynomial."""
+    out = []
+    for r in range(256):
+        for _ in range(8):
+            r = r >> 1 ^ 0xEDB88320 * (r & 1)
+        out.append(r)
+    return out
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_kd_search": """
         WITH v AS (
@@ -119,4 +133,43 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, r.text, CAST(coalesce(length(r.text), 0) AS BIGINT) AS n_chars, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
         FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id
     """,
+    "op11_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY place) AS turns FROM t GROUP BY conv_id
+        ), crc AS (
+            SELECT {_crc_table()} AS remainders
+        ), h AS (
+            SELECT conv_id, turns, CAST(xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                lambda a, b: xor(remainders[CAST(xor(a, b) & 255 AS INTEGER) + 1], a >> 8))) % 4 AS INTEGER) AS h
+            FROM c, crc
+        ), r AS (
+            SELECT h.conv_id, list_concat(coalesce(list_slice(b.turns, 1, h), []), list_slice(h.turns, h + 1, len(h.turns))) AS turns
+            FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20
+        ), p AS (
+            SELECT conv_id, len(turns) AS length, unnest(range(len(turns) + 1)) AS depth, turns FROM r
+        ), n AS (
+            SELECT list_slice(turns, 1, depth) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE length = depth), '')) AS ends_sha256
+            FROM p GROUP BY 1, 2
+        ), m AS (
+            SELECT n.*, list_slice(path, 1, depth - 1) AS above,
+                   CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(path[depth].text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+            FROM n
+        ), k AS (
+            SELECT above, depth - 1 AS depth, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY 1, 2
+        ), a AS (
+            SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN k ON k.above = m.path AND k.depth = m.depth
+        ), u AS (
+            SELECT list_slice(path, 1, d) AS path, d AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+            FROM (SELECT *, unnest(range(depth + 1)) AS d FROM a) GROUP BY 1, 2
+        )
+        SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children,
+               CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+        FROM a JOIN u ON u.path = a.path AND u.depth = a.depth LEFT JOIN a b ON a.depth > 0 AND b.path = a.above AND b.depth = a.depth - 1
+    """,
 }
