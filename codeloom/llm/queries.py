@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, fingerprints, html_extract, jaccard_join, kd_search, line_dedup, packing, prefix_trie, quotes, toxicity, warc
+from codeloom.llm import bpe, fingerprints, html_extract, jaccard_join, kd_search, lexical, line_dedup, packing, prefix_trie, quotes, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -62,6 +62,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_kd_search, op3_fingerprints, op4_warc, op5_packing, op6_bpe, op7_line_dedup, op8_jaccard_join, op9_quote_linking, op10_toxicity, op11_prefix_trie, pipeline)
+    for f in (op1_html_extraction, op2_kd_search, op3_fingerprints, op4_warc, op5_packing, op6_bpe, op7_line_dedup, op8_jaccard_join, op9_quote_linking, op10_toxicity, op11_prefix_trie, op13_lexical_search, pipeline)
 }
 
 def _crc_table() -> list[int]:
@@ -172,4 +176,24 @@ ORACLE_SQL: dict[str, str] = {
                CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
         FROM a JOIN u ON u.path = a.path AND u.depth = a.depth LEFT JOIN a b ON a.depth > 0 AND b.path = a.above AND b.depth = a.depth - 1
     """,
+    "op13_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), c AS (
+            SELECT count(*) FILTER (WHERE len(terms) > 0) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM d
+        ), t AS (
+            SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, term
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), s AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+            FROM q JOIN t USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+    """,
 }
