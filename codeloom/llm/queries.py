@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, fingerprints, html_extract, jaccard_join, kd_search, lexical, line_dedup, packing, prefix_trie, quotes, toxicity, warc
+from codeloom.llm import bpe, fingerprints, html_extract, jaccard_join, kd_search, lexical, line_dedup, packing, pieces, prefix_trie, quotes, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_ids=False)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -74,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_kd_search, op3_fingerprints, op4_warc, op5_packing, op6_bpe, op7_line_dedup, op8_jaccard_join, op9_quote_linking, op10_toxicity, op11_prefix_trie, op13_lexical_search, pipeline)
+    for f in (op1_html_extraction, op2_kd_search, op3_fingerprints, op4_warc, op5_packing, op6_bpe, op7_line_dedup, op8_jaccard_join, op9_quote_linking, op10_toxicity, op11_prefix_trie, op12_pieces, op13_lexical_search, pipeline)
 }
 
 def _crc_table() -> list[int]:
