@@ -97,6 +97,7 @@ DECLARATIONS: dict[str, list[tuple[str, str]]] = {
         ("operator", r"^\s*.*\b(operator *[^\s\w(]+) *\("),
         ("function", rf"^{_NOT_CONTROL}(?:static +|inline +|constexpr +)*{_C_TYPE}([A-Za-z_][\w:]*) *\([^;]*\)[^;]*\{{?\s*$"),
         ("method", rf"^\s+{_NOT_CONTROL}(?:virtual +|static +|inline +|explicit +)*{_C_TYPE}{_ID} *\([^)]*\)"),
+        ("method", rf"^\s+{_NOT_CONTROL}(?:inline +|explicit +|constexpr +)*{_ID} *\([^;]*\)[^;]*\{{"),
     ],
     "go": [
         ("namespace", r"^package +(\w+)"),
