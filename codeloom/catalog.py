@@ -312,7 +312,7 @@ def call_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL
-    SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1 WHERE t.depth < 5) SELECT conv_id, turn, CAST(depth AS INTEGER) AS depth FROM t""")
+    SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1) SELECT conv_id, turn, CAST(depth AS INTEGER) AS depth FROM t""")
 def containment_tree(spark: SparkSession, d: str) -> DataFrame:
     rows = C.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("conv_id")).alias("up_conv"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("up_turn"))
     return navigation.containment_tree(rows, ["conv_id", "turn"], ["up_conv", "up_turn"]).select("conv_id", "turn", "depth")

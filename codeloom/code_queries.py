@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from codeloom.catalog import query
 from codeloom.operators import navigation, structure
 from codeloom.operators.staging import stage
-from codeloom.plans.sources import SOURCES_SQL, source_files
+from codeloom.plans import canonical as C
+from codeloom.plans.sources import LANGUAGES, SOURCES_SQL, source_files
 
 
 def _symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -20,3 +21,45 @@ def code_symbols(spark: SparkSession, d: str) -> DataFrame:
     found = _symbols(spark, d)
     parents = found.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
     return found.join(parents, "parent_id", "left").select("file_path", "name", "kind", "start_line", "start_column", "end_line", "parent", "visibility", "doc_comment")
+
+
+def _probes(spark: SparkSession, d: str) -> DataFrame:
+    """A place in the code for each item: line 7 * its number of the file of its order's customer."""
+    li, orders = C.table(spark, d, "lineitem"), C.table(spark, d, "orders")
+    rows = li.join(orders, li["l_orderkey"] == orders["o_orderkey"])
+    language = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("o_custkey") % 3 + 1).cast("int"))
+    probe = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return rows.select(probe.alias("probe_id"), F.concat(F.lit("src/c"), "o_custkey", F.lit("."), language).alias("file_path"), (F.col("l_partkey") % 90 + 1).alias("line"), (F.col("l_suppkey") % 30).alias("col")).distinct()
+
+
+_PROBES_SQL = """code_probes AS (SELECT DISTINCT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS probe_id,
+    concat('src/c', o_custkey, '.', ['java', 'python', 'ruby'][CAST(o_custkey % 3 + 1 AS INTEGER)]) AS file_path, l_partkey % 90 + 1 AS line, l_suppkey % 30 AS col
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(f"""WITH {SOURCES_SQL}, {_PROBES_SQL}, r AS (SELECT probe_id, name, start_line, end_line - start_line AS size,
+    row_number() OVER (PARTITION BY probe_id ORDER BY end_line - start_line, start_line) AS n FROM code_probes JOIN code_symbols USING (file_path) WHERE line BETWEEN start_line AND end_line)
+    SELECT probe_id, name, start_line, size FROM r WHERE n = 1""")
+def code_position(spark: SparkSession, d: str) -> DataFrame:
+    """The smallest symbol at each probe's line."""
+    found = _symbols(spark, d)
+    hits = navigation.at_position(_probes(spark, d), found, "file_path")
+    return hits.join(found.select("id", "name", "start_line"), "id").select("probe_id", "name", "start_line", "size")
+
+
+@query(f"""WITH {SOURCES_SQL}, {_PROBES_SQL}, r AS (SELECT probe_id, name, start_line, row_number() OVER (PARTITION BY probe_id ORDER BY CASE kind WHEN 'method' THEN 1 WHEN 'class' THEN 2 ELSE 5 END, end_line - start_line, start_line) AS n
+    FROM code_probes JOIN code_symbols USING (file_path) WHERE kind IN ('method', 'class') AND line BETWEEN start_line AND end_line AND (line > start_line OR col >= start_column)
+    AND (line < end_line OR col <= CASE language WHEN 'java' THEN 5 WHEN 'python' THEN 16 ELSE 5 END - CASE WHEN kind = 'class' THEN CASE language WHEN 'java' THEN 4 WHEN 'python' THEN 0 ELSE 2 END ELSE 0 END))
+    SELECT probe_id, name, start_line FROM r WHERE n = 1""")
+def code_container(spark: SparkSession, d: str) -> DataFrame:
+    """The method or class around each probe's line and column."""
+    found = _symbols(spark, d)
+    hits = navigation.containing(_probes(spark, d), found.where("kind in ('method', 'class')"))
+    return hits.join(found.select("id", "name", "start_line"), "id").select("probe_id", "name", "start_line")
+
+
+@query(f"WITH {SOURCES_SQL} SELECT file_path, name, start_line, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS depth FROM code_symbols")
+def code_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols with their depth in their file."""
+    rows = _symbols(spark, d).select("file_path", "id", "parent_id", "name", "start_line")
+    return navigation.containment_tree(rows, ["id"], ["parent_id"]).select("file_path", "name", "start_line", "depth")

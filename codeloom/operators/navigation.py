@@ -12,29 +12,81 @@ REFERENCE_KINDS = ("calls", "uses", "references")
 NEARNESS = {"function": 1, "method": 1, "constructor": 1, "class": 2, "interface": 2, "namespace": 3, "variable": 10, "constant": 10, "property": 10}
 
 
+def bins(first: Column, last: Column) -> Column:
+    """The whole numbers from ``first`` to ``last`` (not negative) as an array of dyadic bins (level, bin).
+
+    A bin of level k holds 2^k numbers; an interval of n numbers takes fewer than 2 log n bins, and a number is in
+    exactly one bin of each level, so that it meets an interval's bins once if the interval holds it, and else never.
+    """
+    size = last - first + 1
+    levels = F.sequence(F.lit(0), F.floor(F.log2(size.cast("double"))).cast("int"))
+
+    def at(k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        low, past = F.floor((first + width - 1) / width), F.floor((last + 1) / width)  # doubles hold places below 2^53
+        some = low < past
+        left = F.when(some & (low % 2 == 1), F.struct(k.alias("level"), low.alias("bin")))
+        right = F.when(some & (past % 2 == 1), F.struct(k.alias("level"), (past - 1).alias("bin")))
+        return F.array(left, right)
+
+    return F.when(size > 0, F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull()))
+
+
+def bins_of(place: Column, levels: int) -> Column:
+    """The bin of each level from 0 to ``levels`` that holds a number."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place.cast("long"), k).alias("bin")))
+
+
+def _levels(binned: DataFrame) -> int:
+    return binned.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+
+
+def span_index(spans: DataFrame, file: str) -> DataFrame:
+    """Spans (id, file, start_line, end_line) -> (file, level, bin, best): for each bin of lines its smallest span (size, id)."""
+    best = F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "id")
+    each = spans.select(file, best.alias("best"), F.explode(bins(F.col("start_line").cast("long"), F.col("end_line").cast("long"))).alias("b"))
+    return each.groupBy(file, F.col("b.level").alias("level"), F.col("b.bin").alias("bin")).agg(F.min("best").alias("best"))
+
+
 def at_position(probes: DataFrame, spans: DataFrame, file: str) -> DataFrame:
     """For each probe (probe_id, file, line) the smallest span (id, file, start_line, end_line) that holds it; ties by id.
 
-    An equi-join on the file, so that a probe meets only its own file's spans.
+    A probe meets one entry of the span index for each level at most, however many spans its file has.
     """
-    hits = probes.join(spans, file).where((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
-    least = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "id")).alias("m")
-    return hits.groupBy("probe_id").agg(least).select("probe_id", F.col("m.id").alias("id"), F.col("m.size").alias("size"))
+    index = stage(span_index(spans, file))
+    asked = probes.select("probe_id", file, F.explode(bins_of(F.col("line"), _levels(index))).alias("b")).select("probe_id", file, "b.*")
+    hits = asked.join(index, [file, "level", "bin"])
+    return hits.groupBy("probe_id").agg(F.min("best").alias("m")).select("probe_id", F.col("m.id").alias("id"), F.col("m.size").alias("size"))
 
 
 def containing(probes: DataFrame, symbols: DataFrame, file: str = "file_path") -> DataFrame:
     """For each probe (probe_id, file, line, col) the symbol that contains it: nearest kind first, then the smallest.
 
-    Columns count only on a span's first and last line.
+    Columns count only on a span's first and last line. The lines between those are binned as in the span index; the
+    columns of the first and last line are binned for each line, so that a probe meets one entry for each level of either.
     """
-    hits = probes.join(symbols, file).where((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
-    hits = hits.where(((F.col("line") > F.col("start_line")) | (F.col("col") >= F.col("start_column"))) & ((F.col("line") < F.col("end_line")) | (F.col("col") <= F.col("end_column"))))
     near = F.lit(5)
     for kind, n in NEARNESS.items():
         near = F.when(F.col("kind") == kind, n).otherwise(near)
     size = (F.col("end_line") - F.col("start_line")) * 1000 + F.col("end_column") - F.col("start_column")
-    least = F.min(F.struct(near.alias("near"), size.alias("size"), "id")).alias("m")
-    return hits.groupBy("probe_id").agg(least).select("probe_id", F.col("m.id").alias("id"))
+    a, b, c, d = (F.col(x).cast("long") for x in ("start_line", "end_line", "start_column", "end_column"))
+    widest = max(symbols.agg(F.max(F.greatest("start_column", "end_column"))).first()[0] or 0, probes.agg(F.max("col")).first()[0] or 0)
+    end = F.lit(widest).cast("long")
+    none, nothing = F.lit(-1).cast("long"), F.lit(0).cast("long")
+    # (line, first, last): -1 and the lines between, or a line and its columns
+    parts = F.array(
+        F.struct(none.alias("line"), (a + 1).alias("first"), (b - 1).alias("last")),
+        F.struct(a.alias("line"), F.greatest(c, nothing).alias("first"), F.when(a == b, d).otherwise(end).alias("last")),
+        F.struct(F.when(a < b, b).alias("line"), nothing.alias("first"), d.alias("last")),
+    )
+    each = symbols.select(file, F.struct(near.alias("near"), size.alias("size"), "id").alias("best"), F.explode(parts).alias("p")).where("p.line is not null")
+    each = each.select(file, "best", F.col("p.line").alias("line"), F.explode(bins(F.col("p.first"), F.col("p.last"))).alias("b"))
+    index = stage(each.groupBy(file, "line", F.col("b.level").alias("level"), F.col("b.bin").alias("bin")).agg(F.min("best").alias("best")))
+    levels = _levels(index)
+    places = F.array(F.struct(none.alias("line"), F.col("line").cast("long").alias("at")), F.struct(F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("at")))
+    asked = probes.select("probe_id", file, F.explode(places).alias("p")).select("probe_id", file, F.col("p.line").alias("line"), F.explode(bins_of(F.col("p.at"), levels)).alias("b"))
+    hits = asked.select("probe_id", file, "line", "b.*").join(index, [file, "line", "level", "bin"])
+    return hits.groupBy("probe_id").agg(F.min("best").alias("m")).select("probe_id", F.col("m.id").alias("id"))
 
 
 def references(edges: DataFrame, symbols: DataFrame, key: int | str | None = None, kinds: tuple[str, ...] = REFERENCE_KINDS) -> DataFrame:
@@ -70,16 +122,28 @@ def call_tree(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     return found
 
 
-def containment_tree(rows: DataFrame, key: list[str], parent: list[str], depth: int = 5) -> DataFrame:
-    """Rows with depth, from those without a parent (depth 0) down; the columns ``parent`` name the row above by its ``key``."""
-    front = found = rows.where(" and ".join(f"{p} is null" for p in parent)).withColumn("depth", F.lit(0))
-    for level in range(1, depth + 1):
-        up = front.select(*[F.col(k).alias(p) for k, p in zip(key, parent, strict=True)])
-        front = stage(rows.join(up, parent).select(*rows.columns).withColumn("depth", F.lit(level)))
-        if front.isEmpty():
+def containment_tree(rows: DataFrame, key: list[str], parent: list[str]) -> DataFrame:
+    """Rows with depth, from those without a parent (depth 0) down; the columns ``parent`` name the row above by its ``key``.
+
+    Pointers to the row above are doubled, so that a tree of depth n takes log n rounds. Rows below a parent that isn't
+    there, or in a circle, have no depth and are left out. Of rows that share a key one without a parent counts as the row above.
+    """
+    known = F.coalesce(*[F.col(p) for p in parent]).isNotNull()
+    up = F.when(known, F.struct(*[F.col(p).alias(k) for k, p in zip(key, parent, strict=True)]))
+    at = rows.select(F.struct(*key).alias("key"), up.alias("up")).groupBy("key").agg(F.min_by("up", F.col("up").isNotNull()).alias("up"))
+    at = stage(at.select("key", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.col("up").isNull().alias("done")))
+    longest = max(1, at.count()).bit_length() + 1
+    for _ in range(longest):
+        over = at.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        step = at.where("not done").join(over, "up").select("key", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        step = stage(step.unionByName(at.where("done")))  # without a row above it goes
+        open_rows = step.where("not done").isEmpty()
+        at = step
+        if open_rows:
             break
-        found = found.unionByName(front)
-    return found
+    depths = at.where("done").select(*[F.col("key")[k].alias(p) for k, p in zip(key, parent, strict=True)], F.col("depth").alias("_above"))
+    roots = rows.where(~known).withColumn("depth", F.lit(0))
+    return roots.unionByName(rows.where(known).join(depths, parent).select(*rows.columns, (F.col("_above") + 1).alias("depth")))
 
 
 def last_preceding(rows: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
