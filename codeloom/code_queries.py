@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.catalog import query
-from codeloom.operators import navigation, structure
+from codeloom.operators import navigation, relations, structure
 from codeloom.operators.staging import stage
 from codeloom.plans import canonical as C
-from codeloom.plans.sources import LANGUAGES, SOURCES_SQL, source_files
+from codeloom.plans.sources import LANGUAGES, LINKS_SQL, SOURCES_SQL, linked_files, source_files
 
 
 def _symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -63,3 +63,15 @@ def code_tree(spark: SparkSession, d: str) -> DataFrame:
     """Symbols with their depth in their file."""
     rows = _symbols(spark, d).select("file_path", "id", "parent_id", "name", "start_line")
     return navigation.containment_tree(rows, ["id"], ["parent_id"]).select("file_path", "name", "start_line", "depth")
+
+
+@query(f"WITH {LINKS_SQL} SELECT from_name, to_name, kind, confidence, n FROM code_links")
+def code_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations between TypeScript files, by names, with the number of lines that make each."""
+    files = stage(linked_files(spark, d))
+    found = stage(structure.symbols(files))
+    edges = relations.relations(files, found)
+    name = lambda side: F.coalesce(f"{side}_known", F.regexp_replace(f"{side}_id", "^file:", ""))
+    for side in ("from", "to"):
+        edges = edges.join(found.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_known")), f"{side}_id", "left")
+    return edges.groupBy(name("from").alias("from_name"), name("to").alias("to_name"), "kind", "confidence").agg(F.count("*").alias("n"))

@@ -22,6 +22,8 @@ _ECMA = [
     ("function", rf"^\s*(?:export +)?(?:const|let|var) +{_ID} *(?::[^=]+)?= *(?:async +)?(?:\([^)]*\)|[A-Za-z_$][\w$]*) *(?::[^=]+)?=>"),
     ("variable", rf"^\s*(?:export +)?(?:const|let|var) +{_ID} *(?:[:=;]|$)(?!.*=>)"),
     ("import", r"""^\s*import\b.*?['"]([^'"]+)['"]"""),
+    ("export", r"""^\s*export\b *(?:type +)?(?:\*|\{).*?from *['"]([^'"]+)['"]"""),
+    ("export", r"^\s*export *\{ *([\w$]+)"),
     ("method", rf"^\s+{_MODS}(?:get +|set +|\*)?{_NOT_CONTROL}{_ID} *\([^)]*\) *(?::[^{{]+)?\{{"),
 ]
 DECLARATIONS: dict[str, list[tuple[str, str]]] = {

@@ -78,3 +78,44 @@ SOURCES_SQL = f"""code_orders AS (
         UNION ALL
         SELECT DISTINCT file_path, language, CASE language WHEN 'java' THEN concat('c', c) ELSE concat('base', c) END, CASE language WHEN 'java' THEN 'namespace' ELSE 'import' END, 1, 0, 1, NULL, 'public', NULL FROM code_classes
     )""".replace("{'java': 'x'}.java AS x, ", "")
+
+
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, content) of TypeScript files that import each other.
+
+    Each supplier is a file with a function and a class; each nation a folder whose index exports its suppliers' files
+    again; lib/index.ts exports all nations. Each customer's file imports what its items' suppliers give from the file,
+    the nation or lib, calls their functions from one function for each order, and extends a class.
+    """
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"))
+    text = lambda template, **values: _filled({"typescript": template}, **values)
+    typed = suppliers.withColumn("language", F.lit("typescript"))
+    one = text("export function part{s}(a: number) {\n  return a;\n}\nexport class Base{s} {\n}", s=F.col("s"))
+    files = typed.select(F.concat(F.lit("lib/s"), "s", F.lit(".ts")).alias("path"), "language", one.alias("content"))
+    again = lambda rows, key, path, line: rows.groupBy(*key, "language").agg(F.array_join(F.sort_array(F.collect_set(line)), "\n").alias("content")).select(path.alias("path"), "language", "content")
+    nations = again(typed, ["n"], F.concat(F.lit("lib/group"), "n", F.lit("/index.ts")), text("export * from '../s{s}';", s=F.col("s")))
+    whole = again(typed, [], F.lit("lib/index.ts"), text("export * from './group{n}';", n=F.col("n")))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s"), "l_linenumber").join(suppliers, "s")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c"))
+    used = items.join(orders, "l_orderkey").withColumn("language", F.lit("typescript"))
+    where = F.when(F.col("s") % 3 == 0, text("s{s}", s=F.col("s"))).when(F.col("s") % 3 == 1, text("group{n}", n=F.col("n"))).otherwise("index")
+    line = F.replace(text("import { part{s} as p{s},\n  Base{s} } from '../lib/{w}';", s=F.col("s")), F.lit("{w}"), where)
+    heads = used.groupBy("c", "language").agg(F.array_join(F.sort_array(F.collect_set(line)), "\n").alias("head"), F.min("s").alias("least"))
+    calls = used.groupBy("c", "l_orderkey", "language").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", text("  p{s}(1);", s=F.col("s")).alias("t")))).alias("calls"))
+    calls = calls.select("c", text("export function order{o}() {", o=F.col("l_orderkey")).alias("h"), F.array_join(F.transform("calls", lambda x: x["t"]), "\n").alias("b"))
+    bodies = calls.groupBy("c").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("\n", "h", "b", F.lit("}")))), "\n").alias("body"))
+    last = text("export class C{c} extends Base{s} {\n}", c=F.col("c"), s=F.col("least"))
+    apps = heads.join(bodies, "c").select(F.concat(F.lit("app/c"), "c", F.lit(".ts")).alias("path"), "language", F.concat_ws("\n", "head", "body", last).alias("content"))
+    return files.unionByName(nations).unionByName(whole).unionByName(apps)
+
+
+#: The relations of linked_files: (from_name, to_name, kind, confidence, n), n the number of lines.
+LINKS_SQL = """code_used AS (SELECT o_custkey AS c, o_orderkey AS o, s_suppkey AS s, s_nationkey AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey),
+    code_links AS (
+        SELECT concat('order', o) AS from_name, concat('part', s) AS to_name, 'calls' AS kind, 0.9::DOUBLE AS confidence, count(*) AS n FROM code_used GROUP BY o, s
+        UNION ALL SELECT concat('C', c), concat('Base', min(s)), 'extends', 0.95::DOUBLE, 1 FROM code_used GROUP BY c
+        UNION ALL SELECT DISTINCT concat('app/c', c, '.ts'), concat('lib/', CASE s % 3 WHEN 0 THEN concat('s', s, '.ts') WHEN 1 THEN concat('group', n, '/index.ts') ELSE 'index.ts' END), 'imports', 1.0::DOUBLE,
+            count(DISTINCT s) OVER (PARTITION BY c, CASE s % 3 WHEN 0 THEN concat('s', s) WHEN 1 THEN concat('group', n) END) FROM (SELECT DISTINCT c, s, n FROM code_used)
+        UNION ALL SELECT concat('lib/group', s_nationkey, '/index.ts'), concat('lib/s', s_suppkey, '.ts'), 'imports', 1.0::DOUBLE, 1 FROM supplier
+        UNION ALL SELECT DISTINCT 'lib/index.ts', concat('lib/group', s_nationkey, '/index.ts'), 'imports', 1.0::DOUBLE, 1 FROM supplier
+    )"""
