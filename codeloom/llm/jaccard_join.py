@@ -62,6 +62,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
     top = np.uint64(int(COUNTED * 2**64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held, n = [], 0
         kept, freq = np.empty(0, np.uint64), np.empty(0, np.int64)
 
@@ -127,6 +128,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     shared = spark.sparkContext.broadcast((frequent[order], order.astype(np.int32)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         common, rank = shared.value
         for b in batches:
             n, s1, s2, low, prefix, sizes = [], [], [], [], [], [0]
@@ -186,6 +188,7 @@ def _token_sets(docs: DataFrame, width: int, size: int) -> DataFrame:
     """(k, s1, tokens): the shingle hashes of each keyed row, ``size`` bytes each; equal ones stay."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             s1, sets = [], []
             for w in W.word_hashes([x or b"" for x in b.column(1).to_pylist()]):
@@ -256,6 +259,7 @@ def _compare(percent: int, bytes_: int):
         return out
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         key, members, queries, last, out = None, [], [], None, []
         for b in batches:
             gid, part, query, doc, weight = (b.column(i).to_pylist() for i in range(5))

@@ -129,6 +129,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             found = [windows(t or b"") for t in batch.column(1).to_pylist()]
@@ -167,6 +168,7 @@ def remove_repeated_passages(docs: DataFrame, drop_emptied: bool = False) -> Dat
     both = rows.join(spans, F.col("row.doc_id") == F.col("id"), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             column, spans, emptied = b.column(1), b.column(2).to_pylist(), []
             if any(spans):

@@ -72,6 +72,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of the trigrams of character classes of all texts, in lower case. There are CLASSES**3 at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         total = np.zeros(CLASSES**3, np.int64)
         for b in batches:
             rows = [t or "" for t in b.column(0).to_pylist()]
@@ -238,6 +239,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         reader, seen = Reader(shared.value.language), (Counter(), Counter())
         n = [0, 0]
         for b in batches:
@@ -259,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         m = shared.value
         reader = Reader(m.language)
         for b in batches:
@@ -285,6 +288,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         m = shared.value
         reader = Reader(m.language)
         for b in batches:
