@@ -119,21 +119,33 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(span: str, model: np.ndarray) -> str:
-    """The likeliest reading of a lower-case span, as one word."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest reading of a lower-case span, as one word; in time proportional to the span, by back-pointers."""
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    steps: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for readings in lattice(span):
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in best.items():
+        reached: dict[tuple[int, int], float] = {}
+        back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), score in best.items():
             for letters, weight in readings:
                 s, x, y = score + weight, a, b
                 for c in letters:
                     k = char_class(c)
                     s += float(model[x, y, k])
                     x, y = y, k
-                if (x, y) not in reached or s > reached[x, y][0]:
-                    reached[x, y] = (s, word + letters)
+                if (x, y) not in reached or s > reached[x, y]:
+                    reached[x, y], back[x, y] = s, ((a, b), letters)
         best = reached
-    return max((s + float(model[a, b, 0]), w) for (a, b), (s, w) in best.items())[1]
+        steps.append(back)
+    ends = {(a, b): s + float(model[a, b, 0]) for (a, b), s in best.items()}
+    most = max(ends.values())
+    words = []
+    for at in [at for at, s in ends.items() if s == most]:
+        parts = []
+        for back in reversed(steps):
+            at, letters = back[at]
+            parts.append(letters)
+        words.append("".join(reversed(parts)))
+    return max(words)
 
 
 class Reader:
