@@ -202,6 +202,8 @@ def _braces(bare: str, code: str, lexicon: Lexicon) -> list[Unit]:
             start = label.end()
         if start >= head and not block:
             return -1
+        if to == head and not block:
+            to = head = begin + len(body.rstrip())
         out.append(Unit(min(start, head), head, to, owner, block, lead=lead))
         return len(out) - 1
 

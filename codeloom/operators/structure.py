@@ -112,7 +112,7 @@ def _rows(language: str, text: str, patterns: list[tuple[str, re.Pattern[str]]])
         if m := _ACCESS.match(head.rstrip(";")):
             kind, name = "access", m.group(1)
         else:
-            line = " " + head if u.parent >= 0 else head
+            line = " " + head if u.parent >= 0 and not u.lead else head
             kind, name = next(((k, m.group(1)) for k, p in patterns if (m := p.search(line)) and m.group(1)), (None, None))
             if name:
                 doc = _documentation(text, bare, u, comments, ends, language == "python")
