@@ -335,19 +335,20 @@ def _contracted(docs: DataFrame, reps: DataFrame, prefixes: DataFrame, twins: Da
     """reps with home, the smallest node that a member of a large group is linked to by now (or null), and the links found.
 
     A round compares each member of a large group that has no home yet with PIVOTS of these, those with the fewest
-    prefix tokens that no other member has: members that are linked to one another through a common original find it
-    there. Its cost is in proportion to the group.
+    prefix tokens that no other member had at first: members that are linked to one another through a common original
+    find it there. Its cost is in proportion to the group; the tokens are counted once.
     """
-    reps, found = reps.withColumn("home", F.lit(None).cast("long")), []
+    reps, found, alone = reps.withColumn("home", F.lit(None).cast("long")), [], None
     for _ in range(ROUNDS):
         large = _with_size(reps.where("home is null").drop("blocks"), total).where("blocks > 1")
         large = stage_table(large.select("node", "low", "k", "s1", "n", "blocks"), "large")
         if large.isEmpty():
             break
-        tokens = prefixes.join(large.select("k", "s1", "node", "low"), ["k", "s1"])
-        tokens = tokens.select("node", "low", F.explode("prefix").alias("token"))
-        often = tokens.groupBy("token", "low").agg(F.count("*").alias("c"), F.min("node").alias("one")).where("c = 1")
-        alone = often.groupBy(F.col("one").alias("node")).agg(F.count("*").alias("alone"))
+        if alone is None:
+            tokens = prefixes.join(large.select("k", "s1", "node", "low"), ["k", "s1"])
+            tokens = tokens.select("node", "low", F.explode("prefix").alias("token"))
+            often = tokens.groupBy("token", "low").agg(F.count("*").alias("c"), F.min("node").alias("one")).where("c = 1")
+            alone = stage_table(often.groupBy(F.col("one").alias("node")).agg(F.count("*").alias("alone")), "alone")
         order = F.row_number().over(Window.partitionBy("low").orderBy("alone", F.xxhash64("node")))
         pivots = large.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("r", order).where(F.col("r") <= PIVOTS)
         gid = F.xxhash64(F.lit("pivots"), "low").alias("gid")
