@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.catalog import query
+from codeloom.functions import tables
 from codeloom.operators import navigation, relations, structure
 from codeloom.operators.staging import stage
 from codeloom.plans import canonical as C
@@ -75,3 +76,11 @@ def code_relations(spark: SparkSession, d: str) -> DataFrame:
     for side in ("from", "to"):
         edges = edges.join(found.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_known")), f"{side}_id", "left")
     return edges.groupBy(name("from").alias("from_name"), name("to").alias("to_name"), "kind", "confidence").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SOURCES_SQL} SELECT file_path, name, kind, start_line, end_line, parent FROM code_symbols")
+def code_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """The same symbols from SQL, by the table function."""
+    tables.register(spark)
+    source_files(spark, d).createOrReplaceTempView("code_files")
+    return spark.sql("SELECT f.path AS file_path, s.name, s.kind, s.start_line, s.end_line, s.parent FROM code_files f, LATERAL symbols(f.path, f.content, f.language) s")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.catalog import query
+from codeloom.functions import diff
 from codeloom.operators import kept_index, search
 from codeloom.operators.staging import folder
 from codeloom.plans import canonical as C
@@ -54,3 +55,15 @@ def kept_phrase(spark: SparkSession, d: str) -> DataFrame:
 def kept_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Documents that count, and their terms."""
     return kept_index.current_lengths(spark, _index(spark, d), "doc_id")
+
+
+@query(r"""SELECT doc_id, len(list_filter(l, lambda x: contains(x, 'th'))) AS removed, len(list_filter(l, lambda x: contains(x, 'th'))) + 1 AS added, true AS rebuilt
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND NOT contains(text, 'TH')) x""")
+def text_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that an edit of each document removes and adds, and whether the hunks are a way from one to the other."""
+    docs = C.table(spark, d, "documents").where("text is not null and not contains(text, 'TH')").select("doc_id", "text")
+    rows = docs.withColumn("new", F.concat(F.replace("text", F.lit("th"), F.lit("TH")), F.lit("\nan added TH line")))
+    rows = rows.withColumn("h", diff.line_hunks(F.col("text"), F.col("new")))
+    count = lambda side: F.aggregate("h", F.lit(0), lambda n, x: n + F.size(x[side])).cast("long")
+    lines = F.size(F.split("text", "\n")) - count("removed") + count("added") == F.size(F.split("new", "\n"))
+    return rows.select("doc_id", count("removed").alias("removed"), count("added").alias("added"), lines.alias("rebuilt"))
