@@ -421,7 +421,7 @@ def scope_balance(spark: SparkSession, d: str) -> DataFrame:
     return context.scope_depth(C.table(spark, d, "pages").where("html is not null"), "page_id", "html")
 
 
-@query("SELECT doc_id, md5(array_to_string(list_concat(list_concat(list_slice(l, 1, 1), ['added', 'lines']), list_slice(l, 4, len(l))), chr(10))) AS digest FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL) x")
+@query("SELECT doc_id, md5(CASE WHEN len(l) < 2 THEN text ELSE array_to_string(list_concat(list_concat(list_slice(l, 1, 1), ['added', 'lines']), list_slice(l, 4, len(l))), chr(10)) END) AS digest FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL) x")
 def line_edit(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).where("text is not null").select("doc_id", F.md5(context.replace_lines(F.col("text"), 2, 3, "added\nlines")).alias("digest"))
 

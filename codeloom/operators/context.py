@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import folded
+
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
@@ -81,11 +83,11 @@ def insert_lines(text: Column, line: int, new: str) -> Column:
 
 
 def replace_lines(text: Column, first: int, last: int, new: str | None) -> Column:
-    """``new`` (nothing, if None) in place of the lines from ``first`` to ``last``."""
+    """``new`` (nothing, if None) in place of the lines from ``first`` to ``last``; a text with fewer than ``first`` lines stays."""
     lines = lines_of(text)
     rest = F.slice(lines, F.lit(last + 1), F.greatest(F.lit(0), F.size(lines) - last))
     middle = [F.lit(new.split("\n"))] if new is not None else []
-    return F.array_join(F.concat(F.slice(lines, 1, first - 1), *middle, rest), "\n")
+    return F.when(F.size(lines) < first, text).otherwise(F.array_join(F.concat(F.slice(lines, 1, first - 1), *middle, rest), "\n"))
 
 
 def delete_lines(text: Column, first: int, last: int) -> Column:
@@ -101,8 +103,8 @@ def search_replace(files: DataFrame, text: str, old: str, new: str) -> DataFrame
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = (".ts", ".js", ".tsx", ".jsx")) -> DataFrame:
-    """``imports`` (path, target: relative, without ./) with resolved, the first existing candidate file, or null."""
-    base = F.concat(F.regexp_extract("path", r"^(.*/)[^/]*$", 1), F.col("target"))
+    """``imports`` (path, target: relative) with resolved, the first existing candidate file, or null; ``.`` and ``..`` are folded."""
+    base = folded(F.concat(F.regexp_extract("path", r"^(.*/)[^/]*$", 1), F.col("target")))
     options = F.array(*[F.concat(base, F.lit(x)) for x in ("", *extensions, *[f"/index{e}" for e in extensions])])
     rows = imports.withColumn("_id", F.xxhash64("path", "target")).select("*", F.posexplode(options).alias("_i", "_c"))
     known = files.select(F.col("path").alias("_c")).distinct()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import folded
 from codeloom.operators import navigation, structure
 from codeloom.operators.staging import stage
 
@@ -36,17 +37,6 @@ _KEYWORDS = (
 _DECLARED = ("function", "method", "class", "interface", "struct", "trait", "enum", "variable", "constant", "type", "module", "union")
 
 
-def folded(path: Column) -> Column:
-    """A path without ``.`` and ``..`` parts; ``..`` above the top stays away."""
-    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, p)),
-    )
-    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(kept, "/"))
-
-
 def _items(text: Column) -> Column:
     """``a, b as c`` -> array of (name, local)."""
     one = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(F.regexp_replace(x, r"\btype ", ""))), lambda x: x.rlike(r"^[\w$*]"))

@@ -71,9 +71,14 @@ def entity_mapping(hits: DataFrame, symbols: DataFrame, layer_column: str = "lay
     )
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``stored`` with the rows of ``new`` in place of those with the same key; of several new ones the last by ``key`` order is arbitrary, so keys must be unique."""
-    return stored.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(stored: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``stored`` with the rows of ``new`` in place of those with the same key.
+
+    Of several new rows of a key the last by ``order`` counts; among equal ones, or without ``order``, that which is last by all columns.
+    """
+    by = F.struct(*([order] if order else []), *[c for c in new.columns if c not in (key, order)])
+    one = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), by).alias("v")).select("v.*")
+    return stored.join(one.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:

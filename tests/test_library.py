@@ -133,3 +133,16 @@ def test_vectors_and_names(spark):
     uses = spark.createDataFrame([("f", "x")], "file_path string, name string")
     symbols = spark.createDataFrame([("f", "x", "i1", 1), ("f", "x", "i2", 2)], "file_path string, name string, id string, ordinal int")
     assert navigation.resolve_names(uses, symbols).first()["target"] == "i1" and navigation.resolve_names(uses, symbols, last=True).first()["target"] == "i2"
+
+
+def test_edits_past_the_end_and_folded_imports(spark):
+    assert one(spark, "a\nb", lambda c: context.replace_lines(c, 3, 4, "x")) == "a\nb"
+    files = spark.createDataFrame([("p/q/a.ts", "../b"), ("p/q/a.ts", "./../r/./c"), ("p/q/a.ts", "../../../../d")], "path string, target string")
+    known = spark.createDataFrame([("p/b.ts",), ("p/r/c/index.ts",)], "path string")
+    assert {r["target"]: r["resolved"] for r in context.resolve_imports(files, known).collect()} == {"../b": "p/b.ts", "./../r/./c": "p/r/c/index.ts", "../../../../d": None}
+
+
+def test_repeated_vectors(spark):
+    stored = spark.createDataFrame([(1, [1.0], 0), (2, [2.0], 0)], "id int, v array<double>, at int")
+    new = spark.createDataFrame([(1, [5.0], 2), (1, [9.0], 1), (3, [3.0], 1), (3, [3.0], 1)], "id int, v array<double>, at int")
+    assert sorted((r["id"], r["v"]) for r in vector_search.upsert(stored, new, "id", "at").collect()) == [(1, [5.0]), (2, [2.0]), (3, [3.0])]

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import text
 from codeloom.operators import navigation, relations, structure
 from codeloom.operators.lexing import LEXICONS, blank, units
 
@@ -179,4 +180,4 @@ def test_relations(spark):
 
 def test_folded(spark):
     df = spark.createDataFrame([("a/b/../c/./d", "a/c/d"), ("../x", "x"), ("/a/../../b", "/b"), ("a//b", "a/b")], "p string, want string")
-    assert all(r["got"] == r["want"] for r in df.select("want", relations.folded(F.col("p")).alias("got")).collect())
+    assert all(r["got"] == r["want"] for r in df.select("want", text.folded(F.col("p")).alias("got")).collect())
