@@ -19,6 +19,9 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    from codeloom.operators import kept_index
+
+    kept_index.BUCKETS = 2  # small tables need few files
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
