@@ -99,9 +99,11 @@ def pack_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpack_numbers(data: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(data < 128)
+    if not len(last):
+        return np.empty(0, np.int64)
     first = np.concatenate(([0], last[:-1] + 1))
     place = np.arange(len(data)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first) if len(last) else np.empty(0, np.int64)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first)
 
 
 _SCHEMA = pa.schema([
