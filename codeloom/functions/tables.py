@@ -18,6 +18,7 @@ from codeloom.functions.stem import porter
 from codeloom.operators import extract, structure
 from codeloom.sources.workspace import LANGUAGES
 
+_SIGN = re.compile(r" ?(?:\{(?: ?(?:get|set|init))?|;)$")
 _COLUMNS = StructType()
 for _name in ("name", "kind", "start_line", "start_column", "end_line", "end_column", "start_byte", "end_byte", "signature", "doc_comment", "parent"):
     _COLUMNS.add(_name, IntegerType() if _name.startswith(("start", "end")) else StringType())
@@ -37,23 +38,16 @@ def _symbols(declarations: dict[str, list[tuple[str, str]]], endings: dict[str,
             return AnalyzeResult(schema=_COLUMNS)
 
         def __init__(self) -> None:
-            self.compiled: dict[str, list] = {}
+            self.heads: dict[str, structure.Heads] = {}
 
         def eval(self, path: str, content: str, language: str | None = None) -> Iterator[tuple]:
             language = language or endings.get((path or "").rpartition(".")[2].lower())
             if language not in declarations:
                 return
-            if language not in self.compiled:
-                self.compiled[language] = [(k, re.compile(p, re.ASCII)) for k, p in declarations[language]]
-            above: dict[int, tuple[str | None, int]] = {}
-            for unit, parent, _, a, b, d, e, c, f, kind, name, head, doc in structure._rows(language, content or "", self.compiled[language]):
-                if kind == "access":
-                    continue
-                above[unit] = (name, parent)
-                while parent >= 0 and not above.get(parent, (None, -1))[0]:
-                    parent = above.get(parent, (None, -1))[1]
-                if name:
-                    yield name, kind, a, b, d, e, c, f, re.sub(r" ?(?:\{(?: ?(?:get|set|init))?|;)$", "", head).strip(), doc, above[parent][0] if parent >= 0 else None
+            if language not in self.heads:
+                self.heads[language] = structure.Heads(language, [(k, re.compile(p, re.ASCII)) for k, p in declarations[language]])
+            for kind, name, a, b, d, e, c, f, head, doc, _, parent, *_ in structure._nested(structure._rows(language, content or "", self.heads[language])):
+                yield name, kind, a, b, d, e, c, f, _SIGN.sub("", head).strip(), doc, parent
 
     return Symbols
 

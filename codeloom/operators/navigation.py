@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from codeloom.operators.staging import stage
 
@@ -32,15 +37,6 @@ def bins(first: Column, last: Column) -> Column:
     return F.when(size > 0, F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull()))
 
 
-def bins_of(place: Column, levels: int) -> Column:
-    """The bin of each level from 0 to ``levels`` that holds a number."""
-    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place.cast("long"), k).alias("bin")))
-
-
-def _levels(binned: DataFrame) -> int:
-    return binned.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
-
-
 def span_index(spans: DataFrame, file: str) -> DataFrame:
     """Spans (id, file, start_line, end_line) -> (file, level, bin, best): for each bin of lines its smallest span (size, id)."""
     best = F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "id")
@@ -48,45 +44,84 @@ def span_index(spans: DataFrame, file: str) -> DataFrame:
     return each.groupBy(file, F.col("b.level").alias("level"), F.col("b.bin").alias("bin")).agg(F.min("best").alias("best"))
 
 
-def at_position(probes: DataFrame, spans: DataFrame, file: str) -> DataFrame:
+def _order(x: object) -> tuple:
+    """``x`` as Spark orders it: null first, structs by their fields."""
+    if x is None:
+        return (0,)
+    return (1, tuple(map(_order, x.values()))) if isinstance(x, dict) else (1, x)
+
+
+def _swept(probes: DataFrame, spans: DataFrame, unique: bool) -> DataFrame:
+    """Probes (probe_id, file, line, col) and spans (file, a, c, b, d, size, id) -> (probe_id, size, id).
+
+    The span of each probe is the least by (size, id) of those with (a, c) <= (line, col) <= (b, d); a probe without
+    a col is held by the lines between a and b. Spans and probes meet in one shuffle, by file and in the order of their
+    places, and a task keeps the spans of the file it is at whose end it hasn't seen, the best one on top.
+    """
+    types = {f.name: f.dataType for f in [*probes.schema, *spans.schema]}
+    nothing = lambda *names: [F.lit(None).cast(types[n]).alias(n) for n in names]
+    place = lambda line, col: [F.col(line).cast("long").alias("line"), F.col(col).cast("long").alias("col")]
+    held = spans.where("file is not null and (a < b or a = b and c <= d)").select("file", *place("a", "c"), F.lit(0).alias("turn"), F.col("b").cast("long").alias("b"), F.col("d").cast("long").alias("d"), "size", "id", *nothing("probe_id"))
+    asked = probes.where("file is not null and line is not null").select("file", *place("line", "col"), F.lit(1).alias("turn"), *[F.lit(None).cast("long").alias(n) for n in "bd"], *nothing("size", "id"), "probe_id")
+    rows = held.unionByName(asked).repartition("file").sortWithinPartitions("file", "line", "col", "turn")
+    out = StructType([StructField(n, types[n]) for n in ("probe_id", "size", "id")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, heap, number = None, [], 0
+        for batch in batches:
+            at, size, found = [], [], []
+            columns = [batch.column(n).to_pylist() for n in ("file", "line", "col", "turn", "b", "d", "size", "id")]
+            for i, (f, line, col, turn, b, d, s, x) in enumerate(zip(*columns, strict=True)):
+                if f != file:
+                    file, heap = f, []
+                if not turn:
+                    number += 1  # no two entries are compared further than that
+                    heappush(heap, (_order(s), _order(x), number, b, d, s, x))
+                    continue
+                while heap and (heap[0][3] < line or heap[0][3] == line and col is not None and heap[0][4] < col):
+                    heappop(heap)
+                best = heap[0] if heap else None
+                if col is None and best and best[3] <= line:
+                    best = min((e for e in heap if e[3] > line), default=None)
+                if best:
+                    at.append(i)
+                    size.append(best[5])
+                    found.append(best[6])
+            if at:
+                kinds = [batch.schema.field(n).type for n in ("size", "id")]
+                yield pa.RecordBatch.from_arrays([batch.column("probe_id").take(pa.array(at)), pa.array(size, kinds[0]), pa.array(found, kinds[1])], ["probe_id", "size", "id"])
+
+    hits = rows.mapInArrow(run, out)
+    if unique:
+        return hits
+    return hits.groupBy("probe_id").agg(F.min(F.struct("size", "id")).alias("m")).select("probe_id", F.col("m.size").alias("size"), F.col("m.id").alias("id"))
+
+
+def at_position(probes: DataFrame, spans: DataFrame, file: str, unique: bool = False) -> DataFrame:
     """For each probe (probe_id, file, line) the smallest span (id, file, start_line, end_line) that holds it; ties by id.
 
-    A probe meets one entry of the span index for each level at most, however many spans its file has.
+    Rows that repeat a probe_id are one probe with several places; ``unique`` says that there are none and saves a shuffle.
     """
-    index = stage(span_index(spans, file))
-    asked = probes.select("probe_id", file, F.explode(bins_of(F.col("line"), _levels(index))).alias("b")).select("probe_id", file, "b.*")
-    hits = asked.join(index, [file, "level", "bin"])
-    return hits.groupBy("probe_id").agg(F.min("best").alias("m")).select("probe_id", F.col("m.id").alias("id"), F.col("m.size").alias("size"))
+    none = F.lit(0)
+    asked = probes.select("probe_id", F.col(file).alias("file"), "line", none.alias("col"))
+    held = spans.select(F.col(file).alias("file"), F.col("start_line").alias("a"), none.alias("c"), F.col("end_line").alias("b"), none.alias("d"), (F.col("end_line") - F.col("start_line")).alias("size"), "id")
+    return _swept(asked, held, unique).select("probe_id", "id", "size")
 
 
-def containing(probes: DataFrame, symbols: DataFrame, file: str = "file_path") -> DataFrame:
-    """For each probe (probe_id, file, line, col) the symbol that contains it: nearest kind first, then the smallest.
+def containing(probes: DataFrame, symbols: DataFrame, file: str = "file_path", unique: bool = False) -> DataFrame:
+    """For each probe (probe_id, file, line, col) the symbol that contains it: nearest kind first, then the smallest, then by id.
 
-    Columns count only on a span's first and last line. The lines between those are binned as in the span index; the
-    columns of the first and last line are binned for each line, so that a probe meets one entry for each level of either.
+    Columns count only on a span's first and last line. Rows that repeat a probe_id are one probe with several places;
+    ``unique`` says that there are none and saves a shuffle.
     """
     near = F.lit(5)
     for kind, n in NEARNESS.items():
         near = F.when(F.col("kind") == kind, n).otherwise(near)
     size = (F.col("end_line") - F.col("start_line")) * 1000 + F.col("end_column") - F.col("start_column")
-    a, b, c, d = (F.col(x).cast("long") for x in ("start_line", "end_line", "start_column", "end_column"))
-    widest = max(symbols.agg(F.max(F.greatest("start_column", "end_column"))).first()[0] or 0, probes.agg(F.max("col")).first()[0] or 0)
-    end = F.lit(widest).cast("long")
-    none, nothing = F.lit(-1).cast("long"), F.lit(0).cast("long")
-    # (line, first, last): -1 and the lines between, or a line and its columns
-    parts = F.array(
-        F.struct(none.alias("line"), (a + 1).alias("first"), (b - 1).alias("last")),
-        F.struct(a.alias("line"), F.greatest(c, nothing).alias("first"), F.when(a == b, d).otherwise(end).alias("last")),
-        F.struct(F.when(a < b, b).alias("line"), nothing.alias("first"), d.alias("last")),
-    )
-    each = symbols.select(file, F.struct(near.alias("near"), size.alias("size"), "id").alias("best"), F.explode(parts).alias("p")).where("p.line is not null")
-    each = each.select(file, "best", F.col("p.line").alias("line"), F.explode(bins(F.col("p.first"), F.col("p.last"))).alias("b"))
-    index = stage(each.groupBy(file, "line", F.col("b.level").alias("level"), F.col("b.bin").alias("bin")).agg(F.min("best").alias("best")))
-    levels = _levels(index)
-    places = F.array(F.struct(none.alias("line"), F.col("line").cast("long").alias("at")), F.struct(F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("at")))
-    asked = probes.select("probe_id", file, F.explode(places).alias("p")).select("probe_id", file, F.col("p.line").alias("line"), F.explode(bins_of(F.col("p.at"), levels)).alias("b"))
-    hits = asked.select("probe_id", file, "line", "b.*").join(index, [file, "line", "level", "bin"])
-    return hits.groupBy("probe_id").agg(F.min("best").alias("m")).select("probe_id", F.col("m.id").alias("id"))
+    first, last = F.greatest("start_column", F.lit(0)), F.coalesce("end_column", F.lit(-1))
+    held = symbols.select(F.col(file).alias("file"), F.col("start_line").alias("a"), first.alias("c"), F.col("end_line").alias("b"), last.alias("d"), F.struct(near.alias("near"), size.alias("size")).alias("size"), "id")
+    asked = probes.select("probe_id", F.col(file).alias("file"), "line", "col")
+    return _swept(asked, held, unique).select("probe_id", "id")
 
 
 def references(edges: DataFrame, symbols: DataFrame, key: int | str | None = None, kinds: tuple[str, ...] = REFERENCE_KINDS) -> DataFrame:

@@ -41,10 +41,12 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_suppkey", F.col("l_quantity").cast("int").alias("q")).alias("i"))
     language = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("o_custkey") % 3 + 1).cast("int"))
     rows = orders.join(items, orders["o_orderkey"] == items["l_orderkey"]).groupBy("o_custkey", "o_orderkey").agg(F.sort_array(F.collect_list("i")).alias("items")).withColumn("language", language)
-    methods = F.array_join(F.transform("items", lambda i: _filled(_METHOD, l=i["l_linenumber"], q=i["q"], s=i["l_suppkey"])), "\n")
-    one = F.concat_ws("\n", _filled(_CLASS, o=F.col("o_orderkey"), b=F.col("o_orderkey") % 5), methods, _filled(_LAST))
-    files = rows.select("o_custkey", "language", F.struct("o_orderkey", one.alias("text")).alias("c")).groupBy("o_custkey", "language").agg(F.sort_array(F.collect_list("c")).alias("classes"))
-    whole = F.concat_ws("\n", _filled(_FIRST, c=F.col("o_custkey")), F.array_join(F.transform("classes", lambda c: c["text"]), "\n"))
+    # items are shuffled to their file, not the text that is written from them; that is some twenty times as large, so partitions aren't put together
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+    files = rows.groupBy("o_custkey", "language").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "items"))).alias("classes"))
+    methods = lambda c: F.array_join(F.transform(c["items"], lambda i: _filled(_METHOD, l=i["l_linenumber"], q=i["q"], s=i["l_suppkey"])), "\n")
+    one = lambda c: F.concat_ws("\n", _filled(_CLASS, o=c["o_orderkey"], b=c["o_orderkey"] % 5), methods(c), _filled(_LAST))
+    whole = F.concat_ws("\n", _filled(_FIRST, c=F.col("o_custkey")), F.array_join(F.transform("classes", one), "\n"))
     return files.select(F.concat(F.lit("src/c"), "o_custkey", F.lit("."), "language").alias("path"), "language", whole.alias("content"))
 
 
