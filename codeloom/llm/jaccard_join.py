@@ -332,15 +332,15 @@ def _with_size(reps: DataFrame, total: int) -> DataFrame:
 
 
 def _contracted(docs: DataFrame, reps: DataFrame, prefixes: DataFrame, twins: DataFrame | None, total: int, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """reps with home, the smallest node that a member of a large group is linked to by now (or null), and the links found.
+    """Members of large groups (reps) with home, the smallest node that one is linked to by now (or null), and the links found.
 
     A round compares each member of a large group that has no home yet with PIVOTS of these, those with the fewest
     prefix tokens that no other member had at first: members that are linked to one another through a common original
     find it there. Its cost is in proportion to the group; the tokens are counted once.
     """
     reps, found, alone = reps.withColumn("home", F.lit(None).cast("long")), [], None
-    for _ in range(ROUNDS):
-        large = _with_size(reps.where("home is null").drop("blocks"), total).where("blocks > 1")
+    for i in range(ROUNDS):
+        large = reps if i == 0 else _with_size(reps.where("home is null").drop("blocks"), total).where("blocks > 1")
         large = stage_table(large.select("node", "low", "k", "s1", "n", "blocks"), "large")
         if large.isEmpty():
             break
@@ -380,14 +380,17 @@ def _classes(docs: DataFrame, width: int, percent: int, count_links: bool) -> tu
     twins = stage_table(full.groupBy("k").count().where("count > 1").select("k"), "twins")
     twins = None if twins.isEmpty() else twins
     total = max(1, classes.count())
-    reps = _with_size(classes.select("node", "low", "k", "s1", "n", "copies"), total)
+    reps = stage_table(_with_size(classes.select("node", "low", "k", "s1", "n", "copies"), total), "sized")
     prefixes = full.select("k", "s1", "prefix").dropDuplicates(["k", "s1"])
     found: list[DataFrame] = []
     if not count_links and not reps.where("blocks > 1").isEmpty():
-        reps, found = _contracted(docs, reps, prefixes, twins, total, width, percent)
+        # only large groups are looked at again: the others' sizes don't change
+        large, found = _contracted(docs, reps.where("blocks > 1"), prefixes, twins, total, width, percent)
         if found:  # what is linked by now is a group of its own, apart from the rest of its group
             own = F.when(F.col("home").isNotNull(), F.xxhash64("low", "home")).otherwise(F.col("low"))
-            reps = _with_size(reps.drop("blocks").withColumn("low", own), total)
+            small = reps.where("blocks = 1").withColumn("home", F.lit(None).cast("long"))
+            large = _with_size(large.drop("blocks").withColumn("low", own), total)
+            reps = small.unionByName(large.select(*small.columns))
     if "home" not in reps.columns:
         reps = reps.withColumn("home", F.lit(None).cast("long"))
     gid = F.xxhash64("low", F.pmod(F.xxhash64("node"), F.col("blocks")))

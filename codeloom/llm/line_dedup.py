@@ -55,7 +55,8 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     covered = covered_lines(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "id")
     rows = docs.select(F.struct(*names).alias("row"))
-    both = rows.join(covered, F.col("row.doc_id") == F.col("id"), "left").select("row", "covered")
+    # one plan at all sizes: a table of places that is small as a file may be large in memory
+    both = rows.join(covered.hint("merge"), F.col("row.doc_id") == F.col("id"), "left").select("row", "covered")
     # one-element array: the text is split once, and kept lines are looked up by number
     kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
     split = lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n")

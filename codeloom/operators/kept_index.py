@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.stem import porter, stems
-from codeloom.operators.search import B, EXACT, FUZZY, K1, PREFIX, _query_terms, term_bucket
+from codeloom.operators.search import B, EXACT, FUZZY, K1, PREFIX, _query_terms, counted, repeats, term_bucket
 from codeloom.operators.staging import stage
 
 BUCKETS = 32
 #: Documents of an index for which each bucket gets another file.
-SPLIT_DOCUMENTS = 1_000_000
+SPLIT_DOCUMENTS = 250_000
 #: Terms of this length at most are in the deletion neighbourhood, with up to EDITS letters deleted.
 NEIGHBOUR_LENGTH, EDITS = 24, 2
 #: Letters that a term's beginning is known by.
@@ -101,11 +101,12 @@ def _write(spark: SparkSession, path: str, number: int, alone: bool, postings: D
 
 
 def _postings(docs: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings, counted where their document is, and the staged lengths of all documents."""
     terms = _terms_of(docs, key, fields)
-    terms = stage(terms.withColumn("length", F.size(F.filter("terms", lambda t: t != ""))))  # the length once for a document, not for each of its terms
-    each = terms.select(key, "length", F.posexplode("terms").alias("at", "term")).where("term <> ''")
-    rows = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.sort_array(F.collect_list("at")).alias("places"))
-    return rows, terms.select(key, "length")
+    rows = counted(terms, [key])
+    if repeats(docs, key):
+        rows = rows.groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    return rows, stage(terms.select(key, F.size(F.filter("terms", lambda t: t != "")).alias("length")))
 
 
 def create(docs: DataFrame, key: str, fields: list[str], path: str) -> None:
@@ -133,7 +134,6 @@ def update(spark: SparkSession, path: str, docs: DataFrame | None, key: str, fie
     docs = docs if docs is not None else spark.createDataFrame([], current_lengths(spark, path, key).select(key).schema).select(key, *[F.lit("").alias(f) for f in fields])
     docs = docs.where(F.col(key).isNotNull())
     postings, lengths = _postings(docs, key, fields)
-    lengths = stage(lengths)
     if gone is not None:
         gone = stage(gone.select(key).distinct().join(lengths.select(key), key, "left_anti"))
     touched = lengths.select(key) if gone is None else lengths.select(key).unionByName(gone)

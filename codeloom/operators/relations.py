@@ -194,7 +194,7 @@ def relations(files: DataFrame, symbols: DataFrame) -> DataFrame:
     # a probe for each place, not for each name in it
     places = found.select("file_path", "line", "col").distinct().withColumn("probe_id", F.struct("file_path", "line", "col"))
     holders = symbols.where(F.col("kind").isin("function", "method", "constructor", "class", "interface", "struct", "enum", "trait"))
-    owner = navigation.containing(places, holders).select(F.col("probe_id.file_path").alias("file_path"), F.col("probe_id.line").alias("line"), F.col("probe_id.col").alias("col"), F.col("id").alias("from_id"))
+    owner = navigation.containing(places, holders, unique=True).select(F.col("probe_id.file_path").alias("file_path"), F.col("probe_id.line").alias("line"), F.col("probe_id.col").alias("col"), F.col("id").alias("from_id"))
     found = found.join(owner, ["file_path", "line", "col"], "left").withColumn("from_id", F.coalesce("from_id", F.concat(F.lit("file:"), "file_path")))
     unique = symbols.where(F.col("kind").isin(*_DECLARED)).groupBy("name").agg(F.min("id").alias("anywhere"), F.count("*").alias("n")).where("n = 1").drop("n")
     asked = found.select("from_id", "file_path", "line", "name", "form").unionByName(heads.withColumn("form", F.lit("extends")))

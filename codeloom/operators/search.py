@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from codeloom.functions.text import contains_ignoring_case, match_rank, simple_tokens
 
@@ -45,11 +50,58 @@ def by_type(symbols: DataFrame, types: DataFrame, query: str, limit: int = 100)
     return out.withColumn("match_rank", match_rank(F.col("resolved_type"), query)).orderBy("match_rank", "name", "id").limit(limit)
 
 
+#: Documents whose terms are counted in one go.
+COUNTED = 256
+
+
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``terms`` (array of strings) -> (keys, term, tf, length, places), a row for each different term of each.
+
+    Empty strings are no terms but take a place; length counts the terms. A row is whole in its task, so nothing is
+    shuffled, and terms are told apart by their number in the batch.
+    """
+    spark, name = rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > COUNTED:
+        spark.conf.set(name, str(COUNTED))
+    schema = StructType([rows.schema[k] for k in keys]).add("term", StringType()).add("tf", LongType()).add("length", IntegerType()).add("places", ArrayType(IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(keys))
+            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
+            flat = lists.flatten().dictionary_encode()
+            code = flat.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            place = np.arange(len(code)) - ends[row]
+            empty = flat.dictionary.index(pa.scalar("", flat.dictionary.type)).as_py()
+            some = np.flatnonzero(code != empty) if len(code) else np.empty(0, np.int64)
+            row, code, place = row[some], code[some], place[some]
+            both = row * max(1, len(flat.dictionary)) + code
+            order = np.argsort(both, kind="stable")
+            row, code, place, both = row[order], code[order], place[order], both[order]
+            first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.empty(0, np.int64)
+            if not len(first):
+                continue
+            starts = np.append(first, len(both))
+            length = np.bincount(row, minlength=b.num_rows)[row[first]]
+            at = pa.array(row[first])
+            places = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(place, pa.int32()))
+            columns = [*(b.column(i).take(at) for i in range(len(keys))), flat.dictionary.take(pa.array(code[first])), pa.array(np.diff(starts), pa.int64()), pa.array(length, pa.int32()), places]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.select(*keys, "terms").mapInArrow(run, schema)
+
+
+def repeats(docs: DataFrame, key: str) -> bool:
+    """Whether rows repeat a key. Only the keys are read and shuffled."""
+    return not docs.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+
+
 def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, term, tf, length): an inverted index. One shuffle, with counts combined before it."""
+    """(key, field, term, tf, length): an inverted index. Terms are counted without a shuffle; only if keys repeat their counts are added up in one."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), simple_tokens(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for f in fields]))
-    rows = docs.select(key, each.alias("f")).select(key, "f.field", F.size("f.terms").alias("length"), F.explode("f.terms").alias("term"))
-    return rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    rows = counted(docs.select(key, each.alias("f")).select(key, "f.field", "f.terms"), [key, "field"]).drop("places")
+    return rows.groupBy(key, "field", "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length")) if repeats(docs, key) else rows
 
 
 def expand_terms(vocabulary: DataFrame, query: str, prefix: bool = True, fuzzy: float = 0.2) -> DataFrame:
