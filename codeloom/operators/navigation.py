@@ -108,17 +108,23 @@ def at_position(probes: DataFrame, spans: DataFrame, file: str, unique: bool = F
     return _swept(asked, held, unique).select("probe_id", "id", "size")
 
 
+def nearness() -> tuple[Column, Column, Column, Column]:
+    """Of a symbol: how near its kind is as a container, its size, and the columns it goes from and to, by which ``containing`` looks."""
+    near = F.lit(5)
+    for kind, n in NEARNESS.items():
+        near = F.when(F.col("kind") == kind, n).otherwise(near)
+    size = (F.col("end_line") - F.col("start_line")) * 1000 + F.col("end_column") - F.col("start_column")
+    first, last = F.greatest("start_column", F.lit(0)), F.coalesce("end_column", F.lit(-1))
+    return near, size, first, last
+
+
 def containing(probes: DataFrame, symbols: DataFrame, file: str = "file_path", unique: bool = False) -> DataFrame:
     """For each probe (probe_id, file, line, col) the symbol that contains it: nearest kind first, then the smallest, then by id.
 
     Columns count only on a span's first and last line. Rows that repeat a probe_id are one probe with several places;
     ``unique`` says that there are none and saves a shuffle.
     """
-    near = F.lit(5)
-    for kind, n in NEARNESS.items():
-        near = F.when(F.col("kind") == kind, n).otherwise(near)
-    size = (F.col("end_line") - F.col("start_line")) * 1000 + F.col("end_column") - F.col("start_column")
-    first, last = F.greatest("start_column", F.lit(0)), F.coalesce("end_column", F.lit(-1))
+    near, size, first, last = nearness()
     held = symbols.select(F.col(file).alias("file"), F.col("start_line").alias("a"), first.alias("c"), F.col("end_line").alias("b"), last.alias("d"), F.struct(near.alias("near"), size.alias("size")).alias("size"), "id")
     asked = probes.select("probe_id", F.col(file).alias("file"), "line", "col")
     return _swept(asked, held, unique).select("probe_id", "id")

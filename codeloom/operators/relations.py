@@ -2,11 +2,17 @@
 
 Imports are resolved to files (relative paths folded, module paths, qualified names), exported names are followed over
 re-exports until no new ones turn up, and names in code are looked up in the scope that this gives each file. All of
-it is joins on (file, name); the symbol that a use stands in is found by the interval index of ``navigation``.
+it is joins on (file, name). Uses are found where their file's text is, together with the symbol that each stands in.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +53,13 @@ def _items(text: Column) -> Column:
 _NONE = "cast(array() as array<struct<name:string,local:string>>)"
 
 
-def imported_names(symbols: DataFrame) -> DataFrame:
+def imported_names(symbols: DataFrame, *keep: str) -> DataFrame:
     """Import and export statements -> (file_path, language, line, target, name, local, export).
 
     One row for each name; name is ``*`` for a whole module (local: what it is called, null for all of its names), and
-    ``default`` for a default import. target is null for the export of own names.
+    ``default`` for a default import. target is null for the export of own names. Columns of ``keep`` stay beside them.
     """
-    rows = symbols.where("kind in ('import', 'export')").select("file_path", "language", F.col("start_line").alias("line"), "kind", "signature", F.col("name").alias("target"))
+    rows = symbols.where("kind in ('import', 'export')").select("file_path", "language", F.col("start_line").alias("line"), "kind", "signature", F.col("name").alias("target"), *keep)
     s = F.col("signature")
     braces = F.regexp_extract(s, r"\{([^}]*)\}", 1)
     whole = F.regexp_extract(s, r"\* *as +([\w$]+)", 1)
@@ -75,8 +81,12 @@ def imported_names(symbols: DataFrame) -> DataFrame:
     target = F.when(F.col("language").isin(*QUALIFIED) & (F.col("language") != "c_sharp"), package).otherwise(F.col("target"))
     target = F.when((F.col("kind") == "export") & ~s.rlike(r"\bfrom\b"), nothing).otherwise(target)
     found = F.when(F.col("language").isin(*ECMA), ecma).when(F.col("language") == "python", python).when(F.col("language").isin(*QUALIFIED), qualified).otherwise(one(star, nothing))
-    out = rows.select("file_path", "language", "line", target.alias("target"), (F.col("kind") == "export").alias("export"), F.explode_outer(found).alias("n"))
-    return out.select("file_path", "language", "line", "target", "n.name", "n.local", "export")
+    out = rows.select("file_path", "language", "line", target.alias("target"), (F.col("kind") == "export").alias("export"), *keep, F.explode_outer(found).alias("n"))
+    return out.select("file_path", "language", "line", "target", "n.name", "n.local", "export", *keep)
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*/)[^/]*$", 1)
 
 
 def resolve_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -85,7 +95,7 @@ def resolve_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     Relative targets start at the file's folder, others at the workspace's top and then at the file's folder. Python's
     dots lead upwards, one for the file's own folder. A target names a file with or without its ending, or a folder's index.
     """
-    here = F.regexp_extract("file_path", r"^(.*/)[^/]*$", 1)
+    here = F.col("_here")
     dots = F.length(F.regexp_extract("target", r"^(\.*)", 1))
     module = F.translate(F.regexp_replace("target", r"^\.+", ""), ".", "/")
     up = F.concat(here, F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), module)
@@ -97,15 +107,31 @@ def resolve_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     endings = F.create_map(*[x for n, e in ENDINGS.items() for x in (F.lit(n), F.array(*map(F.lit, ("", *e))))])
     endings = F.coalesce(F.element_at(endings, F.col("language")), F.array(F.lit("")))
     options = F.flatten(F.transform(bases, lambda b: F.transform(endings, lambda e: F.concat(folded(b), e))))
-    asked = imports.where("target is not null").select("file_path", "language", "target").distinct()
-    rows = asked.select("file_path", "language", "target", F.posexplode(options).alias("_i", "_c"))
+    # what a target means depends on its file's folder alone, so it is asked once for all files of a folder
+    placed = imports.withColumn("_here", _folder(F.col("file_path")))
+    asked = placed.where("target is not null").select("_here", "language", "target").distinct()
+    rows = asked.select("_here", "language", "target", F.posexplode(options).alias("_i", "_c"))
     known = files.select(F.col("path").alias("_c")).distinct()
-    best = rows.join(known, "_c").groupBy("file_path", "language", "target").agg(F.min_by("_c", "_i").alias("to_path"))
-    return imports.join(best, ["file_path", "language", "target"], "left")
+    best = rows.join(known, "_c").groupBy("_here", "language", "target").agg(F.min_by("_c", "_i").alias("to_path"))
+    return placed.join(best, ["_here", "language", "target"], "left").drop("_here")
+
+
+def resolved_imports(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """``imported_names`` of all symbols with their to_path. Files of a folder often have statements in common: each is read once for a folder."""
+    said = symbols.where("kind in ('import', 'export')").select("file_path", F.col("start_line").alias("line"), F.struct(_folder(F.col("file_path")).alias("folder"), "language", "kind", "name", "signature").alias("said"))
+    asked = said.select("said").distinct().select("said", "said.*").withColumnRenamed("folder", "file_path").withColumn("start_line", F.lit(0))
+    read = resolve_targets(imported_names(asked, "said"), files).drop("file_path", "line").withColumnRenamed("said", "_said")
+    return said.join(read, F.col("said").eqNullSafe(F.col("_said"))).select("file_path", "language", "line", "target", "name", "local", "export", "to_path")
+
+
+def _first(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The first symbol (id, kind) of each key by ``order``, then by id."""
+    found = rows.groupBy(*keys).agg(F.min_by(F.struct("id", "kind"), F.struct(*order, "id")).alias("_s"))
+    return found.select(*keys, "_s.id", "_s.kind")
 
 
 def exported_names(symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(module, name, id): what each module gives to others, followed over re-exports.
+    """(module, name, id, kind): what each module gives to others, followed over re-exports.
 
     A module is a file, or a package of the languages with qualified names. ECMAScript files export what says so;
     files of other languages all that stands at their top; Python files also what they import. New names are joined to
@@ -115,23 +141,23 @@ def exported_names(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     ecma = F.col("language").isin(*ECMA)
     lists = imports.where("export and target is null").select("file_path", F.col("name").alias("_own"), F.col("local").alias("_out"))
     said = top.where(~ecma | F.col("signature").rlike(r"^export\b"))
-    own = said.select(F.col("file_path").alias("module"), "name", "id", "start_line")
-    own = own.unionByName(said.where(ecma & F.col("signature").rlike(r"^export +default\b")).select(F.col("file_path").alias("module"), F.lit("default").alias("name"), "id", "start_line"))
-    own = own.unionByName(top.join(lists, (top["file_path"] == lists["file_path"]) & (top["name"] == lists["_own"])).select(top["file_path"].alias("module"), F.col("_out").alias("name"), "id", "start_line"))
+    own = said.select(F.col("file_path").alias("module"), "name", "id", "kind", "start_line")
+    own = own.unionByName(said.where(ecma & F.col("signature").rlike(r"^export +default\b")).select(F.col("file_path").alias("module"), F.lit("default").alias("name"), "id", "kind", "start_line"))
+    own = own.unionByName(top.join(lists, (top["file_path"] == lists["file_path"]) & (top["name"] == lists["_own"])).select(top["file_path"].alias("module"), F.col("_out").alias("name"), "id", "kind", "start_line"))
     packages = symbols.where((F.col("kind") == "namespace") & F.col("language").isin(*QUALIFIED)).groupBy("file_path").agg(F.min_by("name", "start_line").alias("module"))
     inside = symbols.where(F.col("kind").isin(*_DECLARED) & F.col("language").isin(*QUALIFIED)).join(symbols.where("kind = 'namespace'").select(F.col("id").alias("parent_id"), F.lit(True).alias("_n")), "parent_id", "left")
     inside = inside.where(F.col("parent_id").isNull() | F.col("_n")).join(packages, "file_path")
-    own = own.unionByName(inside.select("module", "name", "id", "start_line"))
-    known = stage(own.groupBy("module", "name").agg(F.min_by("id", F.struct("start_line", "id")).alias("id")))
+    own = own.unionByName(inside.select("module", "name", "id", "kind", "start_line"))
+    known = stage(_first(own, ["module", "name"], "start_line"))
     again = imports.where("to_path is not null and (export or language = 'python') and not (name = '*' and local is not null)")
     named = stage(again.where("name <> '*'").select(F.col("file_path").alias("module"), F.col("local").alias("_as"), F.col("to_path").alias("_from"), F.col("name").alias("_name")).distinct())
     stars = stage(again.where("name = '*'").select(F.col("file_path").alias("module"), F.col("to_path").alias("_from")).distinct())
     fresh = known
     while True:
-        give = fresh.select(F.col("module").alias("_from"), F.col("name").alias("_name"), "id")
-        new = named.join(give, ["_from", "_name"]).select("module", F.col("_as").alias("name"), "id")
-        new = new.unionByName(stars.join(give.where("_name <> 'default'"), "_from").select("module", F.col("_name").alias("name"), "id"))
-        new = new.groupBy("module", "name").agg(F.min("id").alias("id")).join(known.select("module", "name"), ["module", "name"], "left_anti")
+        give = fresh.select(F.col("module").alias("_from"), F.col("name").alias("_name"), "id", "kind")
+        new = named.join(give, ["_from", "_name"]).select("module", F.col("_as").alias("name"), "id", "kind")
+        new = new.unionByName(stars.join(give.where("_name <> 'default'"), "_from").select("module", F.col("_name").alias("name"), "id", "kind"))
+        new = _first(new, ["module", "name"]).join(known.select("module", "name"), ["module", "name"], "left_anti")
         fresh = stage(new)
         if fresh.isEmpty():
             return known
@@ -139,38 +165,105 @@ def exported_names(symbols: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def scopes(symbols: DataFrame, imports: DataFrame, exports: DataFrame) -> DataFrame:
-    """(file_path, name, id): what each name means in a file: its own symbol of that name, or else what an import binds it to.
+    """(file_path, name, id, kind): what each name means in a file: its own symbol of that name, or else what an import binds it to.
 
     Names of a module that is imported whole under a name are bound as name.member.
     """
-    own = symbols.where(F.col("kind").isin(*_DECLARED)).groupBy("file_path", "name").agg(F.min_by("id", F.struct("start_line", "id")).alias("id"))
+    own = _first(symbols.where(F.col("kind").isin(*_DECLARED)), ["file_path", "name"], "start_line")
     module = F.when(F.col("language").isin(*QUALIFIED), F.col("target")).otherwise(F.col("to_path"))
     bound = imports.where("not export").withColumn("module", module).where("module is not null")
-    single = bound.where("name <> '*'").join(exports, ["module", "name"]).select("file_path", F.col("local").alias("name"), "id")
+    single = bound.where("name <> '*'").join(exports, ["module", "name"]).select("file_path", F.col("local").alias("name"), "id", "kind")
     whole = bound.where("name = '*'").select("file_path", "module", F.col("local")).distinct().join(exports, "module")
-    whole = whole.select("file_path", F.concat(F.coalesce(F.concat("local", F.lit(".")), F.lit("")), "name").alias("name"), "id")
-    package = symbols.where((F.col("kind") == "namespace") & F.col("language").isin(*QUALIFIED)).select("file_path", F.col("name").alias("module")).distinct().join(exports, "module").select("file_path", "name", "id")
+    whole = whole.select("file_path", F.concat(F.coalesce(F.concat("local", F.lit(".")), F.lit("")), "name").alias("name"), "id", "kind")
+    package = symbols.where((F.col("kind") == "namespace") & F.col("language").isin(*QUALIFIED)).select("file_path", F.col("name").alias("module")).distinct().join(exports, "module").select("file_path", "name", "id", "kind")
     rank = lambda df, n: df.withColumn("_r", F.lit(n))
     every = rank(own, 0).unionByName(rank(single, 1)).unionByName(rank(package, 2)).unionByName(rank(whole, 3))
-    return every.groupBy("file_path", "name").agg(F.min_by("id", F.struct("_r", "id")).alias("id"))
+    return _first(every, ["file_path", "name"], "_r")
+
+
+_NAME = r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?"
+_FORMS = [
+    ("instantiates", "new ", re.compile(rf"(?<![\w$.])new +({_NAME})", re.ASCII)),
+    ("calls", "(", re.compile(rf"(?<![\w$.])(?<!new )(?<!new  )({_NAME}) *\(", re.ASCII)),
+    ("uses", ":", re.compile(rf"(?<=[\w)\]?])\?? *: *({_NAME})(?![\w$]* *\()", re.ASCII)),
+]  # with what stands in all matches; none goes over a line's end
+_LINE_END = re.compile("\n")
+
+
+def _uses_in(code: str) -> list[tuple[int, int, str, str]]:
+    """(line, column, name, form) of what is used in the code of one file, in the order of the places; each once."""
+    lines = [0, *[m.end() for m in _LINE_END.finditer(code)]]
+    found = set()
+    for form, sign, pattern in _FORMS:
+        for m in pattern.finditer(code) if sign in code else ():
+            name = m.group(1)
+            if name not in _KEYWORDS:
+                line = bisect_right(lines, m.start(1))
+                found.add((line, code.find(name, lines[line - 1]) - lines[line - 1], name, form))
+    return sorted(found)
 
 
 def uses(files: DataFrame) -> DataFrame:
-    """(file_path, line, col, name, form): names in code that are called, instantiated or used as a type.
+    """(file_path, language, line, col, name, form): names in code that are called, instantiated or used as a type.
 
     A name that stands several times in a line counts once in each form, at the column (from 0) of the first.
     """
-    lines = structure.code_only(files).select(F.col("path").alias("file_path"), "language", F.posexplode(F.split("content", "\r?\n")).alias("i", "text"))
-    name = r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?"
-    forms = {"instantiates": rf"(?<![\w$.])new +({name})", "calls": rf"(?<![\w$.])(?<!new )(?<!new  )({name}) *\(", "uses": rf"(?<=[\w)\]?])\?? *: *({name})(?![\w$]* *\()"}
+    columns = {"file_path": pa.string(), "language": pa.string(), "line": pa.int32(), "col": pa.int32(), "name": pa.string(), "form": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(path, language, *u) for path, language, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for u in _uses_in(structure.code_of(language, text or ""))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), columns.values(), strict=True)], list(columns))
+
+    return structure.batched(files, run, "file_path string, language string, line int, col int, name string, form string").distinct()
+
+
+def _holders(spans: list[tuple], places: list[tuple[int, int]]) -> list[str | None]:
+    """For each place (line, col), in order, the id of the least span (line, col, end line, end col, near, size, id) that holds it."""
+    spans.sort(key=lambda x: x[:2])
+    heap: list[tuple] = []
+    out, k = [], 0
+    for line, col in places:
+        while k < len(spans) and spans[k][:2] <= (line, col):
+            a, c, b, d, near, size, ident = spans[k]
+            heappush(heap, (near, size is not None, size or 0, ident, b, d))
+            k += 1
+        while heap and heap[0][4:] < (line, col):
+            heappop(heap)
+        out.append(heap[0][3] if heap else None)
+    return out
+
+
+def placed_uses(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_path, line, name, form, from_id): ``uses`` with the nearest function or type around each, or null.
+
+    A file's text meets the spans of its symbols, and both are gone through in order of their places where the text is,
+    so uses aren't shuffled to find out where they stand. Nearest is as in ``navigation.containing``.
+    """
+    near, size, first, last = navigation.nearness()
+    held = symbols.where(F.col("kind").isin("function", "method", "constructor", "class", "interface", "struct", "enum", "trait") & (F.col("end_line") >= F.col("start_line")) & F.col("id").isNotNull())
+    span = F.struct(F.col("start_line").alias("a"), first.alias("c"), F.col("end_line").alias("b"), last.alias("d"), near.alias("near"), size.alias("size"), "id")
+    # text is much larger than what it is shuffled as, so partitions aren't put together
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = held.select(F.col("file_path").alias("path"), span.alias("s")).repartition(parts, "path").groupBy("path").agg(F.collect_list("s").alias("spans"))
+    rows = files.select("path", "language", "content").repartition(parts, "path").join(spans, "path", "left")
+    columns = {"file_path": pa.string(), "line": pa.int32(), "name": pa.string(), "form": pa.string(), "from_id": pa.string()}
 
-    def hits(form: str) -> Column:
-        return F.transform(F.regexp_extract_all("text", F.lit(forms[form]), F.lit(1)), lambda n: F.struct(F.lit(form).alias("form"), n.alias("name")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            around = b.column("spans")
+            starts, valid = around.offsets.to_pylist(), around.is_valid().to_pylist()
+            flat = list(zip(*(c.to_pylist() for c in around.values.flatten()), strict=True))
+            for i, (path, language, text) in enumerate(zip(*(b.column(n).to_pylist() for n in ("path", "language", "content")), strict=True)):
+                found = _uses_in(structure.code_of(language, text or ""))
+                held = [x for x in flat[starts[i] : starts[i + 1]] if x[0] < x[2] or x[1] <= x[3]] if valid[i] else []
+                out += [(path, line, name, form, ident) for (line, _, name, form), ident in zip(found, _holders(held, [u[:2] for u in found]), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), columns.values(), strict=True)], list(columns))
 
-    out = lines.select("file_path", "language", (F.col("i") + 1).alias("line"), "text", F.explode(F.flatten(F.array(*map(hits, forms)))).alias("h"))
-    column = F.greatest(F.position(F.col("h.name"), F.col("text")) - 1, F.lit(0))
-    out = out.select("file_path", "language", "line", column.alias("col"), "h.name", "h.form")
-    return out.where(~F.col("name").isin(*_KEYWORDS)).distinct()
+    return structure.batched(rows, run, "file_path string, line int, name string, form string, from_id string", "spans")
 
 
 def relations(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -181,31 +274,28 @@ def relations(files: DataFrame, symbols: DataFrame) -> DataFrame:
     imports know is taken from anywhere in the workspace if just one symbol has it, with less confidence; calls of members
     of unknown objects and names that stay unknown give none. A relation that repeats on a line counts once.
     """
-    imports = stage(resolve_targets(imported_names(symbols), files))
+    imports = stage(resolved_imports(symbols, files))
     exports = exported_names(symbols, imports)
-    scope = stage(scopes(symbols, imports, exports))
-    kinds = symbols.select(F.col("id").alias("to_id"), F.col("kind").alias("to_kind"))
+    scope = scopes(symbols, imports, exports)
     between = imports.where("to_path is not null").select(
         F.concat(F.lit("file:"), "file_path").alias("from_id"), F.concat(F.lit("file:"), "to_path").alias("to_id"), F.lit("imports").alias("kind"), "file_path", "line", F.lit(CONFIDENCE["imports"]).alias("confidence")
     ).distinct()
-    found = stage(uses(files))
     heads = symbols.where(F.col("kind").isin("class", "interface", "struct", "enum", "trait", "union")).select("id", "file_path", "language", F.col("start_line").alias("line"), bases(F.col("language"), F.col("signature")).alias("names"))
     heads = heads.select(F.col("id").alias("from_id"), "file_path", "line", F.explode("names").alias("name"))
-    # a probe for each place, not for each name in it
-    places = found.select("file_path", "line", "col").distinct().withColumn("probe_id", F.struct("file_path", "line", "col"))
-    holders = symbols.where(F.col("kind").isin("function", "method", "constructor", "class", "interface", "struct", "enum", "trait"))
-    owner = navigation.containing(places, holders, unique=True).select(F.col("probe_id.file_path").alias("file_path"), F.col("probe_id.line").alias("line"), F.col("probe_id.col").alias("col"), F.col("id").alias("from_id"))
-    found = found.join(owner, ["file_path", "line", "col"], "left").withColumn("from_id", F.coalesce("from_id", F.concat(F.lit("file:"), "file_path")))
-    unique = symbols.where(F.col("kind").isin(*_DECLARED)).groupBy("name").agg(F.min("id").alias("anywhere"), F.count("*").alias("n")).where("n = 1").drop("n")
+    found = placed_uses(files, symbols).withColumn("from_id", F.coalesce("from_id", F.concat(F.lit("file:"), "file_path")))
     asked = found.select("from_id", "file_path", "line", "name", "form").unionByName(heads.withColumn("form", F.lit("extends")))
-    named = asked.join(scope, ["file_path", "name"], "left").join(unique, "name", "left")
-    named = named.withColumn("to_id", F.coalesce("id", "anywhere")).where("to_id is not null and to_id <> from_id").join(kinds, "to_id")
+    named = stage(asked.join(scope, ["file_path", "name"], "left"))
+    # only what its file doesn't know is looked for everywhere
+    unique = symbols.where(F.col("kind").isin(*_DECLARED)).groupBy("name").agg(F.min("id").alias("id"), F.min("kind").alias("kind"), F.count("*").alias("n")).where("n = 1").drop("n")
+    anywhere = named.where("id is null").drop("id", "kind").join(unique, "name").withColumn("_sure", F.lit(False))
+    named = named.where("id is not null").withColumn("_sure", F.lit(True)).unionByName(anywhere)
+    named = named.withColumnsRenamed({"id": "to_id", "kind": "to_kind"}).where("to_id <> from_id")
     form = F.col("form")
     typed = F.col("to_kind").isin("class", "struct")
     kind = F.when((form == "extends") & F.col("to_kind").isin("interface", "trait"), "implements").when((form == "calls") & typed, "instantiates").otherwise(form)
     fits = (form != "calls") | F.col("to_kind").isin("function", "method", "class", "struct", "variable", "constant")
     sure = F.element_at(F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair]), kind)
-    out = named.where(fits).select("from_id", "to_id", kind.alias("kind"), "file_path", "line", F.when(F.col("id").isNull(), F.least(sure, F.lit(BY_NAME_ONLY))).otherwise(sure).alias("confidence"))
+    out = named.where(fits).select("from_id", "to_id", kind.alias("kind"), "file_path", "line", F.when(F.col("_sure"), sure).otherwise(F.least(sure, F.lit(BY_NAME_ONLY))).alias("confidence"))
     return out.distinct().unionByName(between)
 
 
