@@ -28,18 +28,18 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import prepare, remembers
 
 #: Pairs, and prefixes of long words, remembered by each worker, at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words remembered by each worker, at most but for those of one step (some 60 bytes each).
-WORDS = 400_000
+WORDS = 200_000
 #: Prefixes of words remembered by each worker, at most but for those of one step (some 50 bytes each).
-PREFIXES = 1_000_000
+PREFIXES = 500_000
 #: Words of more bytes are looked up one by one.
 SHORT_WORD = 15
 #: Words of more bytes are encoded one by one.
 LONG_WORD = 64
 #: Characters of text that are encoded together, but for longer runs without white space.
 AT_ONCE = 1_000_000
-#: Words that are encoded together.
+#: Words that are encoded together, and characters whose kinds are looked up together.
 TOGETHER = 65_536
 #: How words are split where their kinds of characters tell all; other patterns are run over the text.
 _BY_KIND = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -79,6 +79,15 @@ class _Table:
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def one(self, key: int) -> int:
+        """get() of a single key, without arrays."""
+        at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - self.bits
+        while (found := self.keys.item(at)) != key:
+            if found < 0:
+                return -1
+            at = at + 1 & len(self.keys) - 1
+        return self.values.item(at)
+
     def get(self, keys: np.ndarray) -> np.ndarray:
         at = self._home(keys)
         out = np.full(len(keys), -1, np.int32)
@@ -166,7 +175,8 @@ class _Rows:
 class WordBpe:
     """A tokenizer file of the kind: NFC, white space, lower case; words; byte-level BPE with a mark on word ends.
 
-    Symbols are bytes, plus 256 for the last byte of a word.
+    Symbols are bytes, plus 256 for the last byte of a word. The vocabulary is kept as arrays alone, as each worker holds
+    its own: of the mappings that they are made from nothing is left after loading.
     """
 
     def __init__(self, path: str, decoding: bool = True) -> None:
@@ -186,63 +196,73 @@ class WordBpe:
                 codes[-1] += 256
             return tuple(codes)
 
-        self.names: dict[int, str] = {i: t for t, i in model["vocab"].items()}
+        names: dict[int, str] = {i: t for t, i in model["vocab"].items()}
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: t for t, i in self.special.items()}
+        names |= {i: t for t, i in self.special.items()}
+        self.named = [names.get(i, "") for i in range(max(names) + 1)]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces, self.spaces = regex.compile(pattern), regex.compile(r"\s")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        ids = model["vocab"]
-        self.rank: dict[int, int] = {}
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.merge: dict[tuple[int, int], int] = {}
-        for r, (a, b) in enumerate(model["merges"]):
-            a, b, ab = ids[a], ids[b], ids[a + b]
-            self.merge[a, b] = r
-            if ab not in self.rank:
-                self.rank[ab] = r
-                self.halves[ab] = (a, b)
+        ids, merges = model["vocab"], model["merges"]
+        del spec, model, names
+        parts = np.array([(ids[a], ids[b], ids[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
+        del merges
         forms = {i: s for t, i in ids.items() if (s := symbols(t))}
-        single = {i for i, s in forms.items() if len(s) == 1}
-        self.sound: set[int] = set()
-        for i in sorted((i for i in forms if i in self.rank or i in single), key=lambda i: self.rank.get(i, -1)):
-            if i in single or self._stands(i):
-                self.sound.add(i)
-        self._automaton({i: forms[i] for i in self.sound})
+        del ids
+        self._merges(parts)
+        sound = self._sound(forms, parts)
+        del parts
+        self._automaton({i: forms[i] for i in sound})
+        del forms, sound
         self.pairs: dict[int, bool] = {}
         self.met = _Memory()
         self.by_kind = pattern == _BY_KIND
         self.kinds = np.full(0x110000, _UNKNOWN, np.uint8)
-        self.named = [self.names.get(i, "") for i in range(max(self.names) + 1)]
         self._forget()
         self._forget_prefixes()
         self._forget_words()
 
-    def _stands(self, i: int) -> bool:
-        """Whether the token's own string encodes to it."""
-        a, b = self.halves[i]
-        return a in self.sound and b in self.sound and self._apart(a, b, self.rank[i])
+    def _merges(self, parts: np.ndarray) -> None:
+        """Each token's first merge and its halves, and each pair's last merge, from the rows (left, right, both)."""
+        n = len(self.named)
+        self.ranks, self.lefts, self.rights = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        made, first = np.unique(parts[:, 2], return_index=True)
+        self.ranks[made], self.lefts[made], self.rights[made] = first, parts[first, 0], parts[first, 1]
+        pairs, last = np.unique((parts[:, 0] << 17 | parts[:, 1])[::-1], return_index=True)
+        self.merges = _Table(pairs, (len(parts) - 1 - last).astype(np.int32))
+
+    def _sound(self, forms: dict[int, tuple[int, ...]], parts: np.ndarray) -> list[int]:
+        """Tokens whose own string encodes to them, single symbols first, then by their merges."""
+        made = np.unique(parts[:, 2])
+        apart = np.zeros(len(self.named), bool)
+        apart[made] = self._apart_many(self.lefts[made], self.rights[made], self.ranks[made])
+        single = [i for i, s in forms.items() if len(s) == 1]
+        sound, out = set(single), sorted(single, key=self.ranks.item)
+        for i in made[np.argsort(self.ranks[made], kind="stable")].tolist():
+            if i in forms and i not in sound and apart[i] and self.lefts.item(i) in sound and self.rights.item(i) in sound:
+                sound.add(i)
+                out.append(i)
+        return out
 
-    def _apart(self, a: int, b: int, until: float) -> bool:
-        """Whether no merge crosses the border of the adjacent tokens a and b before merge ``until``.
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge crosses the border of the adjacent tokens a and b.
 
         Walks back in time over the tokens that touch at the border: the younger one is undone first, of equally old
         ones the right, as equal merges run from left to right. Touching tokens merge if their merge comes before
         those that use the left one up, and not after those that use the right one up.
         """
-        rank, merge, halves = self.rank, self.merge, self.halves
-        left_used = right_used = until
+        rank, left_used, right_used = self.ranks.item, math.inf, math.inf
         while True:
-            r = merge.get((a, b))
-            if r is not None and r < left_used and r <= right_used and r < until:
+            r = self.merges.one(a << 17 | b)
+            if r >= 0 and r < left_used and r <= right_used:
                 return False
-            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            ra, rb = rank(a), rank(b)
             if ra < 0 and rb < 0:
                 return True
             if ra > rb:
-                left_used, a = ra, halves[a][1]
+                left_used, a = ra, self.rights.item(a)
             else:
-                right_used, b = rb, halves[b][0]
+                right_used, b = rb, self.lefts.item(b)
 
     def follows(self, a: int, b: int) -> bool:
         """Pair compatibility: the concatenation of a's and b's strings encodes to (a, b)."""
@@ -251,7 +271,7 @@ class WordBpe:
         if known is None:
             if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
-            known = self.pairs[key] = self._apart(a, b, math.inf)
+            known = self.pairs[key] = self._apart(a, b)
         return known
 
     def _forget(self) -> None:
@@ -260,7 +280,7 @@ class WordBpe:
         self.at, self.size, self.last, self.before = [0], [0], [-1], [0]
 
     def _automaton(self, forms: dict[int, tuple[int, ...]]) -> None:
-        """Suffix automaton of all tokens' strings: go[state][symbol], link and longest length of each state."""
+        """Suffix automaton of all tokens' strings: go[state][symbol], link and longest length of each state, and the tokens that end in it; as arrays."""
         go: list[dict[int, int]] = [{}]
         link, longest = [-1], [0]
 
@@ -304,37 +324,34 @@ class WordBpe:
             for c in s:
                 at = go[at][c]
             here.setdefault(at, []).append((len(s), i))
-        self.go, self.link, self.longest, self.here = go, link, longest, here
-        self.ending: list[tuple[tuple[int, int], ...] | None] = [None] * len(go)
-        self._arrays()
-
-    def _ends(self, state: int) -> tuple[tuple[int, int], ...]:
-        """(length, token) of all tokens that are suffixes of the state's longest string, longest first."""
-        known = self.ending[state]
-        if known is None:
-            found, at = [], state
-            while at > 0:
-                found += sorted(self.here.get(at, []), reverse=True)
-                at = self.link[at]
-            known = self.ending[state] = tuple(found)
-        return known
+        keys = np.fromiter((state << 9 | c for state, row in enumerate(go) for c in row), np.int64)
+        self.step = _Table(keys, np.fromiter((t for row in go for t in row.values()), np.int32))
+        go.clear()
+        self.links, self.lengths = np.array(link, np.int32), np.array(longest, np.int32)
+        # (length, token) of all tokens that are suffixes of the state's longest string, longest first
+        ending: list[tuple[tuple[int, int], ...]] = [()] * len(link)
+        for state in sorted(range(len(link)), key=longest.__getitem__):
+            below = ending[link[state]] if state else ()
+            ending[state] = (*sorted(here[state], reverse=True), *below) if state in here else below
+        self.first_end = np.cumsum([0, *map(len, ending)]).astype(np.int64)
+        self.end_size, self.end_token = (np.fromiter((e[i] for ends in ending for e in ends), np.int32) for i in (0, 1))
 
     def _extend(self, path: list[int], c: int) -> int:
         """The prefix that follows path[-1] by symbol c: its place in the automaton, last token and back-pointer."""
-        go, link, longest = self.go, self.link, self.longest
-        state, size = self.at[path[-1]], self.size[path[-1]]
-        while state and c not in go[state]:
-            state = link[state]
-            size = longest[state]
-        if c not in go[state]:
-            raise ValueError(f"the vocabulary lacks symbol {c}")
-        state, size, i = go[state][c], size + 1, len(path)
-        for n, t in self.ending[state] or self._ends(state):
+        state, size, i = self.at[path[-1]], self.size[path[-1]], len(path)
+        while (to := self.step.one(state << 9 | c)) < 0:
+            if not state:
+                raise ValueError(f"the vocabulary lacks symbol {c}")
+            state = self.links.item(state)
+            size = self.lengths.item(state)
+        size += 1
+        for k in range(self.first_end.item(to), self.first_end.item(to + 1)):
+            n, t = self.end_size.item(k), self.end_token.item(k)
             if n <= size and (n == i or self.follows(self.last[path[i - n]], t)):
                 break
         else:
             raise ValueError("no token ends here")
-        self.at.append(state), self.size.append(size), self.last.append(t), self.before.append(path[i - n])
+        self.at.append(to), self.size.append(size), self.last.append(t), self.before.append(path[i - n])
         return len(self.at) - 1
 
     def encode_word(self, word: str) -> list[int]:
@@ -357,35 +374,20 @@ class WordBpe:
         out.reverse()
         return out
 
-    def _arrays(self) -> None:
-        """The automaton, the merges and the tokens' halves as arrays, to work on many words at once."""
-        keys = [state << 9 | c for state, row in enumerate(self.go) for c in row]
-        self.step = _Table(np.array(keys, np.int64), np.array([t for row in self.go for t in row.values()], np.int32))
-        self.links, self.lengths = np.array(self.link, np.int32), np.array(self.longest, np.int32)
-        for state in sorted(range(len(self.go)), key=self.longest.__getitem__):
-            here = self.here.get(state)
-            below = self.ending[self.link[state]] if state else ()
-            self.ending[state] = (*sorted(here, reverse=True), *below) if here else below
-        self.first_end = np.cumsum([0, *map(len, self.ending)]).astype(np.int64)
-        flat = [e for ends in self.ending for e in ends]
-        self.end_size, self.end_token = (np.array([e[i] for e in flat], np.int32) for i in (0, 1))
-        n = max(self.names) + 1
-        self.ranks, self.lefts, self.rights = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-        for t, r in self.rank.items():
-            self.ranks[t], (self.lefts[t], self.rights[t]) = r, self.halves[t]
-        self.merges = _Table(np.array([a << 17 | b for a, b in self.merge], np.int64), np.array(list(self.merge.values()), np.int32))
-
     def _follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """follows() of many pairs; each distinct pair is worked out once."""
         pairs, where = np.unique(a.astype(np.int64) << 17 | b, return_inverse=True)
         a, b = (pairs >> 17).astype(np.int32), (pairs & 0x1FFFF).astype(np.int32)
-        good = np.ones(len(pairs), bool)
-        never = np.int32(2**31 - 1)
-        rows = np.arange(len(pairs))
-        left_used, right_used = np.full(len(pairs), never), np.full(len(pairs), never)
+        return self._apart_many(a, b, np.full(len(pairs), 2**31 - 1, np.int32))[where]
+
+    def _apart_many(self, a: np.ndarray, b: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """_apart() of many pairs, for merges before ``until``."""
+        good = np.ones(len(a), bool)
+        rows = np.arange(len(a))
+        left_used = right_used = until
         while len(rows):
             r = self.merges.get(a.astype(np.int64) << 17 | b)
-            crossed = (r >= 0) & (r < left_used) & (r <= right_used)
+            crossed = (r >= 0) & (r < left_used) & (r <= right_used) & (r < until[rows])
             good[rows[crossed]] = False
             ra, rb = self.ranks[a], self.ranks[b]
             keep = ~crossed & ((ra >= 0) | (rb >= 0))
@@ -393,7 +395,7 @@ class WordBpe:
             younger = ra > rb
             left_used, right_used = np.where(younger, ra, left_used), np.where(younger, right_used, rb)
             a, b = np.where(younger, self.rights[a], a), np.where(younger, b, self.lefts[b])
-        return good[where]
+        return good
 
     def _forget_prefixes(self) -> None:
         """As _forget(), for words that are worked on together. Of each prefix its number of tokens as well."""
@@ -519,12 +521,16 @@ class WordBpe:
         return new
 
     def _kinds_of(self, codes: np.ndarray) -> np.ndarray:
-        kinds = self.kinds[codes]
-        if (kinds == _UNKNOWN).any():
-            for c in np.unique(codes[kinds == _UNKNOWN]).tolist():
-                self.kinds[c] = next(kind for kind, p in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SIGN, r"(?s:.)")) if regex.match(p, chr(c)))
-            kinds = self.kinds[codes]
-        return kinds
+        out = np.empty(len(codes), np.uint8)
+        for at in range(0, len(codes), TOGETHER):  # an index takes eight bytes for each character
+            part = codes[at : at + TOGETHER]
+            kinds = self.kinds[part]
+            if (kinds == _UNKNOWN).any():
+                for c in np.unique(part[kinds == _UNKNOWN]).tolist():
+                    self.kinds[c] = next(kind for kind, p in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SIGN, r"(?s:.)")) if regex.match(p, chr(c)))
+                kinds = self.kinds[part]
+            out[at : at + TOGETHER] = kinds
+        return out
 
     def _words(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and past-last places of all words of a normalised text that begins and ends with white space."""
@@ -656,7 +662,7 @@ class WordBpe:
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the file names no decoder."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join(self.named[i] for i in ids)
 
 
 @lru_cache(2)
