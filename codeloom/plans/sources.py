@@ -98,16 +98,18 @@ def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = again(typed, ["n"], F.concat(F.lit("lib/group"), "n", F.lit("/index.ts")), text("export * from '../s{s}';", s=F.col("s")))
     whole = again(typed, [], F.lit("lib/index.ts"), text("export * from './group{n}';", n=F.col("n")))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s"), "l_linenumber").join(suppliers, "s")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c"))
-    used = items.join(orders, "l_orderkey").withColumn("language", F.lit("typescript"))
-    where = F.when(F.col("s") % 3 == 0, text("s{s}", s=F.col("s"))).when(F.col("s") % 3 == 1, text("group{n}", n=F.col("n"))).otherwise("index")
-    line = F.replace(text("import { part{s} as p{s},\n  Base{s} } from '../lib/{w}';", s=F.col("s")), F.lit("{w}"), where)
-    heads = used.groupBy("c", "language").agg(F.array_join(F.sort_array(F.collect_set(line)), "\n").alias("head"), F.min("s").alias("least"))
-    calls = used.groupBy("c", "l_orderkey", "language").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", text("  p{s}(1);", s=F.col("s")).alias("t")))).alias("calls"))
-    calls = calls.select("c", text("export function order{o}() {", o=F.col("l_orderkey")).alias("h"), F.array_join(F.transform("calls", lambda x: x["t"]), "\n").alias("b"))
-    bodies = calls.groupBy("c").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("\n", "h", "b", F.lit("}")))), "\n").alias("body"))
-    last = text("export class C{c} extends Base{s} {\n}", c=F.col("c"), s=F.col("least"))
-    apps = heads.join(bodies, "c").select(F.concat(F.lit("app/c"), "c", F.lit(".ts")).alias("path"), "language", F.concat_ws("\n", "head", "body", last).alias("content"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c")).where("c is not null")
+    # keys of items are shuffled to their file, once for its head and its functions, and not the text that is written from them
+    used = items.join(orders, "l_orderkey").groupBy("c", "l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "s", "n")).alias("items"))
+    used = used.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c").groupBy("c").agg(F.collect_list(F.struct("l_orderkey", "items")).alias("orders")).withColumn("language", F.lit("typescript"))
+    where = lambda s, n: F.when(s % 3 == 0, text("s{s}", s=s)).when(s % 3 == 1, text("group{n}", n=n)).otherwise("index")
+    line = lambda s, n: F.replace(text("import { part{s} as p{s},\n  Base{s} } from '../lib/{w}';", s=s), F.lit("{w}"), where(s, n))
+    every = F.flatten(F.transform("orders", lambda o: o["items"]))
+    head = F.array_join(F.sort_array(F.array_distinct(F.transform(every, lambda i: line(i["s"], i["n"])))), "\n")
+    calls = lambda o: F.array_join(F.transform(F.sort_array(F.transform(o["items"], lambda i: F.struct(i["l_linenumber"], text("  p{s}(1);", s=i["s"]).alias("t")))), lambda x: x["t"]), "\n")
+    body = F.array_join(F.sort_array(F.transform("orders", lambda o: F.concat_ws("\n", text("export function order{o}() {", o=o["l_orderkey"]), calls(o), F.lit("}")))), "\n")
+    last = text("export class C{c} extends Base{s} {\n}", c=F.col("c"), s=F.array_min(F.transform(every, lambda i: i["s"])))
+    apps = used.select(F.concat(F.lit("app/c"), "c", F.lit(".ts")).alias("path"), "language", F.concat_ws("\n", head, body, last).alias("content"))
     return files.unionByName(nations).unionByName(whole).unionByName(apps)
 
 
