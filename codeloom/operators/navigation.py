@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from codeloom.operators import extract, structure
 from codeloom.operators.staging import stage
 
 REFERENCE_KINDS = ("calls", "uses", "references")
@@ -51,6 +52,16 @@ def _order(x: object) -> tuple:
     return (1, tuple(map(_order, x.values()))) if isinstance(x, dict) else (1, x)
 
 
+def _least(heap: list[tuple], line: int, col: int | None) -> tuple | None:
+    """The least entry (key, number, end line, end col, ...) that hasn't ended before a place; those on top that have go."""
+    while heap and (heap[0][2] < line or heap[0][2] == line and col is not None and heap[0][3] < col):
+        heappop(heap)
+    best = heap[0] if heap else None
+    if col is None and best and best[2] <= line:
+        best = min((e for e in heap if e[2] > line), default=None)
+    return best
+
+
 def _swept(probes: DataFrame, spans: DataFrame, unique: bool) -> DataFrame:
     """Probes (probe_id, file, line, col) and spans (file, a, c, b, d, size, id) -> (probe_id, size, id).
 
@@ -76,17 +87,12 @@ def _swept(probes: DataFrame, spans: DataFrame, unique: bool) -> DataFrame:
                     file, heap = f, []
                 if not turn:
                     number += 1  # no two entries are compared further than that
-                    heappush(heap, (_order(s), _order(x), number, b, d, s, x))
+                    heappush(heap, ((_order(s), _order(x)), number, b, d, s, x))
                     continue
-                while heap and (heap[0][3] < line or heap[0][3] == line and col is not None and heap[0][4] < col):
-                    heappop(heap)
-                best = heap[0] if heap else None
-                if col is None and best and best[3] <= line:
-                    best = min((e for e in heap if e[3] > line), default=None)
-                if best:
+                if best := _least(heap, line, col):
                     at.append(i)
-                    size.append(best[5])
-                    found.append(best[6])
+                    size.append(best[4])
+                    found.append(best[5])
             if at:
                 kinds = [batch.schema.field(n).type for n in ("size", "id")]
                 yield pa.RecordBatch.from_arrays([batch.column("probe_id").take(pa.array(at)), pa.array(size, kinds[0]), pa.array(found, kinds[1])], ["probe_id", "size", "id"])
@@ -108,6 +114,71 @@ def at_position(probes: DataFrame, spans: DataFrame, file: str, unique: bool = F
     return _swept(asked, held, unique).select("probe_id", "id", "size")
 
 
+def located(files: DataFrame, probes: DataFrame, content: Column | str = "content", containers: tuple[str, ...] | None = None, unique: bool = False) -> DataFrame:
+    """Files (path, language, and what ``content`` is written from) and probes (probe_id, file_path, line, col) -> (probe_id, name, start_line, size).
+
+    The same as ``at_position`` with the files' symbols and with their start_line and name as id or, with ``containers``,
+    as ``containing`` with the symbols of these kinds. Text is read where its file's probes are: a file comes before its probes,
+    which come in the order of their places, so neither its symbols are written and shuffled nor its probes held. ``content`` is
+    worked out after that shuffle, so that text needn't go through it. ``unique`` is as in ``at_position``.
+    """
+    spark = files.sparkSession
+    none = lambda names, df: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
+    given = [c for c in files.columns if c != "path"]
+    asked = probes.where("file_path is not null and line is not null").select(F.col("file_path").alias("path"), *none(given, files), F.lit(1).alias("turn"), F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), "probe_id")
+    told = files.where("path is not null").select("path", *given, F.lit(0).alias("turn"), *[F.lit(None).cast("long").alias(n) for n in ("line", "col")], *none(["probe_id"], probes))
+    # text is much larger than what it is written from, so partitions aren't put together
+    rows = told.unionByName(asked).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path", "turn", "line", "col")
+    text = F.when(F.col("turn") == 0, F.col(content) if isinstance(content, str) else content)
+    rows = rows.withColumn("_text", text).select("path", "language", F.col("_text").alias("content"), "turn", "line", "col", "probe_id")
+    sized = "near int, size int" if containers else "size int"
+    out = StructType([probes.schema["probe_id"], *StructType.fromDDL(f"{sized}, start_line int, name string")])
+    keys = out.names[1:]
+
+    def spans(language: str, text: str, heads: dict[str, structure.Heads]) -> Iterator[tuple]:
+        """(first line, first col, (key, last line, last col)) of the symbols that may hold a place."""
+        for kind, name, a, c, b, d, _, _, _, _, _, parent, around, *_ in structure._nested(structure._rows(language, text, heads[language], None, False)):
+            if not containers:
+                if a <= b:
+                    yield a, 0, ((b - a, a, name), b, 0)
+            elif (kind := structure.kind_within(language, kind, name, around, parent)) in containers and (a < b or a == b and c <= d):
+                yield a, c, ((NEARNESS.get(kind, 5), (b - a) * 1000 + d - c, a, name), b, d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = structure.heads_of(extract.DECLARATIONS)
+        file, heap, held, k, number = None, [], [], 0, 0
+        for batch in batches:
+            at: list[int] = []
+            found: list[tuple] = []
+            columns = [batch.column(n).to_pylist() for n in ("path", "language", "content", "turn", "line", "col")]
+            for i, (path, language, text, turn, line, col) in enumerate(zip(*columns, strict=True)):
+                if path != file:
+                    file, heap, held, k = path, [], [], 0
+                if not turn:
+                    if language in heads:
+                        held = sorted([*held, *spans(language, text or "", heads)], key=lambda x: x[:2])
+                    continue
+                if not containers:
+                    col = 0
+                column = -1 if col is None else col
+                while k < len(held) and (held[k][0] < line or held[k][0] == line and held[k][1] <= column):
+                    number += 1
+                    key, b, d = held[k][2]
+                    heappush(heap, (key, number, b, d))
+                    k += 1
+                if best := _least(heap, line, col):
+                    at.append(i)
+                    found.append(best[0])
+            if at:
+                kinds = [pa.string() if n == "name" else pa.int32() for n in keys]
+                yield pa.RecordBatch.from_arrays([batch.column("probe_id").take(pa.array(at)), *[pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]], out.names)
+
+    hits = structure.batched(rows, run, out, "turn", "line", "col", "probe_id")
+    if not unique:
+        hits = hits.groupBy("probe_id").agg(F.min(F.struct(*keys)).alias("m")).select("probe_id", "m.*")
+    return hits.select("probe_id", "name", "start_line", "size")
+
+
 def nearness() -> tuple[Column, Column, Column, Column]:
     """Of a symbol: how near its kind is as a container, its size, and the columns it goes from and to, by which ``containing`` looks."""
     near = F.lit(5)

@@ -427,7 +427,7 @@ def read(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             used: list[tuple] = []
             for path, language, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = text or ""
-                lexed = structure._read(language, text)
+                lexed = structure._read(language, text, heads.get(language))
                 rows = list(structure._nested(structure._rows(language, text, heads[language], lexed, False))) if language in heads else []
                 symbols += [(path, language, *r, *[None] * 6) for r in rows]
                 used.append((path, language, None, None, FILE, *[None] * 6))

@@ -35,8 +35,8 @@ def _filled(templates: dict[str, str], **values: Column) -> Column:
     return out
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, language, content)."""
+def source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, o_custkey, classes): what ``source_text`` writes each file from."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_suppkey", F.col("l_quantity").cast("int").alias("q")).alias("i"))
     language = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("o_custkey") % 3 + 1).cast("int"))
@@ -44,10 +44,19 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # items are shuffled to their file, not the text that is written from them; that is some twenty times as large, so partitions aren't put together
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
     files = rows.groupBy("o_custkey", "language").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "items"))).alias("classes"))
+    return files.select(F.concat(F.lit("src/c"), "o_custkey", F.lit("."), "language").alias("path"), "language", "o_custkey", "classes")
+
+
+def source_text() -> Column:
+    """The text of a file of ``source_parts``."""
     methods = lambda c: F.array_join(F.transform(c["items"], lambda i: _filled(_METHOD, l=i["l_linenumber"], q=i["q"], s=i["l_suppkey"])), "\n")
     one = lambda c: F.concat_ws("\n", _filled(_CLASS, o=c["o_orderkey"], b=c["o_orderkey"] % 5), methods(c), _filled(_LAST))
-    whole = F.concat_ws("\n", _filled(_FIRST, c=F.col("o_custkey")), F.array_join(F.transform("classes", one), "\n"))
-    return files.select(F.concat(F.lit("src/c"), "o_custkey", F.lit("."), "language").alias("path"), "language", whole.alias("content"))
+    return F.concat_ws("\n", _filled(_FIRST, c=F.col("o_custkey")), F.array_join(F.transform("classes", one), "\n"))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, content)."""
+    return source_parts(spark, sf_dir).select("path", "language", source_text().alias("content"))
 
 
 def _case(values: dict[str, object]) -> str:
